@@ -103,7 +103,7 @@ def in_area(lon: Column, lat: Column, area: Column, boundary: str = "exclude") -
 
 def centroid(ring: Column) -> Column:
     """Area-weighted centroid of a ring, relative to its first vertex."""
-    o = F.element_at(ring, 1)
+    o = F.get(ring, 0)
 
     def step(acc: Column, e: Column) -> Column:
         ax, ay = e["a"]["lon"] - o["lon"], e["a"]["lat"] - o["lat"]
@@ -135,8 +135,8 @@ def points_from_wkt(wkt: Column) -> Column:
 
 def _vertices(text: Column) -> Column:
     return F.transform(F.split(text, ","), lambda pair: F.struct(
-        F.element_at(F.split(F.trim(pair), r"\s+"), 1).cast("double").alias("lon"),
-        F.element_at(F.split(F.trim(pair), r"\s+"), 2).cast("double").alias("lat")))
+        F.get(F.split(F.trim(pair), r"\s+"), 0).cast("double").alias("lon"),
+        F.get(F.split(F.trim(pair), r"\s+"), 1).cast("double").alias("lat")))
 
 
 def wkt_kind(wkt: Column) -> Column:

@@ -64,7 +64,7 @@ def clean_label(label: Column, allowed: list[str]) -> Column:
 
 def unwrap_single(value: Column) -> Column:
     """The element of a one-element list, else null."""
-    return F.when(F.size(value) == 1, F.element_at(value, 1))
+    return F.when(F.size(value) == 1, F.get(value, 0))
 
 
 def plant_label(decision: Column) -> Column:

@@ -45,7 +45,7 @@ def matched_codes(rules: Column, parameters: list[str] = PARAMETERS) -> Column:
         match = F.filter(rules, lambda r, p=p, v=value: (
             (r["parameter"] == p) & (r["lo"] <= v) & (v < r["hi"])))
         hits.append(F.when(F.size(match) > 0, F.struct(
-            (-F.element_at(match, 1)["priority"]).alias("p"), F.element_at(match, 1)["code"].alias("c"))))
+            (-F.get(match, 0)["priority"]).alias("p"), F.get(match, 0)["code"].alias("c"))))
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
     return F.transform(found, lambda h: h["c"])
 

@@ -144,12 +144,12 @@ def stage_of(gdd: Column, stages: Column, null_gdd: str = "last") -> Column:
     as lower bound; above all (or null, by default) it is the last stage with
     its own threshold as lower bound.
     """
-    first = F.element_at(F.filter(stages, lambda s: gdd <= s["upper"]), 1)
+    first = F.get(F.filter(stages, lambda s: gdd <= s["upper"]), 0)
     if null_gdd == "first":
-        first = F.when(gdd.isNull(), F.element_at(stages, 1)).otherwise(first)
+        first = F.when(gdd.isNull(), F.get(stages, 0)).otherwise(first)
     below = F.filter(stages, lambda s: s["upper"] < first["upper"])
-    lower = F.when(F.size(below) > 0, F.element_at(below, -1)["upper"]).otherwise(F.lit(0.0))
-    last = F.element_at(stages, -1)
+    lower = F.when(F.size(below) > 0, F.try_element_at(below, F.lit(-1))["upper"]).otherwise(F.lit(0.0))
+    last = F.try_element_at(stages, F.lit(-1))
     return F.when(first.isNotNull(), F.struct(first["stage"].alias("stage"), lower.alias("lower"))
                   ).otherwise(F.struct(last["stage"].alias("stage"), last["upper"].alias("lower")))
 
@@ -191,7 +191,7 @@ def stage_start_columns() -> list[Column]:
     stage, lower = F.col("_s.stage"), F.col("_s.lower")
     planted = dates.to_epoch(F.col("planting_date"))
     under = F.filter("_days", lambda d: d["gdd_sum"] <= lower)
-    after = dates.to_epoch(F.date_add(F.element_at(under, -1)["date"], 1))
+    after = dates.to_epoch(F.date_add(F.try_element_at(under, F.lit(-1))["date"], 1))
     start = (F.when(F.col("_s").isNull(), F.col("prev_growth_stage_start_date"))
              .when(stage == F.col("prev_growth_stage_id"), F.col("prev_growth_stage_start_date"))
              .when(lower == 0, planted)
@@ -261,7 +261,7 @@ def crop_parameters(crops: DataFrame, lookup: DataFrame, name: str = "crop") ->
     """
     folded = lookup.agg(F.array_sort(F.collect_list(
         F.struct("order", "key", "base", "cap"))).alias("_l")).withColumn("_one", F.lit(1))
-    hit = lambda l, n: F.element_at(F.filter(l, lambda k: F.contains(F.lower(n), k["key"])), 1)
+    hit = lambda l, n: F.get(F.filter(l, lambda k: F.contains(F.lower(n), k["key"])), 0)
     return (crops.withColumn("_one", F.lit(1)).join(F.broadcast(folded), "_one")
             .withColumn("_h", hit(F.col("_l"), F.col(name)))
             .withColumn("gdd_base", F.col("_h.base")).withColumn("gdd_cap", F.col("_h.cap"))

@@ -104,7 +104,7 @@ def group_sizes(membership: DataFrame, users: DataFrame) -> DataFrame:
 
 def grid_export(grids: DataFrame, countries: DataFrame) -> DataFrame:
     """Grid catalogue with centroid and country."""
-    c = geo.centroid(F.element_at("area", 1))
+    c = geo.centroid(F.get("area", 0))
     return (grids.withColumn("_c", c).join(countries, "country_id", "left")
             .select("grid_id", F.col("_c.lon").alias("centroid_lon"),
                     F.col("_c.lat").alias("centroid_lat"), "country"))
@@ -112,7 +112,7 @@ def grid_export(grids: DataFrame, countries: DataFrame) -> DataFrame:
 
 def farmer_hits(farmers: DataFrame, grids: DataFrame, key: str, bucket_deg: float = 0.5) -> DataFrame:
     """Farmer centroid in degrees-minutes-seconds and whether a grid holds it."""
-    c = geo.centroid(F.element_at("area", 1))
+    c = geo.centroid(F.get("area", 0))
     spots = farmers.withColumn("_c", c).select(key, F.col("_c.lon").alias("lon"), F.col("_c.lat").alias("lat"))
     hits = spatial.join_points_to_areas(spots, grids.select("grid_id", "area"), bucket_deg=bucket_deg)
     found = hits.groupBy(key).agg(F.min("grid_id").alias("grid_id"))

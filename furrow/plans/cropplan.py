@@ -45,9 +45,9 @@ def classify(df: DataFrame, classes: DataFrame, amount: str) -> DataFrame:
     """
     folded = classes.agg(F.array_sort(F.collect_list(F.struct(
         "class_id", "name", "min_value", "max_value"))).alias("_c")).withColumn("_one", F.lit(1))
-    hit = F.element_at(F.filter("_c", lambda c: (
+    hit = F.get(F.filter("_c", lambda c: (
         (c["min_value"].isNull() | (F.col(amount) >= c["min_value"]))
-        & (c["max_value"].isNull() | (F.col(amount) <= c["max_value"])))), 1)
+        & (c["max_value"].isNull() | (F.col(amount) <= c["max_value"])))), 0)
     return (df.withColumn("_one", F.lit(1)).join(F.broadcast(folded), "_one")
             .withColumn("class_id", hit["class_id"]).withColumn("class_name", hit["name"])
             .drop("_c", "_one"))

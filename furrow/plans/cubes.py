@@ -145,7 +145,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str,
     """Exact ensemble percentiles; a group holds at most members × leads values."""
     p = F.percentile(value, F.array(*[F.lit(x) for x in points]))
     out = df.groupBy(*keys).agg(p.alias("_p"))
-    return out.select(*keys, *[F.element_at("_p", i + 1).alias(f"percentile_{round(x * 100)}")
+    return out.select(*keys, *[F.get("_p", i).alias(f"percentile_{round(x * 100)}")
                                for i, x in enumerate(points)])
 
 

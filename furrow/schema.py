@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MEASUREMENT = T.StructType.fromDDL(
-    "station_id long, station_history_id long, attribute string, "
-    "date_time timestamp_ntz, value double")
-
-RULE_CSV = T.StructType.fromDDL(
-    "crop string, parameter string, growth_stage string, "
-    "min_range double, max_range double, code string")
-MESSAGE_CSV = T.StructType.fromDDL(
-    "code string, message_english string, message_kiswahili string, message_priority int")
-GRID_CSV = T.StructType.fromDDL(
-    "locationid string, latitude double, longitude double, country string, "
-    "elevation double, shapewkt string, name string")
-REGISTRY_CSV = T.StructType.fromDDL(
-    "farmer_id string, crop string, planting_date string, final_latitude double, "
-    "final_longitude double, county string, subcounty string, ward string, language string")
+
+# DDL of the fixed tables and files
+MEASUREMENT = ("station_id long, station_history_id long, attribute string, "
+               "date_time timestamp_ntz, value double")
+RULE_CSV = ("crop string, parameter string, growth_stage string, "
+            "min_range double, max_range double, code string")
+MESSAGE_CSV = ("code string, message_english string, message_kiswahili string, "
+               "message_priority int")
+GRID_CSV = ("locationid string, latitude double, longitude double, country string, "
+            "elevation double, shapewkt string, name string")
+REGISTRY_CSV = ("farmer_id string, crop string, planting_date string, final_latitude double, "
+                "final_longitude double, county string, subcounty string, ward string, "
+                "language string")
+
+
+def names(ddl: str) -> list[str]:
+    """Column names of a flat DDL string."""
+    return [part.split()[0] for part in ddl.split(",")]
+
 
 #: column name -> type of the advisory tables
 ADVISORY_TYPES = {

@@ -27,7 +27,7 @@ def utc(textual: Column) -> Column:
 def rule_rows(csv: DataFrame, crops: DataFrame, stage_types: DataFrame, stages: DataFrame,
               parameters: DataFrame, config_id: int) -> DataFrame:
     """Rule CSV → rule rows with ids looked up by name (case-insensitive)."""
-    schema.check_columns(csv, schema.RULE_CSV.fieldNames())
+    schema.check_columns(csv, schema.names(schema.RULE_CSV))
     part = text.split_crop_stage(F.col("crop"))
     rows = csv.withColumn("_p", part).select(
         F.lower("_p.crop").alias("_c"), F.lower("_p.stage").alias("_t"),
@@ -45,7 +45,7 @@ def rule_rows(csv: DataFrame, crops: DataFrame, stage_types: DataFrame, stages:
 
 def message_rows(csv: DataFrame, config_id: int) -> tuple[DataFrame, DataFrame]:
     """Message CSV → (templates, priorities)."""
-    schema.check_columns(csv, schema.MESSAGE_CSV.fieldNames())
+    schema.check_columns(csv, schema.names(schema.MESSAGE_CSV))
     code = F.col("code").cast("int").alias("code")
     templates = csv.select(code, F.col("message_english").alias("template_en"),
                            F.col("message_kiswahili").alias("template_sw"))
@@ -56,7 +56,7 @@ def message_rows(csv: DataFrame, config_id: int) -> tuple[DataFrame, DataFrame]:
 
 def grid_rows(csv: DataFrame) -> DataFrame:
     """Grid CSV with WKT polygons; one row per (unique id, shape)."""
-    schema.check_columns(csv, schema.GRID_CSV.fieldNames())
+    schema.check_columns(csv, schema.names(schema.GRID_CSV))
     return (csv.dropDuplicates(["locationid", "shapewkt"])
             .select(F.col("locationid").alias("unique_id"), F.col("latitude").alias("lat"),
                     F.col("longitude").alias("lon"), "country", "elevation", "name",
@@ -174,7 +174,7 @@ def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     """Files below a folder: name, size, time, date and variable of the name."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(path).drop("content"))
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     return inventory_columns(files.select(name.alias("name"), "path", "length", "modificationTime"))
 
 
