@@ -34,6 +34,10 @@ def rule_book(rules: DataFrame, priorities: DataFrame) -> DataFrame:
     return ranked.groupBy(*RULE_KEYS).agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
 
 
+def _fits(parameter: str, value: Column):
+    return lambda r: (r["parameter"] == parameter) & (r["lo"] <= value) & (value < r["hi"])
+
+
 def matched_codes(rules: Column, parameters: list[str] = PARAMETERS) -> Column:
     """Distinct codes in priority order (ties: lower code).
 
@@ -42,8 +46,7 @@ def matched_codes(rules: Column, parameters: list[str] = PARAMETERS) -> Column:
     hits = []
     for p in parameters:
         value = numeric.rule_value(F.col(p))
-        match = F.filter(rules, lambda r, p=p, v=value: (
-            (r["parameter"] == p) & (r["lo"] <= v) & (v < r["hi"])))
+        match = F.filter(rules, _fits(p, value))
         hits.append(F.when(F.size(match) > 0, F.struct(
             (-F.get(match, 0)["priority"]).alias("p"), F.get(match, 0)["code"].alias("c"))))
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))

@@ -14,6 +14,12 @@ RING = [(24.0, -20.0), (48.0, -24.0), (56.0, 4.0), (40.0, 20.0), (24.0, 8.0), (2
 HOLE = [(36.0, -8.0), (40.0, -8.0), (40.0, -4.0), (36.0, -4.0), (36.0, -8.0)]
 
 
+def hav(a: str, b: str) -> str:
+    """Great-circle metres between two aliases with lon and lat."""
+    return (f"2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat))"
+            f" * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))")
+
+
 def inside_sql(x: str, y: str) -> str:
     """Strictly inside the convex ring and outside the hole."""
     edges = [f"({bx - ax}) * ({y} - ({ay})) - ({by - ay}) * ({x} - ({ax})) > 0"
@@ -202,15 +208,11 @@ def _(t):
     return t.registry.select("registry_id").orderBy("registry_id").limit(100)
 
 
-@query("T05_nearest_one", """
-SELECT f.farm_id, arg_min(g.grid_id, (round((g.lon - f.lon) * (g.lon - f.lon) + (g.lat - f.lat) * (g.lat - f.lat), 9), g.grid_id)) AS grid_id
-FROM {farm} f JOIN {grid} g ON f.country_id = g.country_id GROUP BY f.farm_id""")
+@query("T05_nearest_one", f"""
+SELECT f.farm_id, arg_min(g.grid_id, (round({hav('f', 'g')}, 3), g.grid_id)) AS grid_id
+FROM {{farm}} f CROSS JOIN {{grid}} g GROUP BY f.farm_id""")
 def _(t):
-    g = t.grid.select("country_id", "grid_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    # grids of the farm's own country: candidates are bounded by the country
-    j = t.farm.select("farm_id", "country_id", "lon", "lat").join(g, "country_id")
-    d = F.round((F.col("x") - F.col("lon")) * (F.col("x") - F.col("lon")) + (F.col("y") - F.col("lat")) * (F.col("y") - F.col("lat")), 9)
-    return j.groupBy("farm_id").agg(F.min_by("grid_id", F.struct(d, "grid_id")).alias("grid_id"))
+    return spatial.nearest_place(t.farm, t.grid, "farm_id", "grid_id").select("farm_id", "grid_id")
 
 
 @query("T06_ascending_coordinates", "SELECT DISTINCT lat, lon FROM {raster} ORDER BY lat, lon")

@@ -156,7 +156,7 @@ SELECT r.registry_id, r.farm_id, r.group_id, r.crop_id, r.crop_stage_type_id, r.
        r.prev_growth_stage_id, r.prev_growth_stage_start_date, f.grid_id,
        f.farm_unique_id, f.preferred_language, f.lon, f.lat,
        COALESCE(o.config_id, 1) AS config_id, c.iso_a3, c.country_id,
-       CAST(r.planting_date - DATE '1970-01-01' AS INT) * 86400 AS planting_date_epoch
+       CAST(r.planting_date - DATE '1970-01-01' AS BIGINT) * 86400 AS planting_date_epoch
 FROM {registry} r JOIN {farm} f ON r.farm_id = f.farm_id JOIN {grid} g ON f.grid_id = g.grid_id
 JOIN {country} c ON g.country_id = c.country_id
 LEFT JOIN {config_override} o ON c.country_id = o.country_id""")

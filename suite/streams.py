@@ -1 +1,94 @@
-"""Pending."""
+"""M: streaming jobs, run on what is there and read back."""
+
+from pyspark.sql import functions as F
+
+from furrow.plans import ingest, usage
+from furrow.session import scratch_dir
+from furrow.streaming import jobs, limiter
+from suite.base import query
+
+
+def stream_of(t, df, label, files=4):
+    """A landed copy of a table as a file stream."""
+    path = scratch_dir(t.spark, label)
+    df.repartition(files).write.parquet(path)
+    return jobs.file_stream(t.spark, path, df.schema, files_per_trigger=2)
+
+
+LIMITS = {1: 2, 60: 3, 1440: 30}
+
+
+@query("M01_sliding_counts", """
+SELECT a.user_id, a.m AS minute_start, CAST(sum(b.n) AS BIGINT) AS requests FROM (SELECT DISTINCT user_id, date_trunc('minute', ts) AS m FROM events) a
+JOIN (SELECT user_id, date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1, 2) b ON a.user_id = b.user_id AND b.m <= a.m AND b.m > a.m - INTERVAL 60 MINUTE GROUP BY 1, 2""")
+def _(t):
+    return usage.sliding_counts(t.request_log, 60)
+
+
+@query("M01_request_limits")
+def _(t):
+    return limiter.limit_batch(t.request_log, LIMITS)
+
+
+@query("M01_request_limits_stream")
+def _(t):
+    log = t.request_log.select("user_id", F.col("requested_at").cast("timestamp").alias("requested_at"))
+    stream = stream_of(t, log, "requests", files=1)
+    out = scratch_dir(t.spark, "limits")
+    q = (limiter.limit_stream(stream, LIMITS, "10 minutes").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_dir(t.spark, "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return t.spark.read.schema(limiter.MINUTE_OUT).parquet(out)
+
+
+@query("M02_waiting_time", """
+SELECT request_id, CASE request_id % 4 WHEN 0 THEN 60 - epoch % 60 WHEN 1 THEN 3600 - epoch % 3600 WHEN 2 THEN 86400 - epoch % 86400 END AS seconds
+FROM (SELECT request_id, CAST(floor(epoch(requested_at)) AS BIGINT) AS epoch FROM {request_log})""")
+def _(t):
+    k = F.col("request_id") % 4
+    empty = F.array().cast("array<int>")
+    exceeded = F.when(k == 0, F.array(F.lit(1))).when(k == 1, F.array(F.lit(1), F.lit(60))).when(k == 2, F.array(F.lit(60), F.lit(1440))).otherwise(empty)
+    return t.request_log.select("request_id", usage.waiting_seconds(F.unix_seconds(F.col("requested_at").cast("timestamp")), exceeded).alias("seconds"))
+
+
+@query("M03_log_ingest", """
+SELECT request_id, 'U' || (user_id % 100) AS user_name, 'rain_' || (request_id % 5) AS second FROM {request_log}""")
+def _(t):
+    users = t.station.select(F.col("station_id").alias("user_id"), F.concat(F.lit("U"), (F.col("station_id") % 100).cast("string")).alias("user_name"))
+    out = scratch_dir(t.spark, "log")
+    jobs.ingest_request_log(stream_of(t, t.request_log, "requests"), users, out)
+    return t.spark.read.parquet(out).select("request_id", "user_name", F.get("attributes", 1).alias("second"))
+
+
+@query("M04_observation_ingest", "SELECT DISTINCT station_id, attribute, date_time FROM {measurement}")
+def _(t):
+    m = t.measurement.select("station_id", "attribute", "date_time", "value")
+    out = scratch_dir(t.spark, "obs")
+    jobs.ingest_observations(stream_of(t, m.unionByName(m), "observations", files=2), out, "60 days")
+    return t.spark.read.parquet(out).select("station_id", "attribute", "date_time")
+
+
+@query("M05_forecast_ingest", """
+SELECT DATE '1998-06-25' AS forecast_date, CAST(w.date - DATE '1998-06-25' AS INT) AS forecast_day_idx, g.lat, g.lon, w.max_temperature, CAST(NULL AS DOUBLE) AS wind FROM {weather} w JOIN {grid} g ON w.grid_id = g.grid_id
+WHERE w.date >= DATE '1998-06-25' AND w.date < DATE '1998-07-14'""")
+def _(t):
+    landed, cube = scratch_dir(t.spark, "landed"), scratch_dir(t.spark, "cube")
+    stream = stream_of(t, t.weather.select("grid_id", "date", "max_temperature"), "forecast")
+    jobs.ingest_forecast(stream, t.grid.select("grid_id", "lat", "lon"), ["max_temperature", "wind"], landed, "1998-06-25", "1998-07-14",
+                         "1998-06-25", (20.25, -27.75, 0.5), 0.1)
+    jobs.compact_forecast(t.spark, landed, cube, ["max_temperature", "wind"])
+    return t.spark.read.parquet(cube).select("forecast_date", "forecast_day_idx", "lat", "lon", "max_temperature", "wind")
+
+
+@query("M06_raster_arrival", """
+SELECT TIMESTAMP '1970-01-01' + to_seconds(CAST(946684800 + floor(o_orderkey / 1000) * 900 AS BIGINT)) AS time, count(*) AS pixels, CAST(sum(o_orderkey % 100) AS DOUBLE) AS total FROM orders GROUP BY 1""")
+def _(t):
+    k = F.col("o_orderkey")
+    px = t.orders.select(F.concat(F.lit("nowcast_946684800_"), (F.floor(k / 1000) * 900).cast("string"), F.lit(".tif")).alias("file_name"),
+                         (k % 1000).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.lit("Rate").alias("band"), (k % 100).cast("double").alias("value"))
+    path, out = scratch_dir(t.spark, "pixels"), scratch_dir(t.spark, "raster")
+    # one file holds whole time slices, as rasters arrive
+    px.repartitionByRange(4, "file_name").write.parquet(path)
+    stream = jobs.file_stream(t.spark, path, px.schema, files_per_trigger=2)
+    jobs.ingest_rasters(stream, {"Rate": "rate"}, -9999.0, out)
+    return t.spark.read.parquet(out).groupBy(F.col("time").cast("timestamp_ntz").alias("time")).agg(F.count("*").alias("pixels"), F.sum("rate").alias("total"))
