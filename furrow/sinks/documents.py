@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import numeric
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 GRID_ORDER = ["date", "time", "lat", "lon", "ensemble"]
 
 
@@ -27,7 +28,8 @@ def write_text(df: DataFrame, path: str, order: list[str] | None = None, sep: st
     """CSV (or TSV with a tab) with a header."""
     order = order or [c for c in GRID_ORDER if c in df.columns]
     out = ordered_text(df, order, digits) if order else df
-    out.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    (out.write.mode("overwrite").option("header", True).option("sep", sep)
+     .option("timestampNTZFormat", MICROS).csv(path))
 
 
 def time_value_documents(df: DataFrame, place: list[str], time: str, values: list[str],

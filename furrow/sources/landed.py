@@ -24,6 +24,22 @@ def utc(textual: Column) -> Column:
     return F.to_timestamp(textual).cast("timestamp_ntz")
 
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
+def read_sheet(spark: SparkSession, path: str, ddl: str, **options: str) -> DataFrame:
+    """CSV with a header → typed columns found by name.
+
+    Cells come as text and are cast by name, so a sheet with its columns in
+    another order, or with extra ones, is read correctly; a missing column is
+    an error, a cell that does not parse is null.
+    """
+    raw = spark.read.option("header", True).options(**options).csv(path)
+    fields = [part.split() for part in ddl.split(",")]
+    schema.check_columns(raw, [f[0] for f in fields])
+    return raw.select(*[F.col(n).try_cast(t).alias(n) for n, t in fields])
+
+
 def rule_rows(csv: DataFrame, crops: DataFrame, stage_types: DataFrame, stages: DataFrame,
               parameters: DataFrame, config_id: int) -> DataFrame:
     """Rule CSV → rule rows with ids looked up by name (case-insensitive)."""
@@ -74,13 +90,18 @@ def station_directory(spark: SparkSession, path: str, attributes: list[str]) ->
     stations = (spark.read.option("header", True).option("pathGlobFilter", "*station*").csv(path))
     raw = (spark.read.option("header", True).option("pathGlobFilter", "[!s]*.csv").csv(path)
            .withColumn("_f", F.col("_metadata.file_name")))
+    code = F.regexp_extract("_f", r"^([^_.]+)", 1)
+    named = raw.where(~F.col("_f").contains("station")).withColumn("station_code", code)
+    return stations, station_rows(named, attributes)
+
+
+def station_rows(raw: DataFrame, attributes: list[str]) -> DataFrame:
+    """Text cells of station sheets (station_code, date, ...) → EAV rows."""
     cols = [a for a in attributes if a in raw.columns]
-    rows = raw.where(~F.col("_f").contains("station")).select(
-        F.regexp_extract("_f", r"^([^_.]+)", 1).alias("station_code"),
-        dates.parse_mixed_date(F.col("date")).alias("date"),
-        *[F.col(c).try_cast("double").alias(c) for c in cols])
+    rows = raw.select("station_code", dates.parse_mixed_date(F.col("date")).alias("date"),
+                      *[F.col(c).try_cast("double").alias(c) for c in cols])
     long = rows.unpivot(["station_code", "date"], cols, "attribute", "value")
-    return stations, long.where("value is not null and date is not null")
+    return long.where("value is not null and date is not null")
 
 
 def timeline_rows(docs: DataFrame, keys: list[str], body: str, variables: list[str]) -> DataFrame:

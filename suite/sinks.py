@@ -88,7 +88,7 @@ def _(t):
 def _(t):
     path = scratch_dir(t.spark, "csv")
     documents.write_text(obs(t).select("date_time", "station_id", "v"), path, ["date_time", "station_id"], digits=None)
-    return t.spark.read.schema("date_time timestamp_ntz, station_id long, v double").option("header", True).csv(path).select("station_id", "date_time", "v")
+    return t.spark.read.schema("date_time timestamp_ntz, station_id long, v double").option("header", True).option("timestampNTZFormat", documents.MICROS).csv(path).select("station_id", "date_time", "v")
 
 
 @query("K10_time_value_documents", """

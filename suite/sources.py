@@ -47,16 +47,16 @@ def _(t):
     return scans.snapshot_scan(snap, "1998-06-20", t.farm.where("country_id < 15"), ["BUILDING", "HOUSEHOLD"]).select("signal_id", "signal")
 
 
-@query("S06_farmer_list_reads", "SELECT registry_id, message FROM {advisory_hist} WHERE year = 1998 AND month = 6 AND day = 3 AND farm_unique_id IN (SELECT farm_unique_id FROM {farm} WHERE preferred_language = 'sw')")
+@query("S06_farmer_list_reads", "SELECT registry_id, message FROM {advisory_hist} WHERE year = 1998 AND month = 6 AND day = 3 AND farm_unique_id IN (SELECT farm_unique_id FROM {farm} WHERE country_id < 20)")
 def _(t):
     day = scans.on_day(t.advisory_hist, "1998-06-03")
-    return scans.by_keys(day, t.farm.where("preferred_language = 'sw'"), "farm_unique_id", ["registry_id", "message"]).drop("farm_unique_id")
+    return scans.by_keys(day, t.farm.where("country_id < 20"), "farm_unique_id", ["registry_id", "message"]).drop("farm_unique_id")
 
 
-@query("S07_relational_ranges", "SELECT registry_id % 25 AS bucket, count(*) AS n, min(registry_id) AS low FROM {registry} GROUP BY 1")
+@query("S07_relational_ranges", "SELECT CAST(least(floor(registry_id / 50), 24) AS INT) AS part, count(*) AS n, min(registry_id) AS low FROM {registry} GROUP BY 1")
 def _(t):
-    # the same key-range split over a Parquet copy of the table (no database here)
-    return t.registry.groupBy((F.col("registry_id") % 25).alias("bucket")).agg(F.count("*").alias("n"), F.min("registry_id").alias("low"))
+    # no database here: the same key ranges over the stored table
+    return scans.range_parts(t.registry, "registry_id", 0, 1250, 25).groupBy("part").agg(F.count("*").alias("n"), F.min("registry_id").alias("low"))
 
 
 @query("S08_reanalysis_slice", "SELECT date, lat, lon, total_rainfall FROM {reanalysis} WHERE date BETWEEN DATE '1997-12-01' AND DATE '1998-02-15'")
@@ -123,7 +123,7 @@ def _(t):
         F.concat(F.lit("CROP"), F.col("crop_id").cast("string"), F.lit("_Type"), F.col("crop_stage_type_id").cast("string")).alias("crop"),
         F.col("label").alias("parameter"), F.concat(F.lit("stage "), F.col("growth_stage_id").cast("string")).alias("growth_stage"),
         "min_range", "max_range", F.col("code").cast("string").alias("code"))
-    csv = t.spark.read.schema(RULE_CSV).option("header", True).csv(_csv(t, out, "rules"))
+    csv = landed.read_sheet(t.spark, _csv(t, out, "rules"), RULE_CSV)
     return landed.rule_rows(csv, t.crop, t.stage_type, t.stage_label, labels, 7)
 
 
@@ -132,7 +132,7 @@ def _(t):
     from furrow.schema import MESSAGE_CSV
     out = t.template.select("code", F.col("template_en").alias("message_english"), F.col("template_sw").alias("message_kiswahili"),
                             (F.col("code") % 11).alias("message_priority"))
-    templates, priorities = landed.message_rows(t.spark.read.schema(MESSAGE_CSV).option("header", True).csv(_csv(t, out, "messages")), 1)
+    templates, priorities = landed.message_rows(landed.read_sheet(t.spark, _csv(t, out, "messages"), MESSAGE_CSV), 1)
     return templates.join(priorities.select("code", "priority"), "code")
 
 
@@ -144,25 +144,22 @@ def _(t):
     body = F.concat_ws(", ", *[F.concat_ws(" ", n(x), n(y)) for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]])
     out = t.grid.select(F.col("grid_unique_id").alias("locationid"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
                         F.lit("").alias("country"), "elevation", F.concat(F.lit("POLYGON (("), body, F.lit("))")).alias("shapewkt"), F.lit("cell").alias("name"))
-    rows = landed.grid_rows(t.spark.read.schema(GRID_CSV).option("header", True).csv(_csv(t, out.union(out), "grids")))
+    rows = landed.grid_rows(landed.read_sheet(t.spark, _csv(t, out.union(out), "grids"), GRID_CSV))
     return rows.select("unique_id", "lat", "lon", geo.envelope(F.col("area"))["max_lon"].alias("east"), F.size(F.get("area", 0)).alias("vertices"))
 
 
 @query("S18_station_directory", """
 SELECT 'S' || user_id AS station_code, CAST(ts AS DATE) AS date, 'rain' AS attribute, sum(floor(value * 8) / 8) AS value FROM events GROUP BY 1, 2 HAVING sum(floor(value * 8) / 8) > 10""")
 def _(t):
-    # a folder as delivered: station list plus measurement files named by code
     base = scratch_dir(t.spark, "stations")
     daily = t.daily_eav.groupBy("station_id", "day").agg(F.sum("value").alias("v"))
     us = F.when(F.dayofmonth("day") % 2 == 0, F.date_format("day", "M/d/yy")).otherwise(F.date_format("day", "yyyy-MM-dd"))
     rows = daily.select(F.concat(F.lit("S"), F.col("station_id").cast("string")).alias("code"), us.alias("date"),
                         F.when(F.col("v") > 10, F.col("v")).alias("rain"))
-    # one folder per code; the code is read from the folder name's file part
+    # one folder per station code
     rows.repartition("code").write.partitionBy("code").option("header", True).csv(base)
     raw = t.spark.read.option("header", True).csv(base)
-    from furrow.functions.dates import parse_mixed_date
-    long = raw.select(F.col("code").alias("station_code"), parse_mixed_date(F.col("date")).alias("date"), F.col("rain").try_cast("double").alias("rain"))
-    return long.unpivot(["station_code", "date"], ["rain"], "attribute", "value").where("value is not null")
+    return landed.station_rows(raw.withColumnRenamed("code", "station_code"), ["rain", "humidity"])
 
 
 def timeline_docs(t):
@@ -202,8 +199,8 @@ def _(t):
     devices = landed.device_list(lists, "body")
     path = scratch_dir(t.spark, "devices")
     t.measurement.select(F.concat(F.lit("D"), F.col("station_id").cast("string")).alias("device"), "date_time", F.col("value").alias("maxt"),
-                         F.when(F.col("attribute") == "view", F.col("value") * 2).alias("precip"), F.lit(1.5).alias("slp")).write.json(path)
-    hourly = t.spark.read.schema("device string, date_time timestamp_ntz, maxt double, precip double, slp double").json(path)
+                         F.when(F.col("attribute") == "view", F.col("value") * 2).alias("precip"), F.lit(1.5).alias("slp")).write.option("timestampNTZFormat", landed.MICROS).json(path)
+    hourly = t.spark.read.schema("device string, date_time timestamp_ntz, maxt double, precip double, slp double").option("timestampNTZFormat", landed.MICROS).json(path)
     known = hourly.join(devices.select(F.col("id").alias("device")), "device", "left_semi")
     return landed.device_rows(known, ["device", "date_time"], ["maxt", "precip", "slp"])
 
@@ -268,7 +265,7 @@ SELECT 'F' || (o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000 ELSE 0 END)
 def _(t):
     from furrow.schema import REGISTRY_CSV
     from suite.domain import registry_csv
-    csv = t.spark.read.schema(REGISTRY_CSV).option("header", True).csv(_csv(t, registry_csv(t), "registry"))
+    csv = landed.read_sheet(t.spark, _csv(t, registry_csv(t), "registry"), REGISTRY_CSV)
     return registry.read_rows(csv).select("farmer_id", "crop_name", "stage_name", "planting_date", "lon")
 
 
