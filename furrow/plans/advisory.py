@@ -19,8 +19,10 @@ RULE_KEYS = ["config_id", "crop_id", "crop_stage_type_id", "growth_stage_id"]
 
 # ---- rules ----------------------------------------------------------------
 
-def rule_book(rules: DataFrame, priorities: DataFrame) -> DataFrame:
-    """Rules with their message priority, one array per (config, crop, stage).
+def rule_book(rules: DataFrame, priorities: DataFrame,
+              parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Rules with their message priority: one row per (config, crop, stage)
+    with one array column ``rules_<parameter>`` each, lowest rule id first.
 
     Configuration data: a key has a few ranges per parameter. Folding it turns
     rule matching into one equi join and row-local work, with no exploding of
@@ -28,29 +30,30 @@ def rule_book(rules: DataFrame, priorities: DataFrame) -> DataFrame:
     """
     ranked = rules.join(priorities.select("config_id", "code", "priority"),
                         ["config_id", "code"], "left")
-    rule = F.struct("rule_id", "parameter", F.col("min_range").cast("double").alias("lo"),
+    rule = F.struct("rule_id", F.col("min_range").cast("double").alias("lo"),
                     F.col("max_range").cast("double").alias("hi"), F.col("code").cast("int").alias("code"),
                     F.coalesce("priority", F.lit(0)).alias("priority"))
-    return ranked.groupBy(*RULE_KEYS).agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+    return ranked.groupBy(*RULE_KEYS).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("parameter") == p, rule))).alias(f"rules_{p}")
+        for p in parameters])
 
 
-def _fits(parameter: str, value: Column):
-    return lambda r: (r["parameter"] == parameter) & (r["lo"] <= value) & (value < r["hi"])
-
-
-def matched_codes(rules: Column, parameters: list[str] = PARAMETERS) -> Column:
+def matched_codes(parameters: list[str] = PARAMETERS) -> Column:
     """Distinct codes in priority order (ties: lower code).
 
-    Per parameter the lowest rule id with ``lo <= value < hi`` wins.
+    Per parameter the lowest rule id with ``lo <= value < hi`` wins. Each
+    parameter scans its own ranges once and yields at most one hit.
     """
     hits = []
     for p in parameters:
-        value = numeric.rule_value(F.col(p))
-        match = F.filter(rules, _fits(p, value))
-        hits.append(F.when(F.size(match) > 0, F.struct(
-            (-F.get(match, 0)["priority"]).alias("p"), F.get(match, 0)["code"].alias("c"))))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
-    return F.transform(found, lambda h: h["c"])
+        fits = F.filter(F.col(f"rules_{p}"), _holds(numeric.rule_value(F.col(p))))
+        hits.append(F.transform(F.slice(fits, 1, 1), lambda r: F.struct(
+            (-r["priority"]).alias("p"), r["code"].alias("c"))))
+    return F.transform(F.array_sort(F.array_distinct(F.concat(*hits))), lambda h: h["c"])
+
+
+def _holds(value: Column):
+    return lambda r: (r["lo"] <= value) & (value < r["hi"])
 
 
 def overlapping_rules(rules: DataFrame) -> DataFrame:
@@ -66,14 +69,14 @@ def overlapping_rules(rules: DataFrame) -> DataFrame:
             .where(F.col("min_range") < F.col("_reach")).drop("_reach"))
 
 
-def with_codes(df: DataFrame, rules: DataFrame, priorities: DataFrame) -> DataFrame:
+def with_codes(df: DataFrame, rules: DataFrame, priorities: DataFrame,
+               parameters: list[str] = PARAMETERS) -> DataFrame:
     """Adds ``codes``: the matched message codes in slot order."""
-    book = rule_book(rules, priorities)
+    book = rule_book(rules, priorities, parameters)
     empty = F.array().cast("array<int>")
     return (df.join(book, RULE_KEYS, "left")
-            .withColumn("codes", F.when(F.col("_rules").isNotNull(), matched_codes(F.col("_rules")))
-                        .otherwise(empty))
-            .drop("_rules"))
+            .withColumn("codes", F.coalesce(matched_codes(parameters), empty))
+            .drop(*[f"rules_{p}" for p in parameters]))
 
 
 def to_slots(df: DataFrame, codes: str = "codes") -> DataFrame:

@@ -72,20 +72,26 @@ def dense_days(keys: DataFrame, weather: DataFrame, start: str, end: str,
 
 # ---- grid features --------------------------------------------------------
 
+def _feature_aggregates(request_date: str) -> list[Column]:
+    """Means over D..D+3 and totals over D-6..D+3 of a wider day range."""
+    near = between_days(request_date, _shift(request_date, 3))
+    wide = between_days(_shift(request_date, -6), _shift(request_date, 3))
+    mid = (F.col("max_temperature") + F.col("min_temperature")) / 2
+    total = lambda c: F.coalesce(F.sum(F.when(wide, F.col(c))), F.lit(0.0)).alias(c)
+    return [F.avg(F.when(near, mid)).alias("temperature"),
+            F.avg(F.when(near, F.col("humidity"))).alias("humidity"),
+            total("total_rainfall"), total("total_evapotranspiration"),
+            F.count_if(wide).alias("near_days")]
+
+
 def grid_features(weather: DataFrame, request_date: str) -> DataFrame:
     """Per grid: mean mid-range temperature and humidity over D..D+3, rain and
     evapotranspiration totals over D-6..D+3 and their ratio.
 
     One conditional aggregation; a grid has ten rows in the window.
     """
-    near = between_days(request_date, _shift(request_date, 3))
     wide = weather.where(between_days(_shift(request_date, -6), _shift(request_date, 3)))
-    mid = (F.col("max_temperature") + F.col("min_temperature")) / 2
-    out = wide.groupBy("grid_id").agg(
-        F.avg(F.when(near, mid)).alias("temperature"),
-        F.avg(F.when(near, F.col("humidity"))).alias("humidity"),
-        F.coalesce(F.sum("total_rainfall"), F.lit(0.0)).alias("total_rainfall"),
-        F.coalesce(F.sum("total_evapotranspiration"), F.lit(0.0)).alias("total_evapotranspiration"))
+    out = wide.groupBy("grid_id").agg(*_feature_aggregates(request_date)).drop("near_days")
     return out.withColumn("p_pet", numeric.ratio(
         F.col("total_rainfall"), F.col("total_evapotranspiration")))
 
@@ -183,23 +189,24 @@ def growth_stages(series: DataFrame, matrix: DataFrame, request_date: str,
     looked = (folded.join(stage_thresholds(matrix), ["crop_id", "crop_stage_type_id", "config_id"], "left")
               .withColumn("_s", F.when(F.col("stages").isNotNull(),
                                        stage_of(F.col("total_gdd"), F.col("stages")))))
-    return looked.select(*keys, "total_gdd", *stage_start_columns()).drop("_days", "_s", "stages")
+    under = F.filter("_days", lambda d: d["gdd_sum"] <= F.col("_s.lower"))
+    stage, start = _stage_and_start(F.try_element_at(under, F.lit(-1))["date"])
+    return looked.select(*keys, "total_gdd", stage.alias("growth_stage_id"),
+                         start.alias("growth_stage_start_date"))
 
 
-def stage_start_columns() -> list[Column]:
-    """growth_stage_id and growth_stage_start_date (epoch) from ``_s``, ``_days``."""
+def _stage_and_start(last_under: Column) -> list[Column]:
+    """Stage id and stage start (epoch) from ``_s`` and the last day at or
+    under the lower threshold."""
     stage, lower = F.col("_s.stage"), F.col("_s.lower")
     planted = dates.to_epoch(F.col("planting_date"))
-    under = F.filter("_days", lambda d: d["gdd_sum"] <= lower)
-    after = dates.to_epoch(F.date_add(F.try_element_at(under, F.lit(-1))["date"], 1))
-    start = (F.when(F.col("_s").isNull(), F.col("prev_growth_stage_start_date"))
-             .when(stage == F.col("prev_growth_stage_id"), F.col("prev_growth_stage_start_date"))
+    kept = F.col("_s").isNull() | F.coalesce(stage == F.col("prev_growth_stage_id"), F.lit(False))
+    start = (F.when(kept, F.col("prev_growth_stage_start_date"))
              .when(lower == 0, planted)
-             .when(F.size(under) > 0, after)
+             .when(last_under.isNotNull(), dates.to_epoch(F.date_add(last_under, 1)))
              .otherwise(planted))
-    return [F.when(F.col("_s").isNull(), F.col("prev_growth_stage_id")).otherwise(stage)
-            .cast("int").alias("growth_stage_id"),
-            start.cast("long").alias("growth_stage_start_date")]
+    return [F.when(F.col("_s").isNull(), F.col("prev_growth_stage_id")).otherwise(stage).cast("int"),
+            start.cast("long")]
 
 
 # ---- rainfall -------------------------------------------------------------
@@ -231,24 +238,78 @@ def with_climate(df: DataFrame, features: DataFrame) -> DataFrame:
     return df.join(features.select("grid_id", "temperature", "humidity", "p_pet"), "grid_id")
 
 
+# ---- grid-crop features ---------------------------------------------------
+
+def season_by_grid(weather: DataFrame, request_date: str, first_day: str) -> DataFrame:
+    """One row per grid: climate features and the season as a sorted array.
+
+    ``weather`` holds one row per grid and day, so an array has the days from
+    ``first_day`` (the registry's minimum planting date) to D+3.
+    """
+    first = min(first_day, _shift(request_date, -6))
+    day = F.struct("date", "max_temperature", "min_temperature", "total_rainfall")
+    rows = weather.where(between_days(first, _shift(request_date, 3)))
+    in_season = between_days(first_day, _shift(request_date, 3))
+    seasons = rows.groupBy("grid_id").agg(
+        F.array_sort(F.collect_list(F.when(in_season, day))).alias("season"),
+        *_feature_aggregates(request_date))
+    return seasons.where("near_days > 0").withColumn("p_pet", numeric.ratio(
+        F.col("total_rainfall"), F.col("total_evapotranspiration"))).drop("near_days")
+
+
 def grid_crop_features(grid_crops: DataFrame, weather: DataFrame, gdd_config: DataFrame,
-                       matrix: DataFrame, request_date: str,
-                       first_day: str | None = None) -> DataFrame:
+                       matrix: DataFrame, request_date: str, first_day: str) -> DataFrame:
     """Degree days, stage, stage start, rain and climate of every grid-crop.
 
-    ``first_day`` (the registry's minimum planting date) bounds the weather
-    read, so only the partitions of the season are scanned.
+    The weather of a grid is reduced once to an array of the season's days and
+    joined to its crops; everything per crop is a fold over that array. Days
+    are never multiplied by crops, so the only shuffles are one aggregation of
+    the weather and one join on grid_id. ``gdd_series``, ``growth_stages`` and
+    ``rain_since`` give the same results in long form, day by day.
     """
-    season = weather.where(between_days(first_day, _shift(request_date, 3))) if first_day else weather
-    series = gdd_series(grid_crops, season, gdd_config, request_date)
-    staged = growth_stages(series, matrix, request_date,
-                           with_gdd_config(grid_crops, gdd_config))
-    staged = staged.withColumn("planting_date_epoch", dates.to_epoch(F.col("planting_date")))
-    rained = rain_since(staged, season, GRID_CROP, "planting_date_epoch", request_date,
-                        "seasonal_precipitation")
-    rained = rain_since(rained, season, GRID_CROP, "growth_stage_start_date", request_date,
-                        "growth_stage_precipitation")
-    return with_climate(rained, grid_features(season, request_date))
+    yesterday = F.lit(_day(_shift(request_date, -1)))
+    planted = F.col("planting_date")
+
+    def gdd(d: Column) -> Column:
+        counted = (d["date"] > planted) & (d["date"] <= yesterday)
+        return F.when(counted, daily_gdd(d["max_temperature"], d["min_temperature"],
+                                         F.col("gdd_base"), F.col("gdd_cap")))
+
+    # per day struct(date, gdd), only days that count
+    days = F.filter(F.transform("season", lambda d: F.struct(d["date"].alias("date"), gdd(d).alias("g"))),
+                    lambda d: d["g"].isNotNull())
+    total = F.when(F.try_element_at("_g", F.lit(-1))["date"] == yesterday,
+                   F.aggregate("_g", F.lit(0.0), lambda acc, d: acc + d["g"]))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("date").alias("under"))
+
+    def scan(acc: Column, d: Column) -> Column:
+        run = acc["sum"] + d["g"]
+        under = (run <= F.col("_s.lower")) & (d["date"] < yesterday)
+        return F.struct(run.alias("sum"), F.when(under, d["date"]).otherwise(acc["under"]).alias("under"))
+
+    def rain_from(epoch: Column) -> Column:
+        counts = lambda d: epoch.isNull() | (dates.to_epoch(d["date"]) >= epoch)
+        return F.aggregate("season", F.lit(0.0), lambda acc, d: acc + F.when(
+            counts(d), F.coalesce(d["total_rainfall"], F.lit(0.0))).otherwise(F.lit(0.0)))
+
+    seasons = season_by_grid(weather, request_date, first_day)
+    keyed = with_gdd_config(grid_crops.select(*GRID_CROP, "prev_growth_stage_id",
+                                              "prev_growth_stage_start_date", "config_id"), gdd_config)
+    looked = (keyed.join(stage_thresholds(matrix), ["crop_id", "crop_stage_type_id", "config_id"], "left")
+              .join(seasons, "grid_id")
+              .withColumn("_g", days).withColumn("total_gdd", total)
+              .withColumn("_s", F.when(F.col("stages").isNotNull(),
+                                       stage_of(F.col("total_gdd"), F.col("stages"))))
+              .withColumn("_under", F.aggregate("_g", start, scan)["under"]))
+    staged = looked.withColumns({
+        "planting_date_epoch": dates.to_epoch(planted),
+        **dict(zip(("growth_stage_id", "growth_stage_start_date"), _stage_and_start(F.col("_under"))))})
+    return staged.withColumns({
+        "seasonal_precipitation": rain_from(F.col("planting_date_epoch")),
+        "growth_stage_precipitation": rain_from(F.col("growth_stage_start_date")),
+    }).select(*GRID_CROP, "planting_date_epoch", "prev_growth_stage_id", "prev_growth_stage_start_date",
+              "config_id", "total_gdd", "growth_stage_id", "growth_stage_start_date",
+              "seasonal_precipitation", "growth_stage_precipitation", "temperature", "humidity", "p_pet")
 
 
 # ---- audit ----------------------------------------------------------------

@@ -20,22 +20,26 @@ def admit(minutes: pd.DataFrame, counts: dict[int, int], limits: dict[int, int])
     longer one its last whole hours, and rejected requests never count.
     """
     out = []
+    hours: dict[int, int] = {}
+    for m, c in counts.items():
+        hours[m // 60] = hours.get(m // 60, 0) + c
     for minute, n in zip(minutes["minute"], minutes["requests"]):
         minute, n = int(minute), int(n)
-        room = n
+        hour, room = minute // 60, n
         for length, limit in limits.items():
             if length < 60:
                 used = sum(counts.get(minute - i, 0) for i in range(length))
             else:
-                first = (minute // 60 - length // 60 + 1) * 60
-                used = sum(c for m, c in counts.items() if m >= first)
+                used = sum(hours.get(hour - i, 0) for i in range(length // 60))
             room = min(room, max(limit - used, 0))
         if room:
             counts[minute] = counts.get(minute, 0) + room
+            hours[hour] = hours.get(hour, 0) + room
         out.append((minute, n, room, n - room))
-        horizon = (minute // 60 - 24) * 60
-        for old in [m for m in counts if m < horizon]:
-            del counts[old]
+    if out:
+        oldest = (out[-1][0] // 60 - 24) * 60
+        for m in [m for m in counts if m < oldest]:
+            del counts[m]
     return out
 
 
