@@ -18,10 +18,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
                 salts: int = 16) -> DataFrame:
     """Equi join in which every key of ``big`` is spread over ``salts`` tasks.
 
-    ``small`` is repeated once per salt, so its rows per key must be few (a
-    lattice bucket, a config row). ``how`` may be inner, left, left_semi or
-    left_anti: each keeps a row of ``big`` in exactly one salt.
+    ``small`` is repeated once per salt, so it must be small against ``big``
+    (lattice buckets, config rows). Where both sides are large use a plain join
+    and leave a hot key to the adaptive skew join, which repeats only the rows
+    of that key. ``how`` may be inner, left, left_semi or left_anti: each keeps
+    a row of ``big`` in exactly one salt. One salt is a plain join.
     """
+    if salts <= 1:
+        return big.join(small, on, how)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how!r}")
     left = big.withColumn(_SALT, row_salt(big, salts))
@@ -30,6 +34,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 
+def spread_for_python(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions on the grouping keys that stay as many as configured.
+
+    Adaptive coalescing sizes partitions by bytes; Python work per row is far
+    dearer than its bytes, so merged partitions would leave cores idle. The
+    group-by that follows reuses this partitioning.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str | Column],
               keep: str = "last") -> DataFrame:
     """One whole row per key: the greatest (or least) by ``order``.

@@ -197,7 +197,7 @@ def first_area_per_point(points: DataFrame, areas: DataFrame, key: str, choose:
 # ---- nearest within a radius ----------------------------------------------
 
 def nearest_within(points: DataFrame, places: DataFrame, key: str, place_id: str,
-                   radius_m: float, salts: int = 16) -> DataFrame:
+                   radius_m: float, salts: int = 4) -> DataFrame:
     """Nearest place of each point within a radius; ties take the lower id.
 
     Cubes on the unit sphere with the radius' chord as edge: a place in reach

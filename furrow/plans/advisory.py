@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import dates, numeric, text
-from furrow.operators.skew import salted_join
 
 PARAMETERS = ["temperature", "humidity", "p_pet", "growth_stage_precipitation",
               "seasonal_precipitation"]
 SLOTS = ["message", "message_2", "message_3", "message_4", "message_5"]
 MATCH_KEYS = ["grid_id", "crop_id", "crop_stage_type_id", "planting_date_epoch"]
+CODE_SPAN = 1 << 32
 RULE_KEYS = ["config_id", "crop_id", "crop_stage_type_id", "growth_stage_id"]
 
 
@@ -106,13 +106,16 @@ def previous_messages(advisory: DataFrame, priorities: DataFrame | None = None)
         return advisory.select(*MATCH_KEYS).limit(0).withColumn(
             "prev_week_message", F.lit(None).cast("int"))
     rows = advisory.where(F.col("final_message").isNotNull()).select(
-        *MATCH_KEYS, "config_id", F.col("final_message").alias("code")).distinct()
+        *MATCH_KEYS, "config_id", F.col("final_message").cast("int").alias("code"))
     if priorities is not None:
         rows = rows.join(priorities.select("config_id", "code", "priority"), ["config_id", "code"], "left")
     else:
         rows = rows.withColumn("priority", F.lit(0))
-    rank = F.struct((-F.coalesce("priority", F.lit(0))).alias("p"), F.col("code").alias("c"))
-    return rows.groupBy(*MATCH_KEYS).agg(F.min_by("code", rank).alias("prev_week_message"))
+    # priority and code in one long: a fixed-width buffer keeps the aggregation
+    # on hashes, where a struct would make Spark sort the rows first
+    rank = -F.coalesce("priority", F.lit(0)).cast("long") * CODE_SPAN + F.col("code")
+    best = rows.groupBy(*MATCH_KEYS).agg(F.min(rank).alias("_rank"))
+    return best.select(*MATCH_KEYS, F.pmod("_rank", F.lit(CODE_SPAN)).cast("int").alias("prev_week_message"))
 
 
 def with_previous(df: DataFrame, previous: DataFrame | None) -> DataFrame:
@@ -151,12 +154,12 @@ def registry_star(registry: DataFrame, farm: DataFrame, grid: DataFrame, crop: D
 def farm_advisory(farms: DataFrame, advised: DataFrame, stage_labels: DataFrame) -> DataFrame:
     """Grid-crop results handed to every farm of the key, with stage label.
 
-    A key may carry a third of all farms, so its farms are salted over tasks;
-    the grid-crop side has one row per key and previous stage.
+    Both sides are large, so this is a plain join: a key with a third of all
+    farms is split by the adaptive skew join, which copies only that key's row.
     """
     drop = [c for c in advised.columns if c in farms.columns and c not in MATCH_KEYS]
     right = advised.drop(*drop)
-    joined = salted_join(farms, right, MATCH_KEYS)
+    joined = farms.join(right, MATCH_KEYS)
     return joined.join(stage_labels.select("growth_stage_id", "growth_stage"), "growth_stage_id", "left")
 
 
@@ -332,6 +335,6 @@ def run(registry: DataFrame, farm: DataFrame, grid: DataFrame, crop: DataFrame,
         right = right.withColumn(f"_{c}", F.coalesce(c, F.lit(-1))).drop(c)
         farms = farms.withColumn(f"_{c}", F.coalesce(c, F.lit(-1)))
     on = [*MATCH_KEYS, "_prev_growth_stage_id", "_prev_growth_stage_start_date", "config_id"]
-    joined = salted_join(farms, right, on).drop("_prev_growth_stage_id", "_prev_growth_stage_start_date")
+    joined = farms.join(right, on).drop("_prev_growth_stage_id", "_prev_growth_stage_start_date")
     joined = joined.join(stage_labels, "growth_stage_id", "left")
     return with_date_parts(joined, request_date)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import dates, numeric, text
 from furrow.operators import spatial
-from furrow.operators.skew import latest_by, salted_join
+from furrow.operators.skew import latest_by, salted_join, spread_for_python
 
 #: fixed values: model input variables, row layout, declared outputs
 VARIABLES = ["evapotranspirationSum", "rainAccumulationSum", "temperatureMax",
@@ -87,7 +87,7 @@ def run_model(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) ->
     repeated source cannot inflate a group.
     """
     days = latest_by(rows, ["grid_id", "date"], list(ROW_LAYOUT[2:]))
-    return days.groupBy("grid_id").applyInPandas(model, MODEL_SCHEMA)
+    return spread_for_python(days, "grid_id").groupBy("grid_id").applyInPandas(model, MODEL_SCHEMA)
 
 
 def default_model(rows: pd.DataFrame) -> pd.DataFrame:

@@ -163,7 +163,7 @@ def grid_files(spark: SparkSession, path: str, variables: list[str]) -> tuple[Da
     The file name starts with the grid id; a file whose document has no
     interval counts as invalid.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = (spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
            .withColumn("grid_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+?)(?:-|_|\.)", 1)))
     parsed = F.from_json("value", TIMELINE)
     steps = F.size(F.coalesce(F.get(parsed["data"]["timelines"], 0)["intervals"], F.array()))

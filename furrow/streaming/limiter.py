@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.skew import spread_for_python
+
 MINUTE_OUT = "user_id long, minute long, requests long, allowed long, rejected long"
 
 
@@ -61,7 +63,8 @@ def limit_batch(log: DataFrame, limits: dict[int, int]) -> DataFrame:
         return pd.DataFrame([(pdf["user_id"].iloc[0], *r) for r in rows],
                             columns=["user_id", "minute", "requests", "allowed", "rejected"])
 
-    return per_minute(log).groupBy("user_id").applyInPandas(one_user, MINUTE_OUT)
+    counted = spread_for_python(per_minute(log), "user_id")
+    return counted.groupBy("user_id").applyInPandas(one_user, MINUTE_OUT)
 
 
 def limit_stream(log: DataFrame, limits: dict[int, int], delay: str = "1 minute") -> DataFrame:
