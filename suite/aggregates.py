@@ -90,11 +90,11 @@ def _(t):
     return audit.per_country(t.grid, t.country)
 
 
-LOG_SQL = """(SELECT farm_unique_id, crop, min('Stage ' || (registry_id % 4 + 1)) AS growth_stage_in FROM {advisory_hist} WHERE registry_id % 2 = 0 GROUP BY 1, 2)"""
+LOG_SQL = """(SELECT farm_unique_id, crop, min('Stage ' || (registry_id % 4 + 1)) AS growth_stage_in FROM {advisory_hist} WHERE NOT is_empty_message GROUP BY 1, 2)"""
 
 
 def external_log(t):
-    return t.advisory_hist.where("registry_id % 2 = 0").select("farm_unique_id", "crop", F.concat(
+    return t.advisory_hist.where("not is_empty_message").select("farm_unique_id", "crop", F.concat(
         F.lit("Stage "), (F.col("registry_id") % 4 + 1).cast("string")).alias("growth_stage_in"))
 
 
@@ -149,7 +149,7 @@ REG_KEY = "group_id, farm_id, crop_id, crop_stage_type_id, planting_date"
 
 @query("A19_registry_counts", f"""
 WITH r AS (SELECT registry_id, {REG_KEY}, CASE WHEN registry_id % 9 = 0 THEN NULL ELSE 1 END AS grid_id FROM {{registry}}),
-e AS (SELECT DISTINCT {REG_KEY} FROM {{registry}} WHERE registry_id % 3 = 0),
+e AS (SELECT DISTINCT {REG_KEY} FROM {{registry}} WHERE group_id = 0),
 m AS (SELECT r.*, EXISTS (SELECT 1 FROM e WHERE e.group_id = r.group_id AND e.farm_id = r.farm_id AND e.crop_id = r.crop_id
    AND e.crop_stage_type_id = r.crop_stage_type_id AND e.planting_date = r.planting_date) AS old FROM r)
 SELECT count(*) AS total, count(*) FILTER (NOT old AND grid_id IS NOT NULL) AS insertable, count(*) FILTER (old) AS existing,
@@ -157,7 +157,7 @@ SELECT count(*) AS total, count(*) FILTER (NOT old AND grid_id IS NOT NULL) AS i
 def _(t):
     from furrow.plans import registry
     rows = t.registry.withColumn("grid_id", F.when(F.col("registry_id") % 9 != 0, F.lit(1)))
-    return registry.counts(rows, t.registry.where("registry_id % 3 = 0"))
+    return registry.counts(rows, t.registry.where("group_id = 0"))
 
 
 @query("A20_indicator_totals", """

@@ -135,16 +135,15 @@ def _(t):
 
 
 @query("J13_dimension_lookup", """
-WITH d AS (SELECT CAST(row_number() OVER (ORDER BY b) AS BIGINT) AS brand_id, b AS name FROM (SELECT DISTINCT p_brand AS b FROM part WHERE p_size < 3)),
+WITH d AS (SELECT CAST(substr(b, 7) AS BIGINT) AS brand_id, b AS name FROM (SELECT DISTINCT p_brand AS b FROM part WHERE p_size < 3)),
 fresh AS (SELECT lower(p_brand) AS k, min(p_brand) AS name FROM part WHERE lower(p_brand) NOT IN (SELECT lower(name) FROM d) GROUP BY 1),
 added AS (SELECT (SELECT COALESCE(max(brand_id), 0) FROM d) + row_number() OVER (ORDER BY md5(k), k) AS brand_id, name FROM fresh),
 m AS (SELECT * FROM d UNION ALL SELECT * FROM added)
 SELECT p.p_partkey, m.brand_id FROM part p JOIN m ON lower(m.name) = lower(p.p_brand)""")
 def _(t):
-    from pyspark.sql import Window
-    # brands of small parts are the known dimension (25 names at most)
+    # brands of small parts are the known dimension, numbered by their label
     known = t.part.where("p_size < 3").select(F.col("p_brand").alias("name")).distinct()
-    known = known.withColumn("brand_id", F.row_number().over(Window.orderBy("name")).cast("long"))
+    known = known.withColumn("brand_id", F.substring("name", 7, 9).cast("long"))
     rows = t.part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.upper("p_brand")).alias("p_brand"))
     out, _dim = registry.merge_lookup(rows, known.select("brand_id", "name"), "p_brand", "brand_id")
     return out.select("p_partkey", "brand_id")
@@ -220,14 +219,14 @@ def _(t):
 
 @query("J21_registry_upsert", """
 WITH r AS (SELECT registry_id, group_id, farm_id, crop_id, crop_stage_type_id, planting_date, registry_id AS grid_id FROM {registry}),
-e AS (SELECT * FROM r WHERE registry_id % 3 = 0),
+e AS (SELECT * FROM r WHERE group_id = 0),
 u AS (SELECT e.registry_id FROM r JOIN e USING (group_id, farm_id, crop_id, crop_stage_type_id, planting_date))
 SELECT 'update' AS kind, count(*) AS n FROM u UNION ALL SELECT 'insert', count(*) FROM (
   SELECT DISTINCT group_id, farm_id, crop_id, crop_stage_type_id, planting_date FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.group_id = r.group_id AND e.farm_id = r.farm_id
    AND e.crop_id = r.crop_id AND e.crop_stage_type_id = r.crop_stage_type_id AND e.planting_date = r.planting_date))""")
 def _(t):
     rows = t.registry.select(*registry.KEY, F.col("registry_id").alias("grid_id"))
-    up, ins = registry.split_upsert(rows, t.registry.where("registry_id % 3 = 0"))
+    up, ins = registry.split_upsert(rows, t.registry.where("group_id = 0"))
     one = lambda d, k: d.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
     return one(up, "update").unionByName(one(ins, "insert"))
 
@@ -271,9 +270,9 @@ def _(t):
 
 @query("J26_stage_write_back", """
 SELECT r.registry_id, COALESCE(a.growth_stage_id, r.prev_growth_stage_id) AS prev_growth_stage_id, COALESCE(a.growth_stage_start_date, r.prev_growth_stage_start_date) AS prev_growth_stage_start_date
-FROM {registry} r LEFT JOIN (SELECT * FROM {advisory_hist} WHERE registry_id % 4 <> 0) a ON r.registry_id = a.registry_id""")
+FROM {registry} r LEFT JOIN (SELECT * FROM {advisory_hist} WHERE NOT is_empty_message) a ON r.registry_id = a.registry_id""")
 def _(t):
-    out = advisory.write_back_stages(t.registry, t.advisory_hist.where("registry_id % 4 <> 0"))
+    out = advisory.write_back_stages(t.registry, t.advisory_hist.where("not is_empty_message"))
     return out.select("registry_id", "prev_growth_stage_id", "prev_growth_stage_start_date")
 
 

@@ -9,18 +9,18 @@ from suite.aggregates import ATTRIBUTES
 from suite.base import query
 
 
-@query("K01_advisory_write", "SELECT registry_id, iso_a3, year, month, day, final_message FROM {advisory_hist} WHERE year = 1998")
+@query("K01_advisory_write", "SELECT registry_id, iso_a3, year, month, day, final_message FROM {advisory_hist}")
 def _(t):
     path = scratch_dir(t.spark, "advisory")
-    rows = t.advisory_hist.where("year = 1998").select("registry_id", "grid_id", "iso_a3", "year", "month", "day", "final_message")
-    # few large partitions in the stand-in: fold the day so that a run is a month
-    tables.write_partitions(rows.withColumnRenamed("day", "d"), path, ["year", "month"], ["iso_a3", "grid_id", "registry_id"])
-    return t.spark.read.parquet(path).select("registry_id", "iso_a3", "year", "month", F.col("d").alias("day"), "final_message")
+    rows = t.advisory_hist.select("registry_id", "grid_id", "iso_a3", "year", "month", "day", "final_message")
+    # the stand-in spreads over thousands of days: its runs are months, the day a column
+    tables.write_partitions(rows, path, ["year", "month"], ["iso_a3", "day", "grid_id", "registry_id"])
+    return t.spark.read.parquet(path).select("registry_id", "iso_a3", "year", "month", "day", "final_message")
 
 
-@query("K02_stage_tables", "SELECT grid_id, date, max_temperature FROM {weather} WHERE date >= DATE '1998-01-01'")
+@query("K02_stage_tables", "SELECT grid_id, date, max_temperature FROM {weather}")
 def _(t):
-    rows = t.weather.where("date >= '1998-01-01'").select("grid_id", "date", "max_temperature")
+    rows = t.weather.select("grid_id", "date", "max_temperature")
     return tables.write_stage(rows, scratch_dir(t.spark, "stage"))
 
 
@@ -39,13 +39,13 @@ def _(t):
     return t.spark.read.parquet(path).select("station_id", "date_time", "v", "lon", "month")
 
 
-@query("K04_observation_append", f"SELECT station_id, date_time, v, CASE WHEN station_id % 2 = 0 THEN v * 2 END AS extra FROM {_OBS}")
+@query("K04_observation_append", f"SELECT station_id, date_time, v, CASE WHEN lon < 40 THEN v * 2 END AS extra FROM {_OBS}")
 def _(t):
     path = scratch_dir(t.spark, "obs")
     rows = obs(t)
-    tables.write_observations(rows.where("station_id % 2 = 1"), path, use_month=True)
-    late = rows.where("station_id % 2 = 0").withColumn("extra", F.col("v") * 2).unionByName(
-        rows.where("station_id % 2 = 1").withColumn("extra", F.lit(None).cast("double")))
+    tables.write_observations(rows.where("lon >= 40"), path, use_month=True)
+    late = rows.where("lon < 40").withColumn("extra", F.col("v") * 2).unionByName(
+        rows.where("lon >= 40").withColumn("extra", F.lit(None).cast("double")))
     tables.append_observations(t.spark, late, path, use_month=True)
     return t.spark.read.option("mergeSchema", True).parquet(path).select("station_id", "date_time", "v", "extra")
 
@@ -68,18 +68,18 @@ def _(t):
 
 
 @query("K07_advisory_csv", """
-SELECT registry_id, farm_unique_id AS farmer_id, final_message AS message_code, growth_stage, preferred_language FROM {advisory_hist} WHERE year = 1998""")
+SELECT registry_id, farm_unique_id AS farmer_id, final_message AS message_code, growth_stage, preferred_language FROM {advisory_hist}""")
 def _(t):
     path = scratch_dir(t.spark, "csv")
-    out = advisory.export_columns(t.advisory_hist.where("year = 1998"), ["registry_id", "farmer_id", "message_code", "growth_stage", "preferred_language"])
+    out = advisory.export_columns(t.advisory_hist, ["registry_id", "farmer_id", "message_code", "growth_stage", "preferred_language"])
     documents.write_text(out, path, ["registry_id"])
     return t.spark.read.schema("registry_id long, farmer_id string, message_code int, growth_stage string, preferred_language string").option("header", True).csv(path)
 
 
-@query("K08_gridded_text", "SELECT date, lat, lon, max_temperature + 0.125 AS v FROM {reanalysis} WHERE date >= DATE '1998-01-01'")
+@query("K08_gridded_text", "SELECT date, lat, lon, max_temperature + 0.125 AS v FROM {reanalysis}")
 def _(t):
     path = scratch_dir(t.spark, "tsv")
-    rows = t.reanalysis.where("date >= '1998-01-01'").select("date", "lat", "lon", (F.col("max_temperature") + 0.125).alias("v"))
+    rows = t.reanalysis.select("date", "lat", "lon", (F.col("max_temperature") + 0.125).alias("v"))
     documents.write_text(rows, path, sep="\t")
     return t.spark.read.schema("date date, lat double, lon double, v double").option("header", True).option("sep", "\t").csv(path)
 
@@ -120,21 +120,21 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("K13_seasonal_upsert", "SELECT forecast_date, count(*) AS n, sum(CASE WHEN forecast_date = DATE '1998-03-01' THEN temp * 2 ELSE temp END) AS total FROM {ensemble} WHERE forecast_date >= DATE '1998-01-01' GROUP BY 1")
+@query("K13_seasonal_upsert", "SELECT forecast_date, count(*) AS n, sum(CASE WHEN forecast_date = DATE '1998-03-01' THEN temp * 2 ELSE temp END) AS total FROM {ensemble} GROUP BY 1")
 def _(t):
     path = scratch_dir(t.spark, "ens")
-    e = t.ensemble.where("forecast_date >= '1998-01-01'")
+    e = t.ensemble
     tables.upsert_partition(e, path, cluster=["forecast_day_idx", "lat", "lon"])
     tables.upsert_partition(e.where("forecast_date = '1998-03-01'").withColumn("temp", F.col("temp") * 2), path, cluster=["forecast_day_idx", "lat", "lon"])
     return t.spark.read.parquet(path).groupBy("forecast_date").agg(F.count("*").alias("n"), F.sum("temp").alias("total"))
 
 
 @query("K14_variable_merge", """
-SELECT COALESCE(a.date, b.date) AS date, COALESCE(a.grid_id, b.grid_id) AS grid_id, a.max_temperature, b.humidity FROM (SELECT date, grid_id, max_temperature FROM {weather} WHERE grid_id % 3 <> 0) a
-FULL JOIN (SELECT date, grid_id, humidity FROM {weather} WHERE grid_id % 3 <> 1) b ON a.date = b.date AND a.grid_id = b.grid_id""")
+SELECT COALESCE(a.date, b.date) AS date, COALESCE(a.grid_id, b.grid_id) AS grid_id, a.max_temperature, b.humidity FROM (SELECT date, grid_id, max_temperature FROM {weather} WHERE max_temperature > 15) a
+FULL JOIN (SELECT date, grid_id, humidity FROM {weather} WHERE humidity > 20) b ON a.date = b.date AND a.grid_id = b.grid_id""")
 def _(t):
-    a = t.weather.where("grid_id % 3 <> 0").select("date", "grid_id", "max_temperature")
-    b = t.weather.where("grid_id % 3 <> 1").select("date", "grid_id", "humidity")
+    a = t.weather.where("max_temperature > 15").select("date", "grid_id", "max_temperature")
+    b = t.weather.where("humidity > 20").select("date", "grid_id", "humidity")
     return ingest.merge_variables(a, b, ["date", "grid_id"], "humidity")
 
 
@@ -169,12 +169,12 @@ def _(t):
 @query("K19_keyed_upsert", """
 SELECT farm_id, arg_max(signal_id, signal_id) AS last_id, arg_min(signal_id, signal_id) AS first_id FROM {signal} GROUP BY farm_id""")
 def _(t):
-    s = t.signal.select("farm_id", "signal_id", F.col("signal_id").alias("arrival"))
-    old, new = s.where("signal_id % 2 = 0").withColumn("arrival", F.lit(0)), s
+    s = t.signal.select("farm_id", "signal_id", "signal", F.col("signal_id").alias("arrival"))
+    old, new = s.where("signal like 'Plant%'").withColumn("arrival", F.lit(0)), s.drop("signal")
     first_old = old.groupBy("farm_id").agg(F.min("signal_id").alias("signal_id"), F.min("arrival").alias("arrival"))
     last = ingest.upsert(first_old, new, ["farm_id"], "last").select("farm_id", F.col("signal_id").alias("last_id"))
     # keep-first: nothing stored yet, so the earliest arrival of the load stays
-    first = ingest.upsert(s.where("false"), new, ["farm_id"], "first").select("farm_id", F.col("signal_id").alias("first_id"))
+    first = ingest.upsert(new.where("false"), new, ["farm_id"], "first").select("farm_id", F.col("signal_id").alias("first_id"))
     return last.join(first, "farm_id")
 
 
