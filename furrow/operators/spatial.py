@@ -84,11 +84,8 @@ def cell_locations(cube: DataFrame, lat: str = "lat", lon: str = "lon") -> DataF
     Axis enumeration: each latitude row explodes the longitude axis, which is
     one array of a few thousand numbers; no join of tables takes place.
     """
-    lons = cube.select(lon).distinct().agg(
-        F.array_sort(F.collect_list(lon)).alias("_lons"))
-    rows = cube.select(lat).distinct().withColumn("_one", F.lit(1))
-    return (rows.join(F.broadcast(lons.withColumn("_one", F.lit(1))), "_one")
-            .select(lat, F.explode("_lons").alias(lon)))
+    lons = cube.select(lon).distinct().agg(F.array_sort(F.collect_list(lon)))
+    return cube.select(lat).distinct().select(lat, F.explode(lons.scalar()).alias(lon))
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coord: str,
@@ -99,14 +96,13 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coord: str,
     nearest coordinate is in the same or a neighbouring bucket. Values beyond
     the ends are clamped for the bucket only. Ties take the lower coordinate.
     """
-    ends = axis.agg(F.min(coord).alias("_lo"), F.max(coord).alias("_hi"))
+    ends = axis.agg(F.struct(F.min(coord).alias("lo"), F.max(coord).alias("hi")))
     b = lambda c: F.floor(c / F.lit(float(max_gap))).cast("long")
     near = axis.select(coord).distinct().withColumn(
         "_b", F.explode(F.array(b(F.col(coord)) - 1, b(F.col(coord)), b(F.col(coord)) + 1)))
-    p = (points.withColumn("_one", F.lit(1))
-         .join(F.broadcast(ends.withColumn("_one", F.lit(1))), "_one")
-         .withColumn("_b", b(F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))))
-         .drop("_one", "_lo", "_hi"))
+    p = (points.select("*", ends.scalar().alias("_ends"))
+         .withColumn("_b", b(F.least(F.greatest(F.col(value), F.col("_ends.lo")), F.col("_ends.hi"))))
+         .drop("_ends"))
     hit = salted_join(p, near, ["_b"])
     rest = [c for c in points.columns if c not in key]
     return hit.groupBy(*key).agg(
@@ -249,7 +245,7 @@ def _box_bounds(p: Column, cell: Column, level: int) -> tuple[Column, Column]:
 
 
 def octree_depth(places: DataFrame, leaf: int = 64,
-                 levels: tuple[int, ...] = (2, 5, 8, 11, 14, 17)) -> list[int]:
+                 levels: tuple[int, ...] = (2, 4, 7, 10, 13, 16)) -> list[int]:
     """Levels needed until no cell holds more than ``leaf`` distinct positions.
 
     One distributed pass; the driver sees a single row of counts.
@@ -287,28 +283,32 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, place_id: str,
     for level in levels:
         spots = spots.withColumn(f"_c{level}", _octree(spots, level))
     asked = points.select("lon", "lat").distinct()
-    live = asked.withColumn("_p", geo.unit_xyz(F.col("lon"), F.col("lat")))
-    parent = None
-    for level in levels:
+    position = geo.unit_xyz(F.col("lon"), F.col("lat"))
+
+    def bounds(cell: Column, level: int) -> Column:
+        low, high = _box_bounds(F.col("_p"), cell, level)
+        return F.struct(low.alias("low"), high.alias("high"), cell.alias("cell"))
+
+    def survivors(df: DataFrame, level: int) -> DataFrame:
+        """Cells of ``_cells`` that can hold the nearest place, one row each."""
+        best = F.array_min(F.transform("_cells", lambda c: c["high"])) * (1 + 1e-9) + 1e-15
+        kept = df.withColumn("_best", best).withColumn("_cell", F.explode(F.filter(
+            "_cells", lambda c: c["low"] <= F.col("_best"))))
+        return kept.select("lon", "lat", position.alias("_p"), F.col("_cell.cell").alias(f"_c{level}"))
+
+    # first level: the occupied cells are one array of at most 8**level entries
+    top = levels[0]
+    cells = spots.select(f"_c{top}").distinct().agg(F.collect_list(f"_c{top}"))
+    live = asked.select("lon", "lat", position.alias("_p"), cells.scalar().alias("_all"))
+    live = survivors(live.withColumn("_cells", F.transform("_all", lambda c: bounds(c, top))), top)
+    parent = f"_c{top}"
+    for level in levels[1:]:
         cell = f"_c{level}"
-        cols = [cell] if parent is None else [parent, cell]
-        # occupied cells: at most 2**(2*level+3), a size known before reading
-        cells = spots.select(*cols).distinct()
-        if parent is None:
-            cells, live = cells.withColumn("_root", F.lit(0)), live.withColumn("_root", F.lit(0))
-            live = live.join(F.broadcast(cells), "_root").drop("_root")
-        else:
-            live = salted_join(live, cells, [parent], "inner", salts).drop(parent)
-        low, high = _box_bounds(F.col("_p"), F.col(cell), level)
-        live = live.withColumn("_low", low).withColumn("_high", high)
-        best = live.groupBy("lon", "lat").agg(
-            F.min("_high").alias("_best"),
-            F.collect_list(F.struct("_low", cell)).alias("_cells"))
-        live = (best.withColumn("_cell", F.explode(F.filter(
-                    "_cells", lambda c: c["_low"] <= F.col("_best") * (1 + 1e-9) + 1e-15)))
-                .select("lon", "lat", F.col(f"_cell.{cell}").alias(cell)))
-        live = live.withColumn("_p", geo.unit_xyz(F.col("lon"), F.col("lat")))
-        parent = cell
+        children = spots.select(parent, cell).distinct()
+        live = salted_join(live, children, [parent], "inner", salts)
+        live = live.groupBy("lon", "lat").agg(
+            F.first("_p").alias("_p"), F.collect_list(bounds(F.col(cell), level)).alias("_cells"))
+        live, parent = survivors(live, level), cell
     leaf = spots.select(parent, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), place_id)
     pairs = salted_join(live.drop("_p"), leaf, [parent], "inner", salts).withColumn(
         "distance_m", F.round(geo.haversine_m(

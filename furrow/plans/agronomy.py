@@ -321,12 +321,12 @@ def crop_parameters(crops: DataFrame, lookup: DataFrame, name: str = "crop") ->
     row-by-row join is needed.
     """
     folded = lookup.agg(F.array_sort(F.collect_list(
-        F.struct("order", "key", "base", "cap"))).alias("_l")).withColumn("_one", F.lit(1))
+        F.struct("order", "key", "base", "cap"))))
     hit = lambda l, n: F.get(F.filter(l, lambda k: F.contains(F.lower(n), k["key"])), 0)
-    return (crops.withColumn("_one", F.lit(1)).join(F.broadcast(folded), "_one")
+    return (crops.select("*", folded.scalar().alias("_l"))
             .withColumn("_h", hit(F.col("_l"), F.col(name)))
             .withColumn("gdd_base", F.col("_h.base")).withColumn("gdd_cap", F.col("_h.cap"))
-            .drop("_l", "_h", "_one"))
+            .drop("_l", "_h"))
 
 
 def gdd_audit(weather: DataFrame, crops: DataFrame, lookup: DataFrame, planting: str,

@@ -44,13 +44,13 @@ def classify(df: DataFrame, classes: DataFrame, amount: str) -> DataFrame:
     The table is folded to one array, so no range join is needed.
     """
     folded = classes.agg(F.array_sort(F.collect_list(F.struct(
-        "class_id", "name", "min_value", "max_value"))).alias("_c")).withColumn("_one", F.lit(1))
+        "class_id", "name", "min_value", "max_value"))))
     hit = F.get(F.filter("_c", lambda c: (
         (c["min_value"].isNull() | (F.col(amount) >= c["min_value"]))
         & (c["max_value"].isNull() | (F.col(amount) <= c["max_value"])))), 0)
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(folded), "_one")
+    return (df.select("*", folded.scalar().alias("_c"))
             .withColumn("class_id", hit["class_id"]).withColumn("class_name", hit["name"])
-            .drop("_c", "_one"))
+            .drop("_c"))
 
 
 def layout(pests: list[str], forecast_fields: list[str],

@@ -35,10 +35,9 @@ def merge_lookup(rows: DataFrame, dimension: DataFrame, field: str, dim_id: str,
     named = rows.where(F.col(field).isNotNull() & (F.col(field) != ""))
     fresh = (named.groupBy(F.lower(field).alias("_k")).agg(F.min(field).alias(dim_name))
              .join(dimension.select(F.lower(dim_name).alias("_k")).distinct(), "_k", "left_anti"))
-    top = dimension.agg(F.coalesce(F.max(dim_id), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    numbered = dense_ids(fresh, "_k", "_seq").withColumn("_one", F.lit(1))
-    added = (numbered.join(F.broadcast(top), "_one")
-             .select((F.col("_top") + F.col("_seq")).cast("long").alias(dim_id), dim_name))
+    top = dimension.agg(F.coalesce(F.max(dim_id), F.lit(0)))
+    added = dense_ids(fresh, "_k", "_seq").select(
+        (top.scalar() + F.col("_seq")).cast("long").alias(dim_id), dim_name)
     merged = dimension.select(F.col(dim_id).cast("long").alias(dim_id), dim_name).unionByName(added)
     keys = merged.groupBy(F.lower(dim_name).alias("_k")).agg(F.min(dim_id).alias(dim_id))
     out = (rows.withColumn("_k", F.lower(field)).join(keys, "_k", "left").drop("_k"))
@@ -85,11 +84,10 @@ def new_farms(rows: DataFrame, farm: DataFrame) -> DataFrame:
     fresh = rows.where(F.col("farm_id").isNull() & F.col("grid_id").isNotNull())
     one = latest_by(fresh.select("farmer_id", "lon", "lat", "grid_id"), ["farmer_id"],
                     ["lon", "lat", "grid_id"], keep="first")
-    top = farm.agg(F.coalesce(F.max("farm_id"), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    return (dense_ids(one, "farmer_id", "_seq").withColumn("_one", F.lit(1))
-            .join(F.broadcast(top), "_one")
-            .select((F.col("_top") + F.col("_seq")).cast("long").alias("farm_id"),
-                    F.col("farmer_id").alias("farm_unique_id"), "lon", "lat", "grid_id"))
+    top = farm.agg(F.coalesce(F.max("farm_id"), F.lit(0)))
+    return dense_ids(one, "farmer_id", "_seq").select(
+        (top.scalar() + F.col("_seq")).cast("long").alias("farm_id"),
+        F.col("farmer_id").alias("farm_unique_id"), "lon", "lat", "grid_id")
 
 
 def split_upsert(rows: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:

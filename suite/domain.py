@@ -390,10 +390,9 @@ def _(t):
     load = registry.ingest(registry_csv(t), 77, t.farm.select("farm_id", "farm_unique_id", "grid_id"),
                            t.grid.select("grid_id", "lon", "lat").join(grid_areas(t), "grid_id"), t.crop, t.stage_type, empty,
                            {"subcounty": t.spark.createDataFrame([(4, "1-urgent")], "subcounty_id long, name string")})
-    n = load.counts.drop("mismatch").withColumn("_one", F.lit(1))
-    one = lambda d, c: d.agg(F.count("*").alias(c)).withColumn("_one", F.lit(1))
-    return (n.join(one(load.farms, "new_farms"), "_one").join(one(load.inserts, "inserted"), "_one")
-            .join(one(load.dimensions["subcounty"], "subcounties"), "_one").drop("_one"))
+    count = lambda d: d.agg(F.count("*")).scalar()
+    return load.counts.drop("mismatch").select("*", count(load.farms).alias("new_farms"), count(load.inserts).alias("inserted"),
+                                               count(load.dimensions["subcounty"]).alias("subcounties"))
 
 
 # ---- observations and cubes -----------------------------------------------

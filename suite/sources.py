@@ -214,9 +214,9 @@ def balloon_docs(t):
 SELECT (SELECT count(DISTINCT station_id) FROM {track}) AS missions, (SELECT count(DISTINCT (station_id, date_trunc('second', date_time))) FROM {track}) AS track_points, count(*) AS measurements, sum(history_id % 800 / 8) AS total FROM {track}""")
 def _(t):
     missions, track, eav = landed.balloon_rows(balloon_docs(t), "body", ["humidity", "temperature"])
-    one = lambda d, *a: d.agg(*a).withColumn("_one", F.lit(1))
-    return (one(missions, F.count("*").alias("missions")).join(one(track, F.count("*").alias("track_points")), "_one")
-            .join(one(eav, F.count("*").alias("measurements"), F.sum("value").alias("total")), "_one").drop("_one"))
+    count = lambda d: d.agg(F.count("*")).scalar()
+    return eav.agg(F.count("*").alias("measurements"), F.sum("value").alias("total")).select(
+        "*", count(missions).alias("missions"), count(track).alias("track_points"))
 
 
 @query("S23_grid_files", """
