@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import geo
 from furrow.operators.skew import salted_join
+from furrow.session import scratch_dir, write_stage
 
 
 # ---- filters --------------------------------------------------------------
@@ -224,11 +225,18 @@ def nearest_within(points: DataFrame, places: DataFrame, key: str, place_id: str
 
 # ---- unbounded nearest ----------------------------------------------------
 
-def _octree(df: DataFrame, level: int) -> Column:
-    n = float(1 << level)
+_FINEST = 17
+
+
+def _finest_cell(position: Column) -> Column:
+    """Octree cell of a unit-sphere position at the finest level."""
+    n = float(1 << _FINEST)
     f = lambda c: F.least(F.floor((c + 1) / 2 * n), F.lit(n - 1)).cast("long")
-    return F.struct(f(F.col("_p.x")).alias("x"), f(F.col("_p.y")).alias("y"),
-                    f(F.col("_p.z")).alias("z"))
+    return F.struct(*[f(position[a]).alias(a) for a in "xyz"])
+
+
+def _cell_at(finest: Column, level: int) -> Column:
+    return F.struct(*[F.shiftright(finest[a], _FINEST - level).alias(a) for a in "xyz"])
 
 
 def _box_bounds(p: Column, cell: Column, level: int) -> tuple[Column, Column]:
@@ -244,23 +252,19 @@ def _box_bounds(p: Column, cell: Column, level: int) -> tuple[Column, Column]:
     return low, high
 
 
-def octree_depth(places: DataFrame, leaf: int = 64,
+def octree_depth(spots: DataFrame, leaf: int = 64,
                  levels: tuple[int, ...] = (2, 4, 7, 10, 13, 16)) -> list[int]:
     """Levels needed until no cell holds more than ``leaf`` distinct positions.
 
-    One distributed pass; the driver sees a single row of counts.
+    One aggregation per level over cell counts; the driver sees one number each.
     """
-    spots = places.select("lon", "lat").distinct().withColumn(
-        "_p", geo.unit_xyz(F.col("lon"), F.col("lat")))
-    finest = spots.withColumn("_c", _octree(spots, levels[-1])).groupBy("_c").agg(
-        F.count("*").alias("_n"))
+    counts = spots.groupBy(_cell_at(F.col("_c"), levels[-1]).alias("_c")).agg(F.count("*").alias("_n"))
     used = []
     for level in levels:
         used.append(level)
-        shift = levels[-1] - level
-        up = finest.groupBy(*[F.shiftright(F.col("_c")[a], shift).alias(a) for a in "xyz"]).agg(
-            F.sum("_n").alias("_n")).agg(F.max("_n").alias("m")).first()
-        if up is None or up.m is None or up.m <= leaf:
+        up = counts.groupBy(*[F.shiftright(F.col("_c")[a], levels[-1] - level).alias(a) for a in "xyz"])
+        most = up.agg(F.sum("_n").alias("_n")).agg(F.max("_n").alias("m")).first().m
+        if (most or 0) <= leaf:
             break
     return used
 
@@ -275,15 +279,17 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, place_id: str,
     joins to their occupied children; the survivors are a handful per point
     however many places there are. Equal positions are reduced to one
     beforehand on both sides, so a pile of copies costs nothing.
+
+    The distinct places are written once to the shared scratch folder: they
+    are read per level, and what selects them (a semi join with a large
+    measurement table, say) must not run again each time.
     Rows: key, place_id, distance_m.
     """
-    levels = levels or octree_depth(places)
-    spots = places.groupBy("lon", "lat").agg(F.min(place_id).alias(place_id))
-    spots = spots.withColumn("_p", geo.unit_xyz(F.col("lon"), F.col("lat")))
-    for level in levels:
-        spots = spots.withColumn(f"_c{level}", _octree(spots, level))
-    asked = points.select("lon", "lat").distinct()
     position = geo.unit_xyz(F.col("lon"), F.col("lat"))
+    spots = places.groupBy("lon", "lat").agg(F.min(place_id).alias(place_id)).withColumn(
+        "_c", _finest_cell(position))
+    spots = write_stage(spots, scratch_dir(points.sparkSession, "places"))
+    levels = levels or octree_depth(spots)
 
     def bounds(cell: Column, level: int) -> Column:
         low, high = _box_bounds(F.col("_p"), cell, level)
@@ -294,23 +300,25 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, place_id: str,
         best = F.array_min(F.transform("_cells", lambda c: c["high"])) * (1 + 1e-9) + 1e-15
         kept = df.withColumn("_best", best).withColumn("_cell", F.explode(F.filter(
             "_cells", lambda c: c["low"] <= F.col("_best"))))
-        return kept.select("lon", "lat", position.alias("_p"), F.col("_cell.cell").alias(f"_c{level}"))
+        return kept.select("lon", "lat", position.alias("_p"), F.col("_cell.cell").alias("_at"))
 
     # first level: the occupied cells are one array of at most 8**level entries
     top = levels[0]
-    cells = spots.select(f"_c{top}").distinct().agg(F.collect_list(f"_c{top}"))
-    live = asked.select("lon", "lat", position.alias("_p"), cells.scalar().alias("_all"))
+    cells = spots.select(_cell_at(F.col("_c"), top).alias("c")).distinct().agg(F.collect_list("c"))
+    live = points.select("lon", "lat").distinct().select(
+        "lon", "lat", position.alias("_p"), cells.scalar().alias("_all"))
     live = survivors(live.withColumn("_cells", F.transform("_all", lambda c: bounds(c, top))), top)
-    parent = f"_c{top}"
+    parent = top
     for level in levels[1:]:
-        cell = f"_c{level}"
-        children = spots.select(parent, cell).distinct()
-        live = salted_join(live, children, [parent], "inner", salts)
+        children = spots.select(_cell_at(F.col("_c"), parent).alias("_at"),
+                                _cell_at(F.col("_c"), level).alias("_child")).distinct()
+        live = salted_join(live, children, ["_at"], "inner", salts)
         live = live.groupBy("lon", "lat").agg(
-            F.first("_p").alias("_p"), F.collect_list(bounds(F.col(cell), level)).alias("_cells"))
-        live, parent = survivors(live, level), cell
-    leaf = spots.select(parent, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), place_id)
-    pairs = salted_join(live.drop("_p"), leaf, [parent], "inner", salts).withColumn(
+            F.first("_p").alias("_p"), F.collect_list(bounds(F.col("_child"), level)).alias("_cells"))
+        live, parent = survivors(live, level), level
+    leaf = spots.select(_cell_at(F.col("_c"), parent).alias("_at"), F.col("lon").alias("_lon"),
+                        F.col("lat").alias("_lat"), place_id)
+    pairs = salted_join(live.drop("_p"), leaf, ["_at"], "inner", salts).withColumn(
         "distance_m", F.round(geo.haversine_m(
             F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")), 3))
     best = pairs.groupBy("lon", "lat").agg(

@@ -66,6 +66,7 @@ class Dataset:
     lattice: tuple[float, float, float] | None = None
     ensembles: set[str] = field(default_factory=set)
     max_days: int = -1
+    latest: dt.date | None = None  # newest run, where the catalogue knows it
     units: dict[str, dict] = field(default_factory=dict)
     internal: bool = False
 
@@ -126,7 +127,7 @@ def measure(datasets: list[Dataset], request: Request) -> DataFrame:
         hourly = ds.kind == "forecast_hourly"
         near = cubes.at_location(ds.table, loc, *lattice)
         out = cubes.read_forecast(near, cols, day0, day1,
-                                  latest=cubes.latest_forecast_date(ds.table), hourly=hourly)
+                                  latest=ds.latest or cubes.latest_forecast_date(ds.table), hourly=hourly)
         keys = ["date", *(["hour"] if hourly else []), "lat", "lon"]
     elif ds.kind == "seasonal":
         ens = [ds.sources[a] for a in names if a in ds.ensembles]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from furrow.functions import dates, geo, text
 from furrow.operators import spatial
 from furrow.operators.skew import dense_ids, latest_by
+from furrow.session import scratch_dir, write_stage
 
 KEY = ["group_id", "farm_id", "crop_id", "crop_stage_type_id", "planting_date"]
 
@@ -150,6 +151,8 @@ def ingest(csv: DataFrame, group_id: int, farm: DataFrame, grid: DataFrame, crop
     """
     rows = read_rows(csv).withColumn("group_id", F.lit(group_id))
     rows = assign_grid(match_farms(rows, farm), grid, nearest)
+    # five results read these rows; the spatial join behind them runs once
+    rows = write_stage(rows, scratch_dir(csv.sparkSession, "registry"))
     rows = lookup_id(rows, crop, "crop_name", "crop_id", "crop")
     rows = lookup_id(rows, stage_type, "stage_name", "crop_stage_type_id", "stage_type")
     merged = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,3 +49,13 @@ def scratch_dir(spark: SparkSession, label: str = "work") -> str:
         base = tempfile.mkdtemp(prefix="furrow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_stage(df: DataFrame, path: str) -> DataFrame:
+    """An intermediate result as a table that is read back.
+
+    Cuts lineage and survives lost executors; used where a costly result has
+    several readers or feeds a table it was read from.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import geo
-from furrow.session import scratch_dir
+from furrow.session import scratch_dir, write_stage
 
 MAX_RECORDS = 5_000_000
 
@@ -32,12 +32,6 @@ def write_advisory(df: DataFrame, path: str) -> None:
     write_partitions(df, path, ["iso_a3", "year", "month", "day"], ["grid_id", "registry_id"])
 
 
-def write_stage(df: DataFrame, path: str) -> DataFrame:
-    """An intermediate result as a table that is read back, cutting lineage."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def write_observations(df: DataFrame, path: str, use_month: bool = False) -> None:
     """Wide observations by year (and month), clustered on a Morton key.
 
