@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from furrow.functions import dates, numeric, text
 from furrow.operators import spatial
 from furrow.operators.skew import latest_by, salted_join, spread_for_python
+from furrow.session import ship_by_value
+
+ship_by_value(__name__)
 
 #: fixed values: model input variables, row layout, declared outputs
 VARIABLES = ["evapotranspirationSum", "rainAccumulationSum", "temperatureMax",

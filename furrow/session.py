@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
@@ -59,3 +61,9 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_by_value(module: str) -> None:
+    """Send a module's task functions along with the job, so that executors
+    need no copy of this package to run them."""
+    register_pickle_by_value(sys.modules[module])

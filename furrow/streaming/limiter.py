@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.skew import spread_for_python
+from furrow.session import ship_by_value
 
+ship_by_value(__name__)
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE_OUT = "user_id long, minute long, requests long, allowed long, rejected long"
 
 
@@ -76,6 +80,9 @@ def limit_stream(log: DataFrame, limits: dict[int, int], delay: str = "1 minute"
     """
     from pyspark.sql.streaming import StatefulProcessor
 
+    # this kind of state needs the RocksDB store; sessions of build_session have it
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
     class Limiter(StatefulProcessor):
         def init(self, handle) -> None:
             self.counts = handle.getMapState("counts", "minute long", "n long")

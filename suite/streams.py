@@ -8,11 +8,11 @@ from furrow.streaming import jobs, limiter
 from suite.base import query
 
 
-def stream_of(t, df, label, files=4):
-    """A landed copy of a table as a file stream."""
+def stream_of(t, df, label, per_trigger=2):
+    """A landed copy of a table as a file stream, some files per micro-batch."""
     path = scratch_dir(t.spark, label)
-    df.repartition(files).write.parquet(path)
-    return jobs.file_stream(t.spark, path, df.schema, files_per_trigger=2)
+    df.write.option("maxRecordsPerFile", 20_000).parquet(path)
+    return jobs.file_stream(t.spark, path, df.schema, files_per_trigger=per_trigger)
 
 
 LIMITS = {1: 2, 60: 3, 1440: 30}
@@ -33,7 +33,8 @@ def _(t):
 @query("M01_request_limits_stream")
 def _(t):
     log = t.request_log.select("user_id", F.col("requested_at").cast("timestamp").alias("requested_at"))
-    stream = stream_of(t, log, "requests", files=1)
+    # files are not in time order here: one micro-batch, so that no minute is late
+    stream = stream_of(t, log, "requests", per_trigger=1_000_000)
     out = scratch_dir(t.spark, "limits")
     q = (limiter.limit_stream(stream, LIMITS, "10 minutes").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(t.spark, "cp")).trigger(availableNow=True).start())
@@ -64,7 +65,7 @@ def _(t):
 def _(t):
     m = t.measurement.select("station_id", "attribute", "date_time", "value")
     out = scratch_dir(t.spark, "obs")
-    jobs.ingest_observations(stream_of(t, m.unionByName(m), "observations", files=2), out, "60 days")
+    jobs.ingest_observations(stream_of(t, m.unionByName(m), "observations"), out, "60 days")
     return t.spark.read.parquet(out).select("station_id", "attribute", "date_time")
 
 
@@ -88,7 +89,7 @@ def _(t):
                          (k % 1000).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.lit("Rate").alias("band"), (k % 100).cast("double").alias("value"))
     path, out = scratch_dir(t.spark, "pixels"), scratch_dir(t.spark, "raster")
     # one file holds whole time slices, as rasters arrive
-    px.repartitionByRange(4, "file_name").write.parquet(path)
+    px.repartitionByRange("file_name").write.parquet(path)
     stream = jobs.file_stream(t.spark, path, px.schema, files_per_trigger=2)
     jobs.ingest_rasters(stream, {"Rate": "rate"}, -9999.0, out)
     return t.spark.read.parquet(out).groupBy(F.col("time").cast("timestamp_ntz").alias("time")).agg(F.count("*").alias("pixels"), F.sum("rate").alias("total"))
