@@ -256,17 +256,17 @@ def octree_depth(spots: DataFrame, leaf: int = 64,
                  levels: tuple[int, ...] = (2, 4, 7, 10, 13, 16)) -> list[int]:
     """Levels needed until no cell holds more than ``leaf`` distinct positions.
 
-    One aggregation per level over cell counts; the driver sees one number each.
+    One job over cell counts; the driver sees one row per level.
     """
-    counts = spots.groupBy(_cell_at(F.col("_c"), levels[-1]).alias("_c")).agg(F.count("*").alias("_n"))
-    used = []
-    for level in levels:
-        used.append(level)
-        up = counts.groupBy(*[F.shiftright(F.col("_c")[a], levels[-1] - level).alias(a) for a in "xyz"])
-        most = up.agg(F.sum("_n").alias("_n")).agg(F.max("_n").alias("m")).first().m
-        if (most or 0) <= leaf:
-            break
-    return used
+    finest = levels[-1]
+    counts = spots.groupBy(_cell_at(F.col("_c"), finest).alias("_c")).agg(F.count("*").alias("_n"))
+    per_level = counts.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    cell = [F.expr(f"shiftright(_c.{a}, {finest} - level)").alias(a) for a in "xyz"]
+    most = (per_level.groupBy("level", *cell).agg(F.sum("_n").alias("_n"))
+            .groupBy("level").agg(F.max("_n").alias("m")))
+    crowded = {r.level for r in most.where(F.col("m") > leaf).collect()}
+    depth = next((i for i, x in enumerate(levels) if x not in crowded), len(levels) - 1)
+    return list(levels[:depth + 1])
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str, place_id: str,
