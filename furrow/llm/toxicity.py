@@ -21,10 +21,10 @@ no labelled rows at all the model has no voters and every score is 0.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +33,6 @@ from furrow.llm.common import id_crc, keep_rows, labelled_sample, plain_words, s
 from furrow.session import ship_by_value
 
 SAMPLE_ROWS = 8000
-BITS = 19
 STEMS = (4, 5, 6, 7)          # bytes of a word's beginning
 VOTERS = 160
 THRESHOLD = 0.3
@@ -47,10 +46,9 @@ _BANGS = re.compile(rb"!{2,}")
 
 
 def word_features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself and its stems."""
-    size = (1 << BITS) - 1
-    out = [zlib.crc32(word) & size]
-    out += [zlib.crc32(word[:k], k) & size for k in STEMS if len(word) >= k]
+    """63-bit hashes of a word and of its stems."""
+    out = [xxhash.xxh64_intdigest(word) >> 1]
+    out += [xxhash.xxh64_intdigest(word[:k], seed=k) >> 1 for k in STEMS if len(word) >= k]
     return out
 
 
@@ -76,10 +74,10 @@ PATTERNS = 3
 
 
 def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row starts, feature numbers, pattern bits, labels) of the sample. Texts are
+    """(row starts, feature hashes, pattern bits, labels) of the sample. Texts are
     turned into features where they are; the driver gets numbers."""
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("bits", T.IntegerType()),
-                           T.StructField("features", T.ArrayType(T.IntegerType()))])
+                           T.StructField("features", T.ArrayType(T.LongType()))])
 
     def run(batches):
         cache: dict = {}
@@ -87,7 +85,7 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
             rows = [text_features(t, cache) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([b for _, b in rows], pa.int32()),
-                 pa.array([sorted(set(f)) for f, _ in rows], pa.list_(pa.int32()))], names=schema.names)
+                 pa.array([sorted(set(f)) for f, _ in rows], pa.list_(pa.int64()))], names=schema.names)
 
     ordered = sample.select("label", "text").mapInArrow(run, schema)
     rows = ordered.toArrow()
@@ -102,31 +100,37 @@ def row_numbers(starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
 
 
-def choose_voters(starts, features, labels, voters: int = VOTERS) -> np.ndarray:
-    """Features that stand out in toxic rows, by a one-sided score test."""
-    size = 1 << BITS
-    row = row_numbers(starts)
+def number(starts, features, least: int = 4):
+    """(hashes, row of each entry, number of each entry): features of at least
+    ``least`` rows, numbered in the order of their hashes."""
+    hashes, numbers, times = np.unique(features, return_inverse=True, return_counts=True)
+    often = times >= least
+    inside = often[numbers]
+    return hashes[often], row_numbers(starts)[inside], (np.cumsum(often) - 1)[numbers[inside]]
+
+
+def choose_voters(n_rows, hashes, row, feature, labels, voters: int = VOTERS) -> np.ndarray:
+    """Numbers of the features that stand out in toxic rows: a one-sided score
+    test, at least 4 toxic rows and ten toxic rows for a clean one."""
+    size = len(hashes)
     n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    toxic = np.bincount(features[labels[row] == 1], minlength=size)
-    clean = np.bincount(features[labels[row] == 0], minlength=size)
+    toxic = np.bincount(feature[labels[row] == 1], minlength=size)
+    clean = np.bincount(feature[labels[row] == 0], minlength=size)
     share = (toxic + clean) / (n1 + n0)
     z = (toxic / n1 - clean / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    lift = (toxic / n1) / ((clean + 0.5) / n0)
-    z[(toxic < 4) | (lift < 5)] = 0
+    z[(toxic < 4) | (toxic < 10 * clean)] = 0
     best = np.argsort(-z, kind="stable")[:voters]
     return np.sort(best[z[best] > 4.5])
 
 
-def vote_matrix(starts, features, bits, voters: np.ndarray) -> np.ndarray:
+def vote_matrix(n_rows, row, feature, bits, voters: np.ndarray) -> np.ndarray:
     """Rows x voters, 1 where a voter votes toxic; the last column votes clean
     where no lexicon voter speaks."""
-    n = len(starts) - 1
-    votes = np.zeros((n, len(voters) + PATTERNS + 1), np.float32)
-    at = np.searchsorted(voters, features) if len(voters) else np.zeros(len(features), np.int64)
-    inside = np.zeros(len(features), bool)
+    votes = np.zeros((n_rows, len(voters) + PATTERNS + 1), np.float32)
     if len(voters):
-        inside = voters[np.minimum(at, len(voters) - 1)] == features
-    votes[row_numbers(starts)[inside], at[inside]] = 1
+        at = np.minimum(np.searchsorted(voters, feature), len(voters) - 1)
+        inside = voters[at] == feature
+        votes[row[inside], at[inside]] = 1
     for p in range(PATTERNS):
         votes[:, len(voters) + p] = bits >> p & 1
     votes[:, -1] = ~votes[:, :len(voters)].any(axis=1)
@@ -162,43 +166,38 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> dict:
     return {"prior": prior, "rates": rates, "weights": weights, "accuracy": accuracy, "posterior": q}
 
 
-def train_linear(starts, features, target: np.ndarray, rounds: int = 150,
-                 keep: int = 2000) -> tuple[np.ndarray, float]:
+def train_linear(n, hashes, row, feature, target: np.ndarray, rounds: int = 500,
+                 keep: int = 1000) -> tuple[dict[int, float], float]:
     """Logistic regression on soft labels over the features that tell the soft
     classes apart; all other weights are 0, so long clean texts gather no noise."""
-    size, n = 1 << BITS, len(starts) - 1
-    row = row_numbers(starts)
-    mass = np.bincount(features, weights=target[row], minlength=size)
-    count = np.bincount(features, minlength=size)
-    base = max(1e-6, float(target.mean()))
+    size = len(hashes)
+    mass = np.bincount(feature, weights=target[row], minlength=size)
+    count = np.bincount(feature, minlength=size)
+    base = min(max(1e-4, float(target.mean())), 0.9999)
+    bias = float(np.log(base / (1 - base)))
     z = (mass - count * base) / np.sqrt(np.maximum(count, 1) * base * (1 - base))
-    z[count < 4] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:keep]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > 4.5])
-    weight = np.zeros(size)
+    chosen = np.sort(chosen[np.abs(z[chosen]) > 5])
     if not len(chosen):
-        return weight, float(np.log(base / (1 - base)))
-    at = np.minimum(np.searchsorted(chosen, features), len(chosen) - 1)
-    inside = chosen[at] == features
+        return {}, bias
+    at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
+    inside = chosen[at] == feature
     r, f = row[inside], at[inside]
-    w, b, step_w = np.zeros(len(chosen)), float(np.log(base / (1 - base))), np.zeros(len(chosen))
-    for _ in range(rounds):                            # diagonal-scaled gradient steps
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, weights=w[f], minlength=n), -30, 30)))
-        error = target - p
-        curve = np.bincount(f, weights=(p * (1 - p))[r], minlength=len(chosen)) + 1.0
-        step_w = 0.8 * step_w + 0.2 * (np.bincount(f, weights=error[r], minlength=len(chosen)) - 0.05 * w) / curve
-        w += step_w
-        b += 0.2 * error.sum() / max(1.0, (p * (1 - p)).sum())
-    weight[chosen] = w
-    return weight, b
+    w, first, second = np.append(np.zeros(len(chosen)), bias), 0.0, 0.0
+    for step in range(1, rounds + 1):                  # Adam on all rows
+        p = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(r, weights=w[f], minlength=n), -30, 30)))
+        error = p - target
+        slope = np.append(np.bincount(f, weights=error[r], minlength=len(chosen)) + 0.03 * w[:-1], error.sum()) / n
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
+        w = w - 0.05 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
+    return {int(h): float(x) for h, x in zip(hashes[chosen], w) if x}, float(w[-1])
 
 
 class Model:
     """Weights of the non-zero features and the bias."""
 
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.at = {int(i): float(weight[i]) for i in np.flatnonzero(weight)}
-        self.bias = bias
+    def __init__(self, weight: dict[int, float], bias: float):
+        self.at, self.bias = weight, bias
 
     def scorer(self):
         weight, bias, cache = self.at, self.bias, {}
@@ -227,10 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4,
     sample = labelled_sample(docs, labels, "toxic", id_crc(F.col("_id"), of) != held_out, sample_rows)
     starts, features, bits, label = sample_features(sample)
     if not len(label) or not (label == 1).any():
-        return Model(np.zeros(1), -30.0)
-    voters = choose_voters(starts, features, label)
-    posterior = label_model(vote_matrix(starts, features, bits, voters))["posterior"]
-    return Model(*train_linear(starts, features, posterior))
+        return Model({}, -30.0)
+    n, (hashes, row, feature) = len(label), number(starts, features)
+    voters = choose_voters(n, hashes, row, feature, label)
+    posterior = label_model(vote_matrix(n, row, feature, bits, voters))["posterior"]
+    return Model(*train_linear(n, hashes, row, feature, posterior))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4,
