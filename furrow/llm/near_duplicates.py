@@ -10,14 +10,17 @@ A document's set holds its distinct five-word shingles. Documents are linked whe
    principle, a chunk with at most one error; so each chunk is indexed under the
    four keys that leave out one of its symbols, and every pair within that
    distance meets under a key. (At a similarity of 0.75 a pair misses all keys
-   with probability 1e-7; pairs that meet are kept up to distance 34.)
-3. Under each key first only the pairs with the smallest id are confirmed; after
-   that only pairs of different components are compared, so a large group of near
-   copies costs about one confirmation per member, not one per pair. All pairs
-   that meet and aren't connected yet are compared, so no link between components
-   is lost. Both joins are plain shuffle joins whose hot keys the adaptive
-   execution splits; signatures and sizes are part of the join condition, so pairs
+   with probability 1e-7; pairs that meet are kept up to distance 27.)
+3. Pairs that meet and are kept connect classes to *candidate clusters*. First the
+   smallest and the largest id under each key are paired with the others; then
+   only pairs of different clusters are made. A large group of near copies so
+   costs a few pairs per member, and yet every kept pair lies inside one cluster.
+   Size ratio and signature distance are part of the join conditions, so pairs
    that only share a frequent passage are never made.
+4. Inside the clusters every pair is compared on the full sets. Small clusters are
+   dealt to batches; a cluster above the limits of a batch is cut into blocks and
+   each pair of blocks is a task of its own. Tasks give a spanning forest of the
+   links they find, not the links, and its components are the result.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer words is
 one shingle. Null, empty and blank texts have no shingle and are linked with
@@ -42,7 +45,8 @@ from furrow.session import ship_by_value
 WORDS, SIMILARITY = 5, 75
 CHUNKS, LANES = 12, 4
 SYMBOLS = CHUNKS * LANES
-KEEP_DISTANCE = 34
+KEEP_DISTANCE = 27
+BATCH_NODES, BATCH_SHINGLES = 1000, 1_000_000
 CACHE_ENTRIES = 200_000
 LONGS = [f"l{c}" for c in range(CHUNKS)]
 
@@ -150,51 +154,136 @@ def alike(a: str, b: str) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY) & (distance(a, b) <= KEEP_DISTANCE)
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents in ``nodes``, from their whole texts."""
-    wanted = docs.select(docs["doc_id"].alias("node"), docs["text"].cast("string").alias("text")).join(
-        nodes, "node", "left_semi")
-    schema = T.StructType([wanted.schema["node"], T.StructField("s1", T.LongType()),
+def full_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` rows (node, part, parts, batch) with the shingles of the node's
+    whole text; rows that share id and text give one set."""
+    wanted = docs.select(docs["doc_id"].alias("node"), docs["text"].cast("string").alias("text")).join(placed, "node")
+    wanted = wanted.select("text", *placed.columns)
+    schema = T.StructType([*wanted.schema.fields[1:], T.StructField("s1", T.LongType()),
                            T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler.hashes(t) for t in batch.column(1).to_pylist()]
+            sets = [shingler.hashes(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingler.set_key(s)[0] for s in sets], pa.int64()),
+                [*batch.columns[1:], pa.array([shingler.set_key(s)[0] for s in sets], pa.int64()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names)
 
-    return wanted.mapInArrow(run, schema).groupBy("node", "s1").agg(
+    return wanted.mapInArrow(run, schema).groupBy(*placed.columns, "s1").agg(
         F.first("shingles").alias("shingles")).drop("s1")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough, as a written table."""
-    nodes = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    sets = stage(full_sets(docs, nodes), "sets")
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return stage(pairs.join(left, "a").join(right, "b")
-                 .filter(shared * 100 >= (total - shared) * SIMILARITY).select("a", "b").distinct(), "links")
+def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x n sizes of the common parts of sets, valid above the diagonal."""
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, int)
+    times = np.diff(np.r_[starts, len(values)])
+    out = np.zeros((n, n), np.int32)
+    flat = out.reshape(-1)
+    few, dense = 16, max(16, n // 8)
+    for p in range(2, few + 1):                      # short postings: all at once, by length
+        at = starts[times == p]
+        if len(at):
+            owners = owner[at[:, None] + np.arange(p)]
+            for i in range(p):
+                for j in range(i + 1, p):
+                    np.add.at(flat, owners[:, i].astype(np.int64) * n + owners[:, j], 1)
+    for at, p in zip(starts[(times > few) & (times <= dense)], times[(times > few) & (times <= dense)]):
+        own = owner[at:at + p]
+        out[np.ix_(own, own)] += 1
+    long = np.flatnonzero(times > dense)             # shared by many: a matrix product
+    for k in range(0, len(long), 1024):
+        part = long[k:k + 1024]
+        member = np.zeros((n, len(part)), np.float32)
+        for c, g in enumerate(part):
+            member[owner[starts[g]:starts[g] + times[g]], c] = 1
+        out += (member @ member.T).astype(np.int32)
+    return out
+
+
+def forest(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For sets given one after the other: the first set each is connected with by
+    links of at least the similarity."""
+    n = len(sizes)
+    common = intersections(values, np.repeat(np.arange(n), sizes), n)
+    left, right = np.nonzero(np.triu(common, 1))
+    both = common[left, right].astype(np.int64)
+    linked = 100 * both >= SIMILARITY * (sizes[left] + sizes[right] - both)
+    left, right, label = left[linked], right[linked], np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, left, label[right])
+        np.minimum.at(least, right, label[left])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def exact_links(docs: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the full sets connect inside each cluster."""
+    sized = stage(clusters.join(classes.select("node", "n"), "node"), "sized")
+    totals = sized.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("nodes") / BATCH_NODES), F.ceil(F.col("shingles") / BATCH_SHINGLES))
+    totals = totals.withColumn("parts", parts.cast("int"))
+    small = totals.filter("parts = 1").agg(F.sum("nodes"), F.sum("shingles")).first()
+    batches = max(1, -(-(small[0] or 0) // BATCH_NODES), -(-(small[1] or 0) // BATCH_SHINGLES))
+    placed = stage(sized.join(totals.select("component", "parts"), "component").select(
+        "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts",
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(batches))).otherwise(
+            F.col("component")).alias("batch")), "placed")
+    # a part meets every other part of its cluster once
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))))
+    rows = full_sets(docs, placed).withColumn("other", other).select(
+        "node", "shingles", "batch", "parts", F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"))
+    node = rows.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+
+    def run(key, rows):
+        rows = rows.combine_chunks()
+        lists = rows.column("shingles").chunk(0) if rows.num_rows else None
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        first = forest(sizes, lists.flatten().to_numpy())
+        moved = np.flatnonzero(first != np.arange(len(first)))
+        ids = rows.column("node")
+        return pa.table([ids.take(pa.array(first[moved])), ids.take(pa.array(moved))], names=["a", "b"])
+
+    links = rows.groupBy(F.col("parts") == 1, "batch", "low", "high").applyInArrow(run, schema)
+    return stage(links.filter("a <> b").distinct(), "links")
+
+
+def join_clusters(grouped: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Clusters (node, component) after connecting some by pairs (a, b) of nodes."""
+    named = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    ends = stage(bridges.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
+        F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).distinct(), "bridges")
+    merged = components(ends).toDF("old", "new")
+    whole = grouped.join(merged, F.col("component") == F.col("old"), "left").select(
+        "node", F.coalesce("new", "component").alias("component"))
+    single = merged.join(grouped, F.col("old") == F.col("node"), "left_anti").select(
+        F.col("old").alias("node"), F.col("new").alias("component"))
+    return stage(whole.union(single), "clusters")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that are linked with another class."""
+def candidate_clusters(classes: DataFrame) -> DataFrame:
+    """(node, component) of classes that a chain of kept pairs connects."""
     keyed = classes.select("node", chunk_keys().alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last")
-    met = stage(keyed.join(shared.drop("last"), "key"), "keys")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
+    met = stage(keyed.join(shared, "key"), "keys")
     signed = classes.drop("s1", "s2")
 
-    # first the pairs with the smallest id under each key
-    stars = met.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stage(stars.join(signed.alias("p"), F.col("a") == F.col("p.node"))
-                  .join(signed.alias("q"), (F.col("b") == F.col("q.node")) & alike("p", "q"))
-                  .select("a", "b"), "pairs")
-    first = confirm(docs, tried)
-    grouped = components(first)
+    # first the pairs with the smallest and the largest id under each key
+    stars = met.select("node", F.explode(F.array("first", "last")).alias("a")).filter("a <> node").select(
+        F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    pairs = stars.join(signed.alias("p"), F.col("a") == F.col("p.node")).join(
+        signed.alias("q"), (F.col("b") == F.col("q.node")) & alike("p", "q")).select("a", "b")
+    grouped = components(stage(pairs, "pairs"))
 
-    # then all pairs of different components that meet under a key
+    # then the pairs of different clusters
     placed = met.select("key", "node").join(grouped, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
@@ -202,25 +291,15 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = stage(placed.join(open_keys, "key").join(signed, "node"), "open")
     both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (
         F.col("p.component") != F.col("q.component")) & alike("p", "q")
-    rest = rows.alias("p").join(rows.alias("q"), both).select(
-        F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        return grouped
-    second = confirm(docs, rest)
-    if second.isEmpty():
-        return grouped
-
-    # join the components that the second links connect
-    named = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
-    bridges = stage(second.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
-        F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).distinct(), "bridges")
-    merged = components(bridges).toDF("old", "new")
-    whole = grouped.join(merged, F.col("component") == F.col("old"), "left").select(
-        "node", F.coalesce("new", "component").alias("component"))
-    single = merged.join(grouped, F.col("old") == F.col("node"), "left_anti").select(
-        F.col("old").alias("node"), F.col("new").alias("component"))
-    return stage(whole.union(single), "components")
+    rest = stage(rows.alias("p").join(rows.alias("q"), both).select(
+        F.col("p.component").alias("a"), F.col("q.component").alias("b")).distinct(), "bridges")
+    return grouped if rest.isEmpty() else join_clusters(grouped, rest)
+
+
+def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes that are linked with another class."""
+    clusters = candidate_clusters(classes)
+    return components(exact_links(docs, clusters, classes))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
