@@ -11,9 +11,9 @@ A document's set holds its distinct five-word shingles. Documents are linked whe
    four keys that leave out one of its symbols, and every pair within that
    distance meets under a key. (At a similarity of 0.75 a pair misses all keys
    with probability 1e-7; pairs that meet are kept up to distance 27.)
-3. Pairs that meet and are kept connect classes to *candidate clusters*. First the
-   smallest and the largest id under each key are paired with the others; then
-   only pairs of different clusters are made. A large group of near copies so
+3. Pairs that meet and are kept connect classes to *candidate clusters*. First each
+   class is paired with the smallest id it meets, then, where the clusters still
+   differ, with the smallest under each key, then with all others under it. A large group of near copies so
    costs a few pairs per member, and yet every kept pair lies inside one cluster.
    Size ratio and signature distance are part of the join conditions, so pairs
    that only share a frequent passage are never made.
@@ -273,15 +273,21 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(node, component) of classes that a chain of kept pairs connects."""
     keyed = classes.select("node", chunk_keys().alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    met = stage(keyed.join(shared, "key"), "keys")
+    met = stage(keyed.join(shared.drop("last"), "key"), "keys")
     signed = classes.drop("s1", "s2")
 
-    # first the pairs with the smallest and the largest id under each key
-    stars = met.select("node", F.explode(F.array("first", "last")).alias("a")).filter("a <> node").select(
-        F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    pairs = stars.join(signed.alias("p"), F.col("a") == F.col("p.node")).join(
-        signed.alias("q"), (F.col("b") == F.col("q.node")) & alike("p", "q")).select("a", "b")
-    grouped = components(stage(pairs, "pairs"))
+    def kept(pairs: DataFrame) -> DataFrame:
+        return stage(pairs.join(signed.alias("p"), F.col("a") == F.col("p.node")).join(
+            signed.alias("q"), (F.col("b") == F.col("q.node")) & alike("p", "q")).select("a", "b"), "pairs")
+
+    # a node with the smallest of all it meets, then with the smallest under each key
+    apart = met.filter("first <> node")
+    grouped = components(kept(apart.groupBy("node").agg(F.min("first").alias("a")).withColumnRenamed("node", "b")))
+    ends = apart.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    named = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    ends = ends.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(
+        F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+    grouped = join_clusters(grouped, kept(ends))
 
     # then the pairs of different clusters
     placed = met.select("key", "node").join(grouped, "node", "left").select(
