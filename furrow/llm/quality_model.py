@@ -202,7 +202,7 @@ def pooled_sample(sample: DataFrame, vectors) -> tuple[np.ndarray, np.ndarray]:
 
     rows = sample.select(F.col("_doc").cast("string").alias("id"), "label", "text").mapInArrow(run, schema).toArrow()
     order = np.argsort(np.array(rows.column("id").to_pylist(), dtype=str), kind="stable")
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(order), -1)
+    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(order), 2 * DIMS + 1)
     return x[order], rows.column("label").to_numpy().astype(np.float64)[order]
 
 
