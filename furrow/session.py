@@ -38,16 +38,24 @@ def build_session(app: str = "furrow", master: str | None = None,
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """One JVM, so one disk; local-cluster has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession, label: str = "work") -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names the shared folder. Only where it is unset
-    (local tests) a temporary folder is made and recorded in the session, so
-    that executors of a real cluster never see a machine-local path.
+    (local tests) a temporary folder is made and recorded in the session; on any
+    other master an unset folder is an error, as executors would each write to
+    their own disk. What is staged here is left to the retention of the folder.
     """
     base = (spark.conf.get("spark.checkpoint.dir", None)
             or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if not base:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="furrow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

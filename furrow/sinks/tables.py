@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +56,12 @@ def append_observations(spark: SparkSession, new: DataFrame, path: str, use_mont
     Only the touched partitions are read. The union goes to a staged table
     first: the target is never overwritten while it is being read, and a job
     lost between the two steps can repeat the second one. Rows whose key is
-    already stored are not added twice.
+    already stored are not added twice; repeated keys of one load are added once.
+    Columns that earlier loads brought are kept (the read merges schemas).
     """
     parts = ["year", "month"] if use_month else ["year"]
-    existing = spark.read.parquet(path).join(new.select(*parts).distinct(), parts, "left_semi")
+    new = new.dropDuplicates(list(keys))
+    existing = spark.read.option("mergeSchema", True).parquet(path).join(new.select(*parts).distinct(), parts, "left_semi")
     fresh = new.join(existing.select(*keys), list(keys), "left_anti")
     staged = write_stage(existing.unionByName(fresh, allowMissingColumns=True),
                          scratch_dir(spark, "staged"))
@@ -71,12 +74,43 @@ def upsert_partition(df: DataFrame, path: str, partition: str = "forecast_date",
     write_partitions(df, path, [partition], list(cluster))
 
 
+def merge_partition(df: DataFrame, path: str, keys: list[str], partition: str = "forecast_date",
+                    cluster: list[str] = ("lat", "lon"), fill: bool = False) -> None:
+    """Cells of a slice: written cells replace stored ones of the same keys, the
+    other cells of the touched partitions stay. Repeating a load changes nothing.
+    With ``fill``, values a load doesn't bring (null) are taken from the stored cell.
+
+    Only touched partitions are read and written; the result is staged before the
+    old one goes.
+    """
+    spark = df.sparkSession
+    new = write_stage(df.dropDuplicates([partition, *keys]), scratch_dir(spark, "staged"))
+    try:
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return write_partitions(new, path, [partition], list(cluster))
+    stored = stored.withColumn(partition, F.col(partition).cast(new.schema[partition].dataType))
+    touched = stored.join(new.select(partition).distinct(), partition, "left_semi")
+    rest = touched.join(new.select(partition, *keys), [partition, *keys], "left_anti")
+    if fill:
+        values = [c for c in stored.columns if c not in (partition, *keys)]
+        old = touched.select(partition, *keys, *[F.col(c).alias(f"_old_{c}") for c in values])
+        new = new.join(old, [partition, *keys], "left").select(partition, *keys, *[
+            F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c) if c in new.columns
+            else F.col(f"_old_{c}").alias(c) for c in values],
+            *[c for c in new.columns if c not in (partition, *keys, *values)])
+    staged = write_stage(rest.unionByName(new, allowMissingColumns=True), scratch_dir(spark, "staged"))
+    write_partitions(staged, path, [partition], list(cluster))
+
+
 def replace_in_snapshot(spark: SparkSession, new: DataFrame, path: str, day: str,
                         column: str = "date") -> None:
     """Replace one date inside its month of a monthly snapshot table."""
     from furrow.plans.planting import replace_date
     year, month = int(day[:4]), int(day[5:7])
-    old = spark.read.parquet(path).where((F.col("year") == year) & (F.col("month") == month))
+    old = spark.read.option("mergeSchema", True).parquet(path).where((F.col("year") == year) & (F.col("month") == month))
     staged = write_stage(replace_date(old, new, day, column), scratch_dir(spark, "staged"))
     write_partitions(staged, path, ["year", "month"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,19 +82,45 @@ def grid_rows(csv: DataFrame) -> DataFrame:
             .where(F.size("area") > 0))
 
 
-def station_directory(spark: SparkSession, path: str, attributes: list[str]) -> tuple[DataFrame, DataFrame]:
+def station_directory(spark: SparkSession, path: str, attributes: list[str],
+                      min_date: str | None = None) -> tuple[DataFrame, DataFrame]:
     """CSV folder → (stations, EAV rows).
 
-    Files with ``station`` in their name list stations; the code of every
-    other file is its name up to the first ``_`` or ``.``. Dates come in two
-    formats, empty cells are skipped.
+    Folders are walked. Files with ``station`` in their name, in any case, list
+    stations; the code of every other file is its name up to the first ``_`` or
+    ``.``. Columns go by header name, the time is ``date`` or ``timestamp`` in any
+    case. Dates come in two formats, empty cells are skipped, and rows before
+    ``min_date`` are left out.
     """
-    stations = (spark.read.option("header", True).option("pathGlobFilter", "*station*").csv(path))
-    raw = (spark.read.option("header", True).option("pathGlobFilter", "[!s]*.csv").csv(path)
-           .withColumn("_f", F.col("_metadata.file_name")))
-    code = F.regexp_extract("_f", r"^([^_.]+)", 1)
-    named = raw.where(~F.col("_f").contains("station")).withColumn("station_code", code)
-    return stations, station_rows(named, attributes)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select("path"))
+    named = files.withColumn("_listing", F.lower(F.regexp_extract("path", "([^/]*)$", 1)).contains("station"))
+    found = {r["path"]: r["_listing"] for r in named.toLocalIterator()}  # names of files only
+
+    def read(listing: bool) -> DataFrame:
+        paths = sorted(p for p, is_listing in found.items() if is_listing == listing)
+        reader = spark.read.option("header", True)
+        frames = [reader.csv(group) for group in _by_header(spark, paths)]
+        if not frames:
+            return spark.createDataFrame([], "_none string").withColumn("_f", F.lit("")).drop("_none")
+        return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True),
+                                [f.withColumn("_f", F.col("_metadata.file_name")) for f in frames])
+
+    raw = read(False)
+    times = [c for c in raw.columns if c.lower() in ("date", "timestamp")]
+    raw = raw.withColumn("date", F.coalesce(*[F.col(c) for c in times]) if times else F.lit(None).cast("string"))
+    rows = station_rows(raw.withColumn("station_code", F.regexp_extract("_f", r"^([^_.]+)", 1)), attributes)
+    return read(True).drop("_f"), rows.where(F.col("date") >= min_date) if min_date else rows
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths grouped by their header line, so that columns are read by name."""
+    if not paths:
+        return []
+    first = (spark.read.text(paths, wholetext=True).select(
+        F.substring_index("value", "\n", 1).alias("header"), F.col("_metadata.file_path").alias("path"))
+        .groupBy("header").agg(F.collect_list("path").alias("paths")))
+    return [sorted(r["paths"]) for r in first.orderBy("header").toLocalIterator()]
 
 
 def station_rows(raw: DataFrame, attributes: list[str]) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from furrow.plans import ingest, usage
 from furrow.schema import backfill
-from furrow.session import scratch_dir
-from furrow.sinks.tables import upsert_partition
+from furrow.sinks.tables import merge_partition, upsert_partition
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -22,16 +21,22 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None],
-                  checkpoint: str | None = None) -> StreamingQuery:
+                  checkpoint: str) -> StreamingQuery:
     """Process what is there, then stop; call on a schedule or keep the
     checkpoint and switch the trigger for a continuous job."""
-    where = checkpoint or scratch_dir(stream.sparkSession, "stream")
+    where = checkpoint
     query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", where)
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return query
 
 
+def _beside(target: str, checkpoint: str | None) -> str:
+    """The checkpoint given, or one that belongs to the target: a later run into
+    the same target goes on with its batch numbers and overwrites no earlier batch."""
+    return checkpoint or target.rstrip("/") + ".checkpoint"
+
+
 def _own_partition(df: DataFrame, batch_id: int, path: str) -> None:
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
@@ -42,7 +47,7 @@ def ingest_request_log(stream: DataFrame, users: DataFrame, target: str,
     """Request logs in micro-batches, parameters normalised, user looked up."""
     def store(batch: DataFrame, batch_id: int) -> None:
         _own_partition(usage.normalise(batch, users), batch_id, target)
-    return run_available(stream, store, checkpoint)
+    return run_available(stream, store, _beside(target, checkpoint))
 
 
 def dedupe_observations(stream: DataFrame, watermark: str = "2 days",
@@ -58,7 +63,7 @@ def ingest_observations(stream: DataFrame, target: str, watermark: str = "2 days
                         checkpoint: str | None = None) -> StreamingQuery:
     def store(batch: DataFrame, batch_id: int) -> None:
         _own_partition(batch, batch_id, target)
-    return run_available(dedupe_observations(stream, watermark), store, checkpoint)
+    return run_available(dedupe_observations(stream, watermark), store, _beside(target, checkpoint))
 
 
 def ingest_forecast(stream: DataFrame, grid: DataFrame, variables: list[str], target: str,
@@ -73,7 +78,7 @@ def ingest_forecast(stream: DataFrame, grid: DataFrame, variables: list[str], ta
         rows = backfill(ingest.date_window(batch, start, end), variables)
         cube = ingest.forecast_cube(rows, grid, variables, forecast_date, *lattice, tolerance)
         _own_partition(cube, batch_id, target)
-    return run_available(stream, store, checkpoint)
+    return run_available(stream, store, _beside(target, checkpoint))
 
 
 def compact_forecast(spark: SparkSession, landed: str, cube_path: str, variables: list[str]) -> None:
@@ -86,11 +91,12 @@ def compact_forecast(spark: SparkSession, landed: str, cube_path: str, variables
 
 def ingest_rasters(stream: DataFrame, bands: dict[str, str], nodata: float, target: str,
                    checkpoint: str | None = None) -> StreamingQuery:
-    """New pixel files → raster table, one time slice per file, by time.
+    """New pixel files → raster table by time.
 
-    Writing a time again replaces it, so a re-delivered file is harmless.
+    Pixels are merged by position, so a slice may come in several files and
+    micro-batches, and a re-delivered file is harmless.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         raster = ingest.pixels_to_raster(batch, bands, nodata)
-        upsert_partition(raster, target, "time")
-    return run_available(stream, store, checkpoint)
+        merge_partition(raster, target, ["lat", "lon"], "time", fill=True)
+    return run_available(stream, store, _beside(target, checkpoint))
