@@ -55,11 +55,14 @@ def pair_slots(slots: np.ndarray) -> np.ndarray:
 
 
 def count_tables(docs: DataFrame, target: DataFrame) -> dict[str, np.ndarray]:
-    """Word, context and pair counts of both models over all documents."""
+    """Word and pair counts of both models over all documents.
+
+    The target table grows with the corpus, so the join is a shuffle join at every size.
+    """
     flags = target.select(target["doc_id"].alias("_id")).filter("_id IS NOT NULL").distinct().withColumn(
         "_hit", F.lit(True))
     rows = docs.select(docs["doc_id"].alias("_doc"), docs["text"].cast("string").alias("text")).join(
-        flags, F.col("_doc") == F.col("_id"), "left").select(F.coalesce("_hit", F.lit(False)).alias("hit"), "text")
+        flags.hint("merge"), F.col("_doc") == F.col("_id"), "left").select(F.coalesce("_hit", F.lit(False)).alias("hit"), "text")
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("slot", T.IntegerType()),
                            T.StructField("target", T.LongType()), T.StructField("background", T.LongType())])
     sizes = {0: 1 << WORD_BITS, 1: 1 << PAIR_BITS}
