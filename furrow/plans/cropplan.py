@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,29 +62,24 @@ def layout(pests: list[str], forecast_fields: list[str],
     A plan has few hundred columns, made by rule: day1_..day13_ fields, five
     messages per pest. A field asked for twice keeps its last position.
     """
-    rows: dict[str, dict] = {}
-    number = 1
-
-    def put(field: str, active: bool, label: str | None = None) -> None:
-        nonlocal number
-        rows[field] = {"field": field, "column_number": number, "label": label, "active": active}
-        number += 1
-
-    for f in DEFAULT_FIELDS:
-        put(f, True)
-    for day in range(1, FORECAST_DAYS + 1):
-        for f in [*FORECAST_USED, *forecast_fields]:
-            field = f"day{day}_{f}"
-            label = field
-            for name, short in LABELS.items():
-                label = label.replace(name, short)
-            put(field, f in FORECAST_USED, label if label != field else None)
-    for pest in pests:
-        for i in range(1, MESSAGES_PER_PEST + 1):
-            put(f"{pest_prefix}{pest}_{i}", False)
-    for f in DECISION_COLUMNS:
-        put(f"{decision_prefix}{f}", False)
-    return sorted(rows.values(), key=lambda r: r["column_number"])
+    days, numbers = range(1, FORECAST_DAYS + 1), range(1, MESSAGES_PER_PEST + 1)
+    families = [  # prefix, name parts, parts shown by default
+        ("", product(DEFAULT_FIELDS), DEFAULT_FIELDS),
+        ("day", product(days, [*FORECAST_USED, *forecast_fields]), FORECAST_USED),
+        (pest_prefix, product(pests, numbers), []),
+        (decision_prefix, product(DECISION_COLUMNS), []),
+    ]
+    fields = [(prefix + "_".join(map(str, parts)), parts[-1] in shown, prefix == "day")
+              for prefix, names, shown in families for parts in names]
+    last = {field: (n, shown, short) for n, (field, shown, short) in enumerate(fields, 1)}
+    return [{"field": field, "column_number": n, "label": short_label(field) if short else None, "active": shown}
+            for field, (n, shown, short) in sorted(last.items(), key=lambda item: item[1][0])]
+
+
+def short_label(field: str) -> str | None:
+    """A field with its long names shortened; None where there is none."""
+    label = re.sub("|".join(LABELS), lambda m: LABELS[m[0]], field)
+    return label if label != field else None
 
 
 def apply_layout(plan: DataFrame, rows: list[dict], labels: bool = True) -> DataFrame:
