@@ -278,6 +278,7 @@ def error_log(advisory: DataFrame, request_id: int) -> DataFrame:
         F.col("growth_stage_start_date").alias("growth_stage_date"), "growth_stage",
         "prev_week_message", "total_gdd"), {"ignoreNullFields": "false"})
     messages = F.to_json(F.array(*SLOTS, "final_message"), {"ignoreNullFields": "false"})
+    # fixed values: stored labels and sentences
     kinds = F.array_compact(F.array(
         F.when(F.col("is_empty_message"), F.struct(
             F.lit("MISSING_MESSAGES").alias("error_type"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,9 +110,18 @@ def check(request: Request, dataset: Dataset | None) -> None:
 
 
 def measure(datasets: list[Dataset], request: Request) -> DataFrame:
-    """Product, attributes, range and location → one lazy result."""
-    by_name = {d.product.lower(): d for d in datasets}
-    ds = by_name.get(request.product.lower())
+    """Product, attributes, range and location → one lazy result.
+
+    A product may have several datasets: the rows of each that has a requested
+    attribute are given, attributes of the others null; order holds within each.
+    """
+    own = [d for d in datasets if d.product.lower() == request.product.lower()]
+    own = [d for d in own if not d.internal] or own
+    asked = [d for d in own if any(a in d.sources for a in request.attributes)] or own[:1]
+    if len(asked) > 1:
+        parts = [measure([d], request) for d in asked]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    ds = asked[0] if asked else None
     check(request, ds)
     names = [a for a in request.attributes if a in ds.sources]
     cols = [ds.sources[a] for a in names]

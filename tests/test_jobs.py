@@ -235,3 +235,13 @@ def test_measurement_clip(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 1))], "k int, date date")
     assert ingest.date_window(df, "2024-01-01", "2024-01-02").count() == 1
     assert ingest.date_window(df, "2023-12-31", "2024-01-01").count() == 0
+
+
+def test_datasets_of_one_product(spark):
+    day = spark.sql("SELECT DATE '2024-01-05' AS date, 36.0D AS lon, -1.0D AS lat, 1.5D AS x, 2.5D AS y")
+    one = catalog.Dataset("daily", "daily", day, {"a": "x"}, lattice=(20.0, -20.0, 0.5))
+    two = catalog.Dataset("Daily", "daily", day, {"b": "y"}, lattice=(20.0, -20.0, 0.5))
+    hidden = catalog.Dataset("daily", "daily", day, {"a": "y"}, lattice=(20.0, -20.0, 0.5), internal=True)
+    ask = catalog.Request("daily", ["a", "b"], "2024-01-05", "2024-01-05", Location.bbox(30.0, -5.0, 40.0, 5.0))
+    rows = catalog.measure([one, two, hidden], ask).select("a", "b").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1.5, None), (None, 2.5)]
