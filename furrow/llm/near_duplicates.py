@@ -13,10 +13,11 @@ A document's set holds its distinct five-word shingles. Documents are linked whe
    with probability 1e-7; pairs that meet are kept up to distance 27.)
 3. Pairs that meet and are kept connect classes to *candidate clusters*. First each
    class is paired with the smallest id it meets, then, where the clusters still
-   differ, with the smallest under each key, then with all others under it. A large group of near copies so
-   costs a few pairs per member, and yet every kept pair lies inside one cluster.
-   Size ratio and signature distance are part of the join conditions, so pairs
-   that only share a frequent passage are never made.
+   differ, with the smallest under each key. Keys that still hold several clusters
+   are then compared node by node inside tasks, a frequent key in pairs of parts;
+   a task returns a spanning forest of the clusters, not the pairs. A large group of
+   near copies so gives a few rows per member, and yet every kept pair lies inside
+   one cluster.
 4. Inside the clusters every pair is compared on the full sets. Small clusters are
    dealt to batches; a cluster above the limits of a batch is cut into blocks and
    each pair of blocks is a task of its own. Tasks give a spanning forest of the
@@ -47,6 +48,7 @@ CHUNKS, LANES = 12, 4
 SYMBOLS = CHUNKS * LANES
 KEEP_DISTANCE = 27
 BATCH_NODES, BATCH_SHINGLES = 1000, 1_000_000
+KEY_NODES, KEY_BATCH, PAIRS_AT_ONCE = 2000, 20_000, 200_000
 CACHE_ENTRIES = 200_000
 LONGS = [f"l{c}" for c in range(CHUNKS)]
 
@@ -203,6 +205,21 @@ def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def connect(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest of its component, after further edges."""
+    left, right = label[left], label[right]
+    apart = left != right
+    left, right, root = left[apart], right[apart], np.arange(len(label))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, left, root[right])
+        np.minimum.at(least, right, root[left])
+        least = least[least]
+        if (least == root).all():
+            return root[label]
+        root = least
+
+
 def forest(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For sets given one after the other: the first set each is connected with by
     links of at least the similarity."""
@@ -211,15 +228,7 @@ def forest(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     left, right = np.nonzero(np.triu(common, 1))
     both = common[left, right].astype(np.int64)
     linked = 100 * both >= SIMILARITY * (sizes[left] + sizes[right] - both)
-    left, right, label = left[linked], right[linked], np.arange(n)
-    while True:
-        least = label.copy()
-        np.minimum.at(least, left, label[right])
-        np.minimum.at(least, right, label[left])
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
+    return connect(np.arange(n), left[linked], right[linked])
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,6 +278,69 @@ def join_clusters(grouped: DataFrame, bridges: DataFrame) -> DataFrame:
     return stage(whole.union(single), "clusters")
 
 
+def connect_under_key(symbols: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For groups 0, 1, ... of signatures: the first group each is connected with by
+    kept pairs. Distances are made for a few rows against all others at a time."""
+    n, label = len(sizes), np.arange(group.max() + 1)
+    step = max(1, PAIRS_AT_ONCE // n)
+    for at in range(0, n - 1, step):
+        own, more = slice(at, at + step), slice(at + 1, n)
+        x, y = sizes[own, None], sizes[None, more]
+        kept = (np.minimum(x, y) * 100 >= np.maximum(x, y) * SIMILARITY) & (
+            label[group[own]][:, None] != label[group[more]])
+        left, right = np.nonzero(kept)
+        left, right = left + at, right + at + 1
+        near = (symbols[left] != symbols[right]).sum(axis=1) <= KEEP_DISTANCE
+        if near.any():
+            label = connect(label, group[left[near]], group[right[near]])
+    return label
+
+
+def key_links(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components that connect what the kept pairs under each key connect.
+
+    ``placed`` has rows (key, node, component). Keys whose nodes are of one component
+    need no work. The others are dealt to batches; the nodes of a very frequent key are
+    cut into parts, and each pair of parts is a task of its own. A key gives fewer
+    pairs than it has components, whatever number of its nodes are alike.
+    """
+    keys = stage(placed.groupBy("key").agg(
+        F.count("*").alias("nodes"), F.min("component").alias("x"), F.max("component").alias("y")).filter(
+        "x <> y").select("key", "nodes", F.ceil(F.col("nodes") / KEY_NODES).cast("int").alias("parts")), "open")
+    small = keys.filter("parts = 1").agg(F.sum("nodes")).first()[0] or 0
+    batches = max(1, -(-small // KEY_BATCH))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))))
+    rows = placed.join(keys.drop("nodes"), "key").join(signed, "node").withColumn("part", part).withColumn(
+        "other", other).select(
+        "key", "component", "n", *LONGS, (F.col("parts") == 1).alias("whole"),
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(batches))).otherwise(F.col("key")).alias("batch"),
+        F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    node = rows.schema["component"].dataType
+    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+
+    def run(_, rows):
+        rows = rows.combine_chunks()
+        symbols = np.stack([rows.column(name).to_numpy() for name in LONGS], axis=1).view(np.uint16)
+        sizes, keys = rows.column("n").to_numpy(), rows.column("key").to_numpy()
+        coded = rows.column("component").chunk(0).dictionary_encode()
+        component = coded.indices.to_numpy()
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order])) + 1
+        a, b = [], []
+        for at in np.split(order, cuts):
+            names, group = np.unique(component[at], return_inverse=True)
+            first = connect_under_key(symbols[at], sizes[at], group)
+            moved = np.flatnonzero(first != np.arange(len(first)))
+            a.append(names[first[moved]])
+            b.append(names[moved])
+        ends = [coded.dictionary.take(pa.array(np.concatenate(x))) for x in (a, b)]
+        return pa.table(ends, names=["a", "b"])
+
+    return stage(rows.groupBy("whole", "batch", "low", "high").applyInArrow(run, schema).distinct(), "bridges")
+
+
 def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(node, component) of classes that a chain of kept pairs connects."""
     keyed = classes.select("node", chunk_keys().alias("key"))
@@ -289,16 +361,10 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
         F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
     grouped = join_clusters(grouped, kept(ends))
 
-    # then the pairs of different clusters
+    # then what else the pairs under each key connect
     placed = met.select("key", "node").join(grouped, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
-        "x <> y").select("key")
-    rows = stage(placed.join(open_keys, "key").join(signed, "node"), "open")
-    both = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (
-        F.col("p.component") != F.col("q.component")) & alike("p", "q")
-    rest = stage(rows.alias("p").join(rows.alias("q"), both).select(
-        F.col("p.component").alias("a"), F.col("q.component").alias("b")).distinct(), "bridges")
+    rest = key_links(placed, signed)
     return grouped if rest.isEmpty() else join_clusters(grouped, rest)
 
 

@@ -39,7 +39,7 @@ def test_table_against_all_pairs(spark):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_groups_at_the_threshold(documents):
+def threshold_rows():
     """A chain and a star of copies whose similarities lie around 0.75."""
     rng, vocabulary = random.Random(3), [f"w{i}" for i in range(4000)]
     base, rows = rng.choices(vocabulary, k=120), []
@@ -50,10 +50,76 @@ def test_groups_at_the_threshold(documents):
         rows.append((i, " ".join(copy)))
         if i % 30 == 29:
             base = copy
+    return rows
+
+
+def test_groups_at_the_threshold(documents):
+    rows = threshold_rows()
+    got = Counter(map(tuple, near_duplicates.near_duplicates(documents(rows)).collect()))
+    assert got == brute(rows)
+
+
+def test_frequent_keys_in_parts(documents, monkeypatch):
+    """Keys of more nodes than a task takes are compared in pairs of parts."""
+    monkeypatch.setattr(near_duplicates, "KEY_NODES", 4)
+    monkeypatch.setattr(near_duplicates, "KEY_BATCH", 20)
+    rows = threshold_rows()
     got = Counter(map(tuple, near_duplicates.near_duplicates(documents(rows)).collect()))
     assert got == brute(rows)
 
 
+def _signed(n, seed=5):
+    """Families of signatures around the kept distance, sizes around the kept ratio."""
+    rng = np.random.default_rng(seed)
+    heads = rng.integers(0, 2**16, (6, 48), np.uint16)
+    symbols = heads[rng.integers(0, 6, n)]
+    for row in symbols:
+        at = rng.permutation(48)[:rng.integers(8, 22)]
+        row[at] = rng.integers(0, 2**16, len(at), np.uint16)
+    return symbols, rng.integers(70, 110, n)
+
+
+def _kept(symbols, sizes):
+    far = (symbols[:, None] != symbols[None]).sum(axis=2)
+    ratio = np.minimum(sizes[:, None], sizes) * 100 >= np.maximum(sizes[:, None], sizes) * 75
+    return (far <= near_duplicates.KEEP_DISTANCE) & ratio
+
+
+def _components(n, edges):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_forest_under_a_key(monkeypatch):
+    symbols, sizes = _signed(60)
+    for step in (1, 7, 1000):
+        monkeypatch.setattr(near_duplicates, "PAIRS_AT_ONCE", 60 * step)
+        for group in (np.arange(60), np.arange(60) // 3):
+            pairs = {(group[a], group[b]) for a, b in zip(*np.nonzero(_kept(symbols, sizes)))}
+            got = near_duplicates.connect_under_key(symbols, sizes, group)
+            assert got.tolist() == _components(group.max() + 1, pairs)
+
+
+def test_key_links_of_parts(spark, monkeypatch):
+    """One key of all nodes, cut into parts: the pairs connect what all kept pairs connect."""
+    symbols, sizes = _signed(40)
+    longs = symbols.view(np.int64)
+    signed = spark.createDataFrame(
+        [(i, int(sizes[i]), *map(int, longs[i])) for i in range(40)],
+        "node long, n long, " + ", ".join(f"{x} long" for x in near_duplicates.LONGS))
+    placed = spark.createDataFrame([(7, i, i) for i in range(40)], "key long, node long, component long")
+    wanted = _components(40, list(zip(*np.nonzero(_kept(symbols, sizes)))))
+    for nodes in (2000, 9):
+        monkeypatch.setattr(near_duplicates, "KEY_NODES", nodes)
+        got = [(r.a, r.b) for r in near_duplicates.key_links(placed, signed).collect()]
+        assert all(_kept(symbols, sizes)[[a, b]].any() for a, b in got)
+        assert _components(40, got) == wanted
+    assert near_duplicates.key_links(placed.filter("node < 0"), signed).collect() == []
+
+
 def test_blocks_of_a_large_cluster(documents, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BATCH_NODES", 10)
     rows = [(i, " ".join(f"a{j}" for j in range(60)) + f" end{i}") for i in range(35)]
