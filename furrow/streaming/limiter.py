@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 MINUTE_OUT = "user_id long, minute long, requests long, allowed long, rejected long"
 
 
+def horizon(limits: dict[int, int]) -> int:
+    """Whole hours that the longest window reaches back, its own hour included."""
+    for length in limits:
+        if length < 1 or (length >= 60 and length % 60):
+            raise ValueError(f"a window of {length} minutes: below an hour, or whole hours")
+    return max([1, *(length // 60 for length in limits)])
+
+
 def admit(minutes: pd.DataFrame, counts: dict[int, int], limits: dict[int, int]) -> list[tuple]:
     """Allowed and rejected requests per minute, in minute order.
 
@@ -43,7 +52,7 @@ def admit(minutes: pd.DataFrame, counts: dict[int, int], limits: dict[int, int])
             hours[hour] = hours.get(hour, 0) + room
         out.append((minute, n, room, n - room))
     if out:
-        oldest = (out[-1][0] // 60 - 24) * 60
+        oldest = (out[-1][0] // 60 - horizon(limits)) * 60
         for m in [m for m in counts if m < oldest]:
             del counts[m]
     return out
@@ -62,6 +71,8 @@ def limit_batch(log: DataFrame, limits: dict[int, int]) -> DataFrame:
     user's rows meet, so a user with a third of all requests brings at most
     1440 rows a day to a task.
     """
+    horizon(limits)
+
     def one_user(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = admit(pdf.sort_values("minute"), {}, limits)
         return pd.DataFrame([(pdf["user_id"].iloc[0], *r) for r in rows],
@@ -71,42 +82,64 @@ def limit_batch(log: DataFrame, limits: dict[int, int]) -> DataFrame:
     return counted.groupBy("user_id").applyInPandas(one_user, MINUTE_OUT)
 
 
-def limit_stream(log: DataFrame, limits: dict[int, int], delay: str = "1 minute") -> DataFrame:
-    """The same decisions on a request stream.
+def limit_stream(log: DataFrame, limits: dict[int, int]) -> DataFrame:
+    """Decisions on a request stream, corrected as requests come in, in any order.
 
-    Minute counts close when the watermark passes them, so a user's minutes
-    reach the state in order; requests later than ``delay`` are dropped. State
-    is the admitted count per minute of the last 24 hours.
+    State is a user's requested and admitted count per minute. A batch adds its
+    requests, decides again from the first minute that changed, and gives the
+    minutes whose decision is new or different, with ``seen``, the number of the
+    user's requests so far. ``latest_decisions`` of these rows equals
+    ``limit_batch`` of the same requests: nothing waits for a watermark and
+    nothing is late. Requests are counted per user and minute in the tasks that
+    read them, so few rows of a hot user travel. State grows by a row for each
+    active minute of a user.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
+    hours = horizon(limits)
     # this kind of state needs the RocksDB store; sessions of build_session have it
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
+    def count(batches):
+        for batch in batches:
+            counted = pa.table(batch).group_by(["user_id", "minute"]).aggregate([([], "count_all")])
+            for part in counted.rename_columns(["user_id", "minute", "requests"]).to_batches():
+                yield part
+
     class Limiter(StatefulProcessor):
         def init(self, handle) -> None:
-            self.counts = handle.getMapState("counts", "minute long", "n long")
+            self.minutes = handle.getMapState("minutes", "minute long", "requests long, allowed long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-            frame = pd.concat(list(rows)).sort_values("minute")
-            counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-            before = dict(counts)
-            result = admit(frame, counts, limits)
-            for m in before.keys() - counts.keys():
-                self.counts.removeKey((m,))
-            for m, n in counts.items():
-                if before.get(m) != n:
-                    self.counts.updateValue((m,), (n,))
-            yield pd.DataFrame([(key[0], *r) for r in result],
-                               columns=["user_id", "minute", "requests", "allowed", "rejected"])
+            before = {k[0]: v for k, v in self.minutes.iterator()}
+            requests = {m: v[0] for m, v in before.items()}
+            first = None
+            for frame in rows:
+                for minute, n in zip(frame["minute"].tolist(), frame["requests"].tolist()):
+                    requests[minute] = requests.get(minute, 0) + n
+                    first = minute if first is None else min(first, minute)
+            oldest = (first // 60 - hours) * 60
+            counts = {m: v[1] for m, v in before.items() if oldest <= m < first and v[1]}
+            again = sorted((m, n) for m, n in requests.items() if m >= first)
+            seen, out = sum(requests.values()), []
+            for minute, n, allowed, rejected in admit(pd.DataFrame(again, columns=["minute", "requests"]), counts, limits):
+                if tuple(before.get(minute, ())) != (n, allowed):
+                    self.minutes.updateValue((minute,), (n, allowed))
+                    out.append((key[0], minute, n, allowed, rejected, seen))
+            yield pd.DataFrame(out, columns=["user_id", "minute", "requests", "allowed", "rejected", "seen"])
 
         def close(self) -> None:
             pass
 
-    counted = (log.withWatermark("requested_at", delay)
-               .groupBy("user_id", F.window("requested_at", "1 minute").alias("w"))
-               .agg(F.count("*").alias("requests"))
-               .select("user_id", F.floor(F.unix_seconds("w.start") / 60).cast("long").alias("minute"),
-                       "requests"))
+    minute = F.floor(F.unix_seconds(F.col("requested_at").cast("timestamp")) / 60).cast("long")
+    counted = log.select("user_id", minute.alias("minute")).mapInArrow(
+        count, "user_id long, minute long, requests long")
     return counted.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Limiter(), outputStructType=MINUTE_OUT, outputMode="append", timeMode="None")
+        statefulProcessor=Limiter(), outputStructType=f"{MINUTE_OUT}, seen long", outputMode="append", timeMode="None")
+
+
+def latest_decisions(decided: DataFrame) -> DataFrame:
+    """The last decision on each user and minute of what ``limit_stream`` wrote."""
+    last = F.max(F.struct("seen", "requests", "allowed", "rejected")).alias("last")
+    return decided.groupBy("user_id", "minute").agg(last).select(
+        "user_id", "minute", "last.requests", "last.allowed", "last.rejected")

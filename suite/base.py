@@ -70,6 +70,8 @@ def twin(sql: str) -> str:
         return plain(sql)
     ctes = ", ".join(f"{n} AS ({plain(_DERIVED[n])})" for n in order)
     body = plain(sql)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

@@ -25,21 +25,41 @@ def _(t):
     return usage.sliding_counts(t.request_log, 60)
 
 
-@query("M01_request_limits")
+# walks each user's active minutes in order with what was admitted before
+ADMITTED = """
+WITH RECURSIVE active AS (
+  SELECT user_id, CAST(floor(epoch(requested_at) / 60) AS BIGINT) AS minute, count(*) AS requests
+  FROM {request_log} GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY minute) AS k FROM active),
+walk AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS minute, CAST(0 AS BIGINT) AS requests,
+         CAST(0 AS BIGINT) AS allowed, CAST([] AS STRUCT(m BIGINT, n BIGINT)[]) AS earlier FROM active GROUP BY 1
+  UNION ALL
+  SELECT user_id, k, minute, requests, allowed, list_append(earlier, {'m': minute, 'n': allowed})
+  FROM (SELECT x.user_id, x.k, x.minute, x.requests, w.earlier, CAST(greatest(0, least(x.requests,
+          2 - coalesce(list_sum(list_transform(list_filter(w.earlier, lambda e: e.m > x.minute - 1), lambda e: e.n)), 0),
+          3 - coalesce(list_sum(list_transform(list_filter(w.earlier, lambda e: e.m // 60 > x.minute // 60 - 1), lambda e: e.n)), 0),
+          30 - coalesce(list_sum(list_transform(list_filter(w.earlier, lambda e: e.m // 60 > x.minute // 60 - 24), lambda e: e.n)), 0)
+        )) AS BIGINT) AS allowed
+        FROM walk w JOIN numbered x ON x.user_id = w.user_id AND x.k = w.k + 1))
+SELECT user_id, minute, requests, allowed, requests - allowed AS rejected FROM walk WHERE k > 0"""
+
+
+@query("M01_request_limits", ADMITTED)
 def _(t):
     return limiter.limit_batch(t.request_log, LIMITS)
 
 
-@query("M01_request_limits_stream")
+@query("M01_request_limits_stream", ADMITTED)
 def _(t):
     log = t.request_log.select("user_id", F.col("requested_at").cast("timestamp").alias("requested_at"))
-    # files are not in time order here: one micro-batch, so that no minute is late
-    stream = stream_of(t, log, "requests", per_trigger=1_000_000)
+    # files hold the requests of all times: later batches bring earlier minutes
+    stream = stream_of(t, log.repartition(6, F.xxhash64("requested_at")), "requests")
     out = scratch_dir(t.spark, "limits")
-    q = (limiter.limit_stream(stream, LIMITS, "10 minutes").writeStream.format("parquet").option("path", out)
+    q = (limiter.limit_stream(stream, LIMITS).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_dir(t.spark, "cp")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return t.spark.read.schema(limiter.MINUTE_OUT).parquet(out)
+    return limiter.latest_decisions(t.spark.read.parquet(out))
 
 
 @query("M02_waiting_time", """
