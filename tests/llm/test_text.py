@@ -1,6 +1,7 @@
 """Decontamination, quality rules, classifiers, language, scoring, licences, pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -166,6 +167,31 @@ def test_lm_score_against_plain_counts(spark, documents, odd):
     assert lm_score.score_documents(odd, odd.select("doc_id").filter("false")).count() == odd.count()
 
 
+def test_lm_score_counts_rare_pairs_among_many(spark, documents):
+    """More distinct words and pairs than any fixed table holds: exact counts, hot words, all buckets."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(("the", "of", f"w{rnd.randrange(400_000)}", f"v{rnd.randrange(50)}")) for _ in range(2000))
+             for _ in range(400)]
+    texts += ["rare context here", "rare context here"]
+    got = {r.doc_id: r for r in lm_score.score_documents(
+        documents(list(enumerate(texts))), spark.createDataFrame([(i,) for i in range(0, 402, 3)], "doc_id long")).collect()}
+    split = [t.split() for t in texts]
+    models = []
+    for chosen in (split[::3], split):
+        models.append((Counter(w for t in chosen for w in t), Counter(p for t in chosen for p in zip(t, t[1:]))))
+    size, used = sum(models[0][0].values()), len(models[1][0])
+    scale = size / sum(models[1][0].values())
+    for i in (0, 1, 57, 400, 401):
+        t = split[i]
+        for (words, pairs), s, value in ((models[0], 1.0, got[i].target_loss), (models[1], scale, got[i].background_loss)):
+            want = 0.0
+            for k, w in enumerate(t):
+                context, seen = (words[t[k - 1]] * s, pairs[t[k - 1], w] * s) if k else (0.0, 0.0)
+                unigram = (words[w] * s + 1) / (size + used)
+                want -= np.log((seen + lm_score.MASS * unigram) / (context + lm_score.MASS))
+            assert abs(value - want / len(t)) < 1e-9 and got[i].n_tokens == len(t)
+
+
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "r/a/LICENSE", mit), (2, "r/a/b/x.txt", "plain words"), (3, "r/a/c/y.txt", f"hello\n{gpl}\nbye"),
