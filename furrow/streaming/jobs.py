@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from furrow.plans import ingest, usage
 from furrow.schema import backfill
+from furrow.session import scratch_dir, write_stage
 from furrow.sinks.tables import merge_partition, upsert_partition
 
 
@@ -50,20 +52,31 @@ def ingest_request_log(stream: DataFrame, users: DataFrame, target: str,
     return run_available(stream, store, _beside(target, checkpoint))
 
 
-def dedupe_observations(stream: DataFrame, watermark: str = "2 days",
-                        keys: list[str] = ("station_id", "attribute", "date_time")) -> DataFrame:
-    """Each (station, attribute, time) once; older than the watermark goes to
-    the batch repair (append_observations)."""
-    return (stream.withColumn("event_time", F.col("date_time").cast("timestamp"))
-            .withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(list(keys)).drop("event_time"))
+def ingest_observations(stream: DataFrame, target: str, checkpoint: str | None = None,
+                        keys: list[str] = ("station_id", "attribute", "date_time")) -> StreamingQuery:
+    """Each (station, attribute, time) once, however late it comes.
 
-
-def ingest_observations(stream: DataFrame, target: str, watermark: str = "2 days",
-                        checkpoint: str | None = None) -> StreamingQuery:
+    A batch adds the keys that no other batch has stored. Only the days it touches
+    are compared, by partition; a replayed batch writes its own rows again.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
-        _own_partition(batch, batch_id, target)
-    return run_available(dedupe_observations(stream, watermark), store, _beside(target, checkpoint))
+        new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date("date_time"))
+        try:
+            stored = batch.sparkSession.read.parquet(target)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            new = write_stage(new, scratch_dir(batch.sparkSession, "staged"))
+            others = stored.where(F.col("batch_id") != batch_id).withColumn("day", F.col("day").cast("date"))
+            days = new.select(F.col("day").alias("_day")).distinct()
+            touched = others.join(days, F.col("day").eqNullSafe(F.col("_day")), "left_semi")
+            found = touched.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            new = write_stage(new.join(found, same, "left_anti"), scratch_dir(batch.sparkSession, "staged"))
+        (new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "day").parquet(target))
+    return run_available(stream, store, _beside(target, checkpoint))
 
 
 def ingest_forecast(stream: DataFrame, grid: DataFrame, variables: list[str], target: str,

@@ -85,7 +85,9 @@ def _(t):
 def _(t):
     m = t.measurement.select("station_id", "attribute", "date_time", "value")
     out = scratch_dir(t.spark, "obs")
-    jobs.ingest_observations(stream_of(t, m.unionByName(m), "observations"), out, "60 days")
+    # files hold the observations of all times: later batches bring earlier days
+    both = m.unionByName(m).repartition(6, F.xxhash64("date_time"))
+    jobs.ingest_observations(stream_of(t, both, "observations"), out)
     return t.spark.read.parquet(out).select("station_id", "attribute", "date_time")
 
 

@@ -52,6 +52,19 @@ def test_two_runs_into_one_target(spark, tmp_path):
     assert {r.station_id for r in spark.read.parquet(out).collect()} == {0, 1}
 
 
+def test_late_observations_are_kept_once(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    schema = "station_id long, attribute string, date_time timestamp, value double"
+    days = ["2024-06-01", "2024-01-05", "2024-06-01", "2023-03-04", "2024-01-05"]
+    for k, day in enumerate(days):
+        (src / f"{k}.json").write_text(
+            f'{{"station_id": 1, "attribute": "rain", "date_time": "{day}T00:00:00", "value": {k}.0}}\n')
+        jobs.ingest_observations(spark.readStream.schema(schema).json(str(src)), out)
+    got = [(str(r.date_time.date()), r.value) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [("2023-03-04", 3.0), ("2024-01-05", 1.0), ("2024-06-01", 0.0)]
+
+
 def test_station_files_of_any_name(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "My_Station_list.csv").write_text("code,name\ns77,one\n")
