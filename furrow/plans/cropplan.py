@@ -98,17 +98,32 @@ def forecast_days(forecast: DataFrame, farm: str = "farm_id", date: str = "value
             .withColumn("day_n", F.date_diff(F.col(date), F.col("_first")) + 1).drop("_first"))
 
 
+def by_name(entry: Column) -> Column:
+    """Aggregate: map of the (k, v) entries of a group that aren't null, in order of k."""
+    return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+
 def forecast_wide(forecast: DataFrame, fields: list[str], days: int = FORECAST_DAYS) -> DataFrame:
     """One row per farm with day{n}_{field} columns, rain class included.
 
     Aggregation with conditional picks: the number of output columns is fixed
     (days × fields), so no distinct pass is needed to find pivot values. Values
-    come long, (farm_id, forecast rows: value_date, field, value).
+    come long, (farm_id, forecast rows: value_date, field, value). The columns are
+    the days a layout shows; ``forecast_values`` maps every day, as
+    day{n}_{field}, to its value, rain classes in ``forecast_classes``.
     """
     numbered = forecast_days(forecast.where(F.col("field").isin(fields)))
+    # one value a day and field, as the columns take it
+    numbered = numbered.groupBy("farm_id", "day_n", "field").agg(F.max("value").alias("value"))
     picks = [F.max(F.when((F.col("day_n") == n) & (F.col("field") == f), F.col("value")))
              .alias(f"day{n}_{f}") for n in range(1, days + 1) for f in fields]
-    wide = numbered.groupBy("farm_id").agg(*picks)
+    name = lambda field: F.concat(F.lit("day"), F.col("day_n").cast("string"), F.lit("_"), field)
+    numbered_day = F.col("day_n").isNotNull() & F.col("field").isNotNull()
+    every = [by_name(F.when(numbered_day, F.struct(name(F.col("field")).alias("k"), F.col("value").alias("v")))).alias("forecast_values")]
+    if "rainAccumulationSum" in fields:
+        rain = numbered_day & (F.col("field") == "rainAccumulationSum")
+        every.append(by_name(F.when(rain, F.struct(name(F.lit("rainAccumulationType")).alias("k"), rain_class(F.col("value")).alias("v")))).alias("forecast_classes"))
+    wide = numbered.groupBy("farm_id").agg(*picks, *every)
     if "rainAccumulationSum" in fields:
         wide = wide.withColumns({
             f"day{n}_rainAccumulationType": rain_class(F.col(f"day{n}_rainAccumulationSum"))
@@ -117,11 +132,17 @@ def forecast_wide(forecast: DataFrame, fields: list[str], days: int = FORECAST_D
 
 
 def pest_wide(messages: DataFrame, pests: dict[int, str], prefix: str = "pest_") -> DataFrame:
-    """Up to five messages per pest as columns."""
+    """Messages as columns, the five per pest that a layout shows, and all of them in
+    ``pest_messages``, a map from {prefix}{name}_{number} to the message."""
+    named = F.create_map(*[F.lit(x) for pair in pests.items() for x in pair])
+    one = messages.groupBy("farm_id", "pest_id", "message_no").agg(F.max("message").alias("message"))
+    one = one.withColumn("_name", F.try_element_at(named, F.col("pest_id").cast("int")) if pests else F.lit(None).cast("string"))
+    key = F.concat(F.lit(prefix), F.col("_name"), F.lit("_"), F.col("message_no").cast("string"))
     picks = [F.max(F.when((F.col("pest_id") == pid) & (F.col("message_no") == i), F.col("message")))
              .alias(f"{prefix}{name}_{i}")
              for pid, name in pests.items() for i in range(1, MESSAGES_PER_PEST + 1)]
-    return messages.groupBy("farm_id").agg(*picks)
+    return one.groupBy("farm_id").agg(*picks, by_name(
+        F.when(key.isNotNull(), F.struct(key.alias("k"), F.col("message").alias("v")))).alias("pest_messages"))
 
 
 def decision_columns(decisions: DataFrame, prefix: str = "decision_") -> DataFrame:

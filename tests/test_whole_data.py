@@ -1,6 +1,9 @@
 """Loads that used to lose rows or columns."""
 
+import datetime as dt
+
 from furrow import session
+from furrow.plans import cropplan
 from furrow.sinks import tables
 from furrow.sources import landed
 from furrow.streaming import jobs
@@ -78,3 +81,17 @@ def test_station_files_of_any_name(spark, tmp_path):
 def test_scratch_folder_needs_one_disk():
     assert session.is_local("local[8]") and session.is_local("local")
     assert not any(map(session.is_local, ("local-cluster[3,2,1000]", "yarn", "spark://host:7077")))
+
+
+def test_plan_keeps_every_message_and_day(spark):
+    messages = spark.createDataFrame([("f", 1, k, f"m{k}") for k in range(1, 8)] + [("g", 9, 1, "unknown pest")],
+                                     "farm_id string, pest_id int, message_no int, message string")
+    got = {r.farm_id: r for r in cropplan.pest_wide(messages, {1: "beetle"}).collect()}
+    assert got["f"].pest_messages == {f"pest_beetle_{k}": f"m{k}" for k in range(1, 8)}
+    assert got["f"].pest_beetle_5 == "m5" and got["g"].pest_messages == {}
+    first = dt.date(2024, 1, 1)
+    forecast = spark.createDataFrame([("f", first + dt.timedelta(k), "rainAccumulationSum", float(k)) for k in range(16)],
+                                     "farm_id string, value_date date, field string, value double")
+    row = cropplan.forecast_wide(forecast, ["rainAccumulationSum"]).first()
+    assert row.forecast_values == {f"day{k + 1}_rainAccumulationSum": float(k) for k in range(16)}
+    assert row.forecast_classes["day16_rainAccumulationType"] == "Moderate rain" and row.day13_rainAccumulationSum == 12.0
