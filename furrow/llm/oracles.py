@@ -74,4 +74,76 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON least_of.a = d.doc_id
 """
 
-ORACLES = {"op3_decontamination": OP3, "op4_quality_rules": OP4, "op7_minhash_near_dedup": OP7}
+# crc32 of an ASCII string, bit by bit; list_reduce starts with the first element of its list.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split(k, ''), lambda x: CAST(unicode(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, crc_table.t[CAST(xor(c, b) & 255 AS INT) + 1])))"""
+
+OP13 = rf"""
+WITH RECURSIVE
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, z:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+          FROM conversations),
+drawn AS (SELECT *, {_CRC32} % 20 AS d FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE d <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS r,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+t AS MATERIALIZED (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM marked),
+-- states: 0 nothing, 1 after s, 2 after u, 3 after a
+moves(p, r, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins(p, q, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (3, 2, 1), (2, 3, 1), (0, 3, 2), (1, 3, 2)),
+convs AS (SELECT DISTINCT conv_id, coalesce(conv_id, -1) AS c FROM conversations),
+edits AS MATERIALIZED (
+  SELECT coalesce(conv_id, -1) AS c, i, moves.p, moves.q, 0 + CAST(fault = 'truncated' AS INT) AS cost, 'K' AS e
+  FROM t JOIN moves ON moves.r = t.r WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT coalesce(conv_id, -1), i, moves.p, moves.q, 2 + CAST(fault = 'truncated' AS INT), 'R'
+  FROM t JOIN moves ON moves.r IN ('u', 'a') AND moves.r <> t.r WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT coalesce(conv_id, -1), i, p, p, 3, 'D' FROM t, (VALUES (0), (1), (2), (3)) AS s(p)),
+best(c, i, q, w) AS (
+  SELECT c, 0::BIGINT, ins.q, {{'cost': CAST(2 * n AS BIGINT), 'audit': repeat('I', n)}} FROM convs, ins WHERE ins.p = 0
+  UNION ALL
+  SELECT b.c, b.i + 1, ins.q, min({{'cost': b.w.cost + e.cost + 2 * n, 'audit': b.w.audit || e.e || repeat('I', n)}})
+  FROM best b JOIN edits e ON e.c = b.c AND e.i = b.i + 1 AND e.p = b.q JOIN ins ON ins.p = e.q
+  GROUP BY b.c, b.i + 1, ins.q),
+last AS (SELECT c, max(i) AS i FROM best GROUP BY c),
+chosen AS MATERIALIZED (SELECT c, min(w) AS w FROM best JOIN last USING (c, i) WHERE q IN (0, 3) GROUP BY c),
+letters AS (SELECT c, unnest(string_split(w.audit, '')) AS e, unnest(range(1, length(w.audit) + 1)) AS j FROM chosen WHERE w.audit <> ''),
+numbered AS (
+  SELECT *, sum(CAST(e <> 'I' AS INT)) OVER (PARTITION BY c ORDER BY j) AS i,
+         sum(CAST(e <> 'D' AS INT)) OVER (PARTITION BY c ORDER BY j) AS o FROM letters),
+lines AS (
+  SELECT n.c, n.j, n.e, n.o, t.role, t.text, t.r FROM numbered n LEFT JOIN t ON coalesce(t.conv_id, -1) = n.c AND t.i = n.i
+  WHERE n.e <> 'D'),
+system AS (SELECT c, max(CAST(o = 1 AND e = 'K' AND r = 's' AS INT)) AS s FROM lines GROUP BY c),
+written AS (
+  SELECT c, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                              || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha
+  FROM lines JOIN system USING (c) GROUP BY c),
+tally AS (
+  SELECT coalesce(conv_id, -1) AS c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM t GROUP BY 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(w.cost AS BIGINT) AS cost, w.audit AS audit,
+       coalesce(sha, sha256('')) AS repaired_sha256
+FROM convs LEFT JOIN tally USING (c) LEFT JOIN chosen USING (c) LEFT JOIN written USING (c)
+"""
+
+ORACLES = {"op3_decontamination": OP3, "op4_quality_rules": OP4, "op7_minhash_near_dedup": OP7,
+           "op13_conversation_repair": OP13}

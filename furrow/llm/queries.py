@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, with production parameters."""
+"""The operators on their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import (decontamination, language_id, licenses, lm_score, near_duplicates, packing,
+from furrow.llm import (conversation_repair, decontamination, language_id, licenses, lm_score, near_duplicates, packing,
                         quality_model, quality_rules, token_counts, toxicity)
 from furrow.llm.common import table
 from furrow.llm.oracles import ORACLES  # noqa: F401
@@ -75,8 +75,13 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict_documents(table(spark, folder, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, folder, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_quality_rules, op5_license_scan,
-    op6_token_counts, op7_minhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_language_id)}
+    op6_token_counts, op7_minhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_language_id,
+    op13_conversation_repair)}
 
 ship_by_value(__name__)
