@@ -145,5 +145,34 @@ SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank,
 FROM convs LEFT JOIN tally USING (c) LEFT JOIN chosen USING (c) LEFT JOIN written USING (c)
 """
 
+OP12 = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS p
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS a FROM grams GROUP BY lang, k, p HAVING count(*) >= 100),
+inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(a) AS a
+  FROM (SELECT lang, p, a, m, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)
+  GROUP BY 1, 2),
+cuts AS (
+  SELECT f.lang, f.p, f.a, f.j, l.a AS l, r.a AS r, n, (1000::HUGEINT * f.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) f
+  JOIN f l ON l.lang = f.lang AND l.p = f.p[1:f.j] JOIN f r ON r.lang = f.lang AND r.p = f.p[f.j + 1:f.k]
+  JOIN sizes ON sizes.lang = f.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ranked AS (
+  SELECT best.lang, array_to_string(best.p, ' ') AS phrase, best.a, l, r, n, score,
+         row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, array_to_string(best.p, ' ')) AS rank
+  FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.p = best.p AND 100 * inside.a >= 100 * best.a
+  WHERE inside.a IS NULL)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES = {"op3_decontamination": OP3, "op4_quality_rules": OP4, "op7_minhash_near_dedup": OP7,
-           "op13_conversation_repair": OP13}
+           "op12_collocations": OP12, "op13_conversation_repair": OP13}

@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import (conversation_repair, decontamination, language_id, licenses, lm_score, near_duplicates,
-                        order_minhash, packing, quality_model, quality_rules, token_counts, toxicity)
+from furrow.llm import (collocations, conversation_repair, decontamination, language_id, licenses, lm_score,
+                        near_duplicates, order_minhash, packing, quality_model, quality_rules, token_counts, toxicity)
 from furrow.llm.common import table
 from furrow.llm.oracles import ORACLES  # noqa: F401
 from furrow.session import ship_by_value
@@ -79,6 +79,10 @@ def op11_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, folder, "documents"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, folder, "conversations")))
 
@@ -86,6 +90,6 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_quality_rules, op5_license_scan,
     op6_token_counts, op7_minhash_near_dedup, op8_quality_classifier, op9_lm_scoring, op10_language_id,
-    op11_order_minhash, op13_conversation_repair)}
+    op11_order_minhash, op12_collocations, op13_conversation_repair)}
 
 ship_by_value(__name__)
