@@ -159,8 +159,8 @@ class OrderMinHash:
                 self.hashed(self.smallest(value[own:], shared, common), other))
 
 
-def as_text(entries: np.ndarray) -> str:
-    return entries.astype(">u4").tobytes().hex()
+def as_bytes(entries: np.ndarray) -> bytes:
+    return entries.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -171,7 +171,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 _RESULT = [("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()),
            ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()),
            ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
-_WALK = _RESULT + [("part", T.LongType()), ("kind", T.StringType()), ("text", T.StringType())]
+# Staged in bytes, half as long as their hexadecimal text.
+_RAW = ("edited_sha256", "fingerprint", "edited_fingerprint")
+_WALK = [(n, T.BinaryType() if n in _RAW else t) for n, t in _RESULT] + [("part", T.LongType()), ("kind", T.StringType()), ("text", T.StringType())]
 
 
 def _schema(fields) -> T.StructType:
@@ -184,7 +186,7 @@ def fingerprints(docs: DataFrame, k: int = 8, m: int = 64, l: int = 2) -> DataFr
 
     def make():
         method = OrderMinHash(k, m, l)
-        return lambda texts: ([as_text(method.entries(codes_of(t or ""))) for t in texts],)
+        return lambda texts: ([as_bytes(method.entries(codes_of(t or ""))).hex() for t in texts],)
 
     return score_texts(docs, make, [("fingerprint", T.StringType())])
 
@@ -199,10 +201,10 @@ def compare_with_next(docs: DataFrame, k: int = 8, m: int = 64, l: int = 2) -> D
         quarter = len(text) // 4
         keep, tail = len(text) - quarter, following[:quarter]
         own, other = method.both_entries(codes_of(text), keep, codes_of(tail))
-        return own, other, hashlib.sha256(utf8(text[:keep] + tail)).hexdigest()
+        return own, other, hashlib.sha256(utf8(text[:keep] + tail)).digest()
 
     def result_of(doc_id, text, own, other, sha, next_entries):
-        return (doc_id, len(text), sha, as_text(own), as_text(other), likeness(own, other),
+        return (doc_id, len(text), sha, as_bytes(own), as_bytes(other), likeness(own, other),
                 likeness(own, next_entries))
 
     def batch_of(rows, arrow):
@@ -232,13 +234,14 @@ def compare_with_next(docs: DataFrame, k: int = 8, m: int = 64, l: int = 2) -> D
             yield batch_of(rows + [(last[0], *blank[1:], part, "last", last[1])], walk)
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"),
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"),
                         F.monotonically_increasing_id().alias("row"))
     order = [F.asc_nulls_first("doc_id"), F.asc("digest"), F.asc("row")]
     walked = stage(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
                    .mapInArrow(run, _schema(_WALK)), "order-minhash")
 
-    result = to_arrow_schema(_schema(_RESULT))
+    raw = _schema(_WALK[:len(_RESULT)])
+    result = to_arrow_schema(raw)
 
     def close(batches):
         method = OrderMinHash(k, m, l)
@@ -251,8 +254,9 @@ def compare_with_next(docs: DataFrame, k: int = 8, m: int = 64, l: int = 2) -> D
     follows = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part long, next long")
     heads = walked.filter("kind = 'head'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     last = (walked.filter("kind = 'last'").select("doc_id", "part", "text").join(follows, "part").join(heads, "next")
-            .select("doc_id", "text", "following").mapInArrow(close, _schema(_RESULT)))
-    return walked.filter("kind = 'row'").select([n for n, _ in _RESULT]).unionByName(last)
+            .select("doc_id", "text", "following").mapInArrow(close, raw))
+    return walked.filter("kind = 'row'").select(raw.names).unionByName(last).select(
+        *(F.lower(F.hex(n)).alias(n) if n in _RAW else n for n in raw.names))
 
 
 ship_by_value(__name__)
