@@ -41,8 +41,8 @@ TABLE = bytes(46 if c in PIECE_ENDS else 32 if c == 9 else c + 32 if 65 <= c <=
 END = b"."
 TILE = 512
 GRID = 4                    # tiles a side that may be dense
-DENSE = TILE * TILE // 8    # pairs in a chunk that make a tile dense
-CHUNK = 1 << 20
+DENSE = TILE * TILE // 16   # pairs in a chunk that make a tile dense
+CHUNK = 1 << 19
 RUNS = 1 << 21              # COO entries held before they are sent on
 LONGEST_HEAD_WORD = 64      # bytes
 TAIL = 1 << 62
@@ -63,7 +63,7 @@ _WORDS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("wor
                        T.StructField("a", T.LongType())])
 
 
-def word_counts(docs: DataFrame, flush: int = 1 << 19) -> DataFrame:
+def word_counts(docs: DataFrame, flush: int = 1 << 18) -> DataFrame:
     """(lang, word, a) of all words; the null word counts all words of a language."""
     names = _WORDS.names
 
@@ -246,7 +246,8 @@ class Tiles:
         self.runs.append(run)
         self.held += len(run[0])
         if self.held > RUNS:
-            merged = summed(*(np.concatenate(c) for c in zip(*self.runs)))
+            columns, self.runs = [np.concatenate(c) for c in zip(*self.runs)], []
+            merged = summed(*columns)
             self.runs, self.held = [merged], len(merged[0])
             if self.held > RUNS // 2:
                 self.runs, self.held = [], 0
@@ -390,6 +391,12 @@ def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, head: int = 1
     return sizes, levels
 
 
+def score(a, n, l, r):
+    """floor(1000 * a * n / (l * r)), exact: products have up to 38 digits."""
+    wide = [F.col(c).cast("decimal(38,0)") if isinstance(c, str) else c.cast("decimal(38,0)") for c in (a, n, l, r)]
+    return F.call_function("div", F.lit(1000).cast("decimal(38,0)") * wide[0] * wide[1], wide[2] * wide[3])
+
+
 def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, keep: int = 2000,
                  head: int = 1 << 19, filter_bits: int = 27) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``keep`` strongest phrases."""
@@ -397,9 +404,8 @@ def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, keep:
     found = []
     for k in range(2, longest + 1):
         here = levels[k - 1].join(sizes, "lang")
-        cuts = [F.struct(F.expr(f"CAST(1000 AS DECIMAL(38, 0)) * a * n DIV (CAST(firsts[{j - 1}] AS DECIMAL(38, 0))"
-                                f" * lasts[{k - j - 1}])").alias("score"), F.lit(j).alias("k"),
-                         F.col("firsts")[j - 1].alias("l"), F.col("lasts")[k - j - 1].alias("r"))
+        cuts = [F.struct(score("a", "n", F.col("firsts")[j - 1], F.col("lasts")[k - j - 1]).alias("score"),
+                         F.lit(j).alias("k"), F.col("firsts")[j - 1].alias("l"), F.col("lasts")[k - j - 1].alias("r"))
                 for j in range(1, k)]
         scored = here.withColumn("cut", F.array_min(F.array(*cuts))).select(
             "lang", "code", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

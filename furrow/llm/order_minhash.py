@@ -127,7 +127,7 @@ class OrderMinHash:
             if len(kept) > 64:
                 kept = [np.sort(np.concatenate(kept, axis=1), axis=1)[:, :self.l]]
         found = np.concatenate(kept, axis=1)
-        return found if len(kept) <= self.l else np.sort(found, axis=1)[:, :self.l]
+        return found if found.shape[1] <= self.l else np.sort(found, axis=1)[:, :self.l]
 
     def hashed(self, best: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Entries: the chosen k-mers of each order in text order, hashed as a tuple."""
