@@ -67,7 +67,7 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     Cuts lineage and survives lost executors; used where a costly result has
     several readers or feeds a table it was read from.
     """
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
