@@ -97,6 +97,13 @@ def language_counts(training: DataFrame, max_languages: int) -> tuple[list[str],
 class Model:
     """Codewords, per-trigram log-odds of each bit, weights of the bits."""
 
+    @classmethod
+    def sent(cls, state: dict):
+        """The model from plain arrays, as tasks get it."""
+        model = cls.__new__(cls)
+        vars(model).update(state)
+        return model
+
     def __init__(self, names: list[str], counts: np.ndarray):
         seen = counts.sum(1) > 0
         self.names, counts = [n for n, s in zip(names, seen) if s], counts[seen]
@@ -145,10 +152,10 @@ def fit(docs: DataFrame, held_out: int = 0, of: int = 5, max_languages: int = 50
 
 def predict_documents(docs: DataFrame, held_out: int = 0, of: int = 5) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous) of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, held_out, of))
+    model = docs.sparkSession.sparkContext.broadcast(vars(fit(docs, held_out, of)))
 
     def make():
-        decode = model.value.decode
+        decode = Model.sent(model.value).decode
         return lambda texts: tuple(zip(*(decode(t) for t in texts)))
 
     out = score_texts(docs, make, [("lang_pred", T.StringType()), ("score", T.DoubleType()),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm import bpe
+from furrow.llm.bpe import encoder, patterns
 from furrow.llm.common import stage
 from furrow.session import ship_by_value
 
@@ -47,10 +47,10 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = 1024, end_id: int = END
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                            T.StructField("ids_crc32", T.LongType())])
-    end, patterns = end_id.to_bytes(4, "little"), bpe.patterns()
+    end, found = end_id.to_bytes(4, "little"), patterns()
 
     def run(batches):
-        encode = bpe.encoder(path, patterns)
+        encode = encoder(path, found)
         for batch in batches:
             rows, out = [], ([], [], [], [])
             for r, text in enumerate(batch.column(1).to_pylist()):
@@ -135,10 +135,10 @@ def token_sequences(docs: DataFrame, placed: DataFrame, path: str, end_id: int =
     ids = docs.join(placed.filter("piece = 0").select("doc_id"), "doc_id", "left_semi")
     narrow = ids.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("all_ids", T.ArrayType(T.IntegerType()))])
-    patterns = bpe.patterns()
+    forms = patterns()
 
     def run(batches):
-        encode = bpe.encoder(path, patterns)
+        encode = encoder(path, forms)
         for batch in batches:
             found = [np.frombuffer(encode(t or ""), "<u4").astype(np.int32).tolist() + [end_id]
                      for t in batch.column(1).to_pylist()]

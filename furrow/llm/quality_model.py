@@ -149,6 +149,13 @@ def pool(text: str | None, vectors: np.ndarray, cache: dict) -> np.ndarray:
 class Network:
     """relu(x A + a) B + b, divided by a temperature, through the logistic function."""
 
+    @classmethod
+    def sent(cls, state: dict):
+        """The network from plain arrays, as tasks get it."""
+        network = cls.__new__(cls)
+        vars(network).update(state)
+        return network
+
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 400, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
@@ -213,10 +220,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 0, of: i
     vectors = context.broadcast(word_vectors(docs))
     sample = labelled_sample(docs, labels, "quality", id_crc(F.col("_id"), of) != held_out, sample_rows)
     x, y = pooled_sample(sample, vectors)
-    network = context.broadcast(Network(x, y) if len(y) else None)
+    network = context.broadcast(vars(Network(x, y)) if len(y) else None)
 
     def make():
-        cache, found, model = {}, vectors.value, network.value
+        cache, found = {}, vectors.value
+        model = Network.sent(network.value) if network.value else None
 
         def run(texts):
             x = np.array([pool(t, found, cache) for t in texts], np.float64)

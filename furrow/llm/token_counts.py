@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm import bpe
+from furrow.llm.bpe import Lengths, cutter, merger, patterns, special_strings, splitter, vocabulary
 from furrow.llm.common import score_texts, utf8
 from furrow.session import ship_by_value
 
@@ -27,9 +27,9 @@ def whole_tokens(path: str) -> frozenset[str]:
     At most as many as the vocabulary has entries, so it may be sent to every task.
     """
     from tokenizers import Tokenizer
-    library, pieces = Tokenizer.from_file(path), bpe.splitter(bpe.patterns())
+    library, pieces = Tokenizer.from_file(path), splitter(patterns())
     strings = []
-    for token in bpe.vocabulary(path):
+    for token in vocabulary(path):
         try:
             strings.append(token.decode("utf-8"))
         except UnicodeDecodeError:
@@ -39,10 +39,10 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, e in zip(strings, encoded) if len(e.ids) == 1)
 
 
-def counter(path: str, whole: frozenset[str], patterns: dict[str, str]):
+def counter(path: str, whole: frozenset[str], forms: dict[str, str]):
     """Function from a text to its number of tokens."""
-    pieces, special = bpe.splitter(patterns), bpe.special_strings(path)
-    cut, rest = bpe.cutter(special), bpe.Lengths(bpe.merger(path))
+    pieces, special = splitter(forms), special_strings(path)
+    cut, rest = cutter(special), Lengths(merger(path))
 
     def count(text: str) -> int:
         found = [text] if cut is None else cut.split(text)
@@ -62,10 +62,10 @@ def counter(path: str, whole: frozenset[str], patterns: dict[str, str]):
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
-    patterns = bpe.patterns()
+    forms = patterns()
 
     def make():
-        count = counter(path, whole.value, patterns)
+        count = counter(path, whole.value, forms)
         return lambda texts: ([len(utf8(t)) if t else 0 for t in texts],
                               [count(t) if t else 0 for t in texts])
 

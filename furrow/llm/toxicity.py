@@ -194,11 +194,14 @@ def train_linear(n, hashes, row, feature, target: np.ndarray, rounds: int = 500,
 
 
 class Model:
-    """Weights of the non-zero features and the bias."""
+    """Weights of the non-zero features and the bias; tasks are sent these and build it anew."""
 
     def __init__(self, weight: dict[int, float], bias: float):
         self.at, self.bias = weight, bias
 
+    def sent(self, docs: DataFrame):
+        return docs.sparkSession.sparkContext.broadcast((self.at, self.bias))
+
     def scorer(self):
         weight, bias, cache = self.at, self.bias, {}
 
@@ -236,10 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4,
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4,
                     sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held_out, of, sample_rows))
+    model = fit(docs, labels, held_out, of, sample_rows).sent(docs)
 
     def make():
-        score = model.value.scorer()
+        score = Model(*model.value).scorer()
         return lambda texts: ([score(t) for t in texts],)
 
     out = score_texts(docs, make, [("score", T.DoubleType())])
@@ -250,10 +253,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: i
 def drop_toxic(docs: DataFrame, training: DataFrame, labels: DataFrame, held_out: int = 2,
                of: int = 4, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Documents, with all their columns, that score below the threshold."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training, labels, held_out, of, sample_rows))
+    model = fit(training, labels, held_out, of, sample_rows).sent(docs)
 
     def make():
-        score = model.value.scorer()
+        score = Model(*model.value).scorer()
         return lambda texts: [score(t) < threshold for t in texts]
 
     return keep_rows(docs, make)
