@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import stage, utf8
+from furrow.llm.common import bitmap, set_bits, stage, utf8
 from furrow.session import ship_by_value
 
 # Bytes that end a piece become ".", tabs become spaces, A-Z lower case.
@@ -107,16 +107,6 @@ def word_code(lang: bytes, word: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(lang + b"\0" + word, seed) & (TAIL - 1) | TAIL
 
 
-def filter_blocks(tail: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the codes of a table, built in Spark as blocks of 4 KB; 2^(bits - 15) of them."""
-    place, out = F.col("code").bitwiseAND(F.lit((1 << bits) - 1)), np.zeros(1 << (bits - 3), np.uint8)
-    blocks = tail.groupBy(F.shiftright(place, 15).alias("block")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
-    for r in blocks.toLocalIterator():
-        out[r["block"] << 12:(r["block"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)[:4096]
-    return out
-
-
 class Level:
     """Coding of a level. Tasks get its plain data and build it once."""
 
@@ -125,8 +115,7 @@ class Level:
 
     def may_be(self, codes: np.ndarray) -> np.ndarray:
         """Codes beyond the head, -1 where the bitmap rules them out."""
-        place = codes & (8 * len(self.bitmap) - 1)
-        return np.where(self.bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1, codes, -1)
+        return np.where(set_bits(self.bitmap, codes & (8 * len(self.bitmap) - 1)), codes, -1)
 
 
 class Words(Level):
@@ -338,7 +327,8 @@ def _ranked(frequent: DataFrame, heads: DataFrame, keys: list[str], head: int, c
         table = stage(joined.filter("code IS NOT NULL").unionByName(beyond), "ranked")
         rest = table.filter(F.col("code") >= TAIL)
         if not rest.groupBy("code").count().filter("count > 1").limit(1).count():
-            return table, top, (filter_blocks(rest, filter_bits), seed)
+            places = rest.select(F.col("code").bitwiseAND(F.lit((1 << filter_bits) - 1)).alias("place"))
+            return table, top, (bitmap(places, filter_bits), seed)
     raise RuntimeError("codes of frequent entries collide under every seed")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +49,26 @@ def space_words(text: str | None) -> list[bytes]:
     return utf8(text).split() if text else []
 
 
+def in_groups(batches, size: int):
+    """Batches joined until they hold ``size`` bytes; as they come where it is 0."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def score_texts(docs: DataFrame, make: Callable, fields: Sequence[tuple[str, T.DataType]],
-                carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+                carry: Sequence[str] = ("doc_id",), group_bytes: int = 0) -> DataFrame:
     """Carried columns and ``fields`` computed from the whole text, row by row.
 
     ``make()`` gives a function from a list of texts (None where null) to one
-    list per field. Other columns are not read, so clashing names do no harm.
+    list per field; with ``group_bytes`` it gets about so much text at once.
+    Other columns are not read, so clashing names do no harm.
     """
     narrow = docs.select(*[docs[c] for c in carry], docs["text"].cast("string").alias("text"))
     schema = T.StructType([narrow.schema[c] for c in carry]
@@ -64,7 +79,7 @@ def score_texts(docs: DataFrame, make: Callable, fields: Sequence[tuple[str, T.D
 
     def run(batches):
         fn = make()
-        for batch in batches:
+        for batch in in_groups(batches, group_bytes):
             if not batch.num_rows:
                 continue
             columns = fn(batch.column(batch.schema.get_field_index("text")).to_pylist())
@@ -75,13 +90,13 @@ def score_texts(docs: DataFrame, make: Callable, fields: Sequence[tuple[str, T.D
     return narrow.mapInArrow(run, schema)
 
 
-def keep_rows(docs: DataFrame, make: Callable) -> DataFrame:
+def keep_rows(docs: DataFrame, make: Callable, group_bytes: int = 0) -> DataFrame:
     """Rows, with all their columns, whose text ``make()``'s function answers True for."""
     text = docs.columns.index("text")
 
     def run(batches):
         fn = make()
-        for batch in batches:
+        for batch in in_groups(batches, group_bytes):
             mask = pa.array(fn(batch.column(text).to_pylist()), type=pa.bool_())
             yield batch.filter(mask)
 
@@ -96,16 +111,48 @@ def id_crc(doc_id: Column, buckets: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, keep: Column,
                     rows: int) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents, smallest id hash first.
+    """(_doc, text, label) of at most ``rows`` labelled documents, smallest id hash first.
 
     The ids are a top-k of bounded size; the documents are then scanned once with
-    a broadcast of those ids, so no text is shuffled.
+    a broadcast of those ids, so no text is shuffled but the sample's. An id with
+    several labels has the largest, of several texts the one with the smallest hash.
     """
     ids = (labels.select(labels["doc_id"].alias("_id"), labels[value].cast("int").alias("label"))
            .filter(F.col("_id").isNotNull() & F.col("label").isNotNull()).filter(keep)
-           .dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows))
+           .groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows))
     text = docs.select(docs["doc_id"].alias("_doc"), docs["text"].cast("string").alias("text"))
-    return text.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_doc", "text", "label")
+    found = text.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    return found.groupBy("_doc", "label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("_doc", "text", "label")
+
+
+def id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """(bitmap, its number of bits) of the hashes of a column: 16 bits an id, at most 64 MB.
+
+    A filter without false negatives for a later join: what it lets through in vain
+    only moves, so beyond the largest size it gets weaker, not wrong.
+    """
+    bits = min(29, max(16, (16 * ids.count()).bit_length()))
+    return bitmap(ids.select(id_place(F.col(column), bits).alias("place")), bits), bits
+
+
+def id_place(column: Column, bits: int) -> Column:
+    return F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a bitmap with the given ``place`` bits set, built in Spark in blocks of 4 KB."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    blocks = places.groupBy(F.shiftright("place", 15).alias("block")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    for r in blocks.toLocalIterator():
+        out[r["block"] << 12:(r["block"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)[:4096]
+    return out
+
+
+def set_bits(found: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the places are set in a bitmap."""
+    return (found[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
 
 ship_by_value(__name__)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import score_texts, stage, utf8
+from furrow.llm.common import id_filter, id_place, score_texts, set_bits, stage, utf8
 from furrow.llm.graphs import components
 from furrow.session import ship_by_value
 
@@ -158,22 +158,36 @@ def alike(a: str, b: str) -> Column:
 
 def full_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """``placed`` rows (node, part, parts, batch) with the shingles of the node's
-    whole text; rows that share id and text give one set."""
-    wanted = docs.select(docs["doc_id"].alias("node"), docs["text"].cast("string").alias("text")).join(placed, "node")
-    wanted = wanted.select("text", *placed.columns)
+    whole text; rows that share id and text give one set.
+
+    A bitmap of the nodes is sent ahead, so that only their texts (and those of some
+    ids that share a bit) reach the join, whichever way the planner joins.
+    """
+    wanted_ids, bits = id_filter(placed.select("node"), "node")
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_ids)
+    keyed = docs.select(docs["doc_id"].alias("node"), docs["text"].cast("string").alias("text"))
+    keyed = keyed.withColumn("place", id_place(F.col("node"), bits))
+    place = keyed.columns.index("place")
+
+    def near(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(set_bits(sent.value, batch.column(place).to_numpy())))
+
+    wanted = keyed.mapInArrow(near, keyed.schema).join(placed, "node").select("text", *placed.columns)
     schema = T.StructType([*wanted.schema.fields[1:], T.StructField("s1", T.LongType()),
-                           T.StructField("shingles", T.ArrayType(T.LongType()))])
+                           T.StructField("s2", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
             sets = [shingler.hashes(t) for t in batch.column(0).to_pylist()]
+            keys = [shingler.set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([shingler.set_key(s)[0] for s in sets], pa.int64()),
+                [*batch.columns[1:], *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names)
 
-    return wanted.mapInArrow(run, schema).groupBy(*placed.columns, "s1").agg(
-        F.first("shingles").alias("shingles")).drop("s1")
+    return wanted.mapInArrow(run, schema).groupBy(*placed.columns, "s1", "s2").agg(
+        F.first("shingles").alias("shingles")).drop("s1", "s2")
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -405,7 +419,8 @@ def widen(linked: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents, with all their columns, of which one of each group stays.
 
-    Rows with a null id stay; of rows that share an id, one stays.
+    Rows with a null id stay; of rows that share an id, the one whose columns have
+    the smallest hash stays.
     """
     columns = docs.columns
     dropped = stage(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
@@ -414,7 +429,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = stage(ids, "repeated")
     if repeated.isEmpty():
         return left
-    many = left.join(repeated, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    many = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
     return left.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(many)
 
 

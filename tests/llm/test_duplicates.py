@@ -155,3 +155,31 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200)], "a long, b long")
     got = {r.node: r.component for r in graphs.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100}
+
+
+def test_texts_are_filtered_before_they_move(spark, documents):
+    """Whichever way the planner joins, only texts of candidate nodes (and few others) reach an exchange."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = threshold_rows()
+        docs = documents(rows + [(1000 + i, f"text {i} of its own, unlike the others") for i in range(3000)])
+        placed = spark.createDataFrame([(i, 0, 1, 0) for i, _ in rows], "node long, part int, parts int, batch long")
+        plan = near_duplicates.full_sets(docs, placed)
+        assert plan.count() == len(rows)
+        bits, size = near_duplicates.id_filter(placed.select("node"), "node")
+        passed = docs.select(near_duplicates.id_place(docs["doc_id"], size).alias("p")).toArrow()["p"].to_numpy()
+        assert near_duplicates.set_bits(bits, passed).sum() < len(rows) + 300
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and text.count("MapInArrow") >= 2
+        got = Counter(map(tuple, near_duplicates.near_duplicates(documents(rows)).collect()))
+        assert got == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_rows_of_one_id_leave_a_defined_row(spark, documents):
+    docs = documents([(i % 20, f"row {i} " * 12) for i in range(80)] + [(None, "none")])
+    kept = [sorted((r.doc_id or -1, r.text) for r in near_duplicates.keep_one(docs.repartition(n)).collect())
+            for n in (1, 6)]
+    assert kept[0] == kept[1] and len(kept[0]) <= 21

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 from conftest import SMALL
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from furrow.llm import (decontamination, language_id, licenses, lm_score, quality_model, quality_rules,
@@ -236,3 +237,38 @@ def test_pipeline_end(spark):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert not any(brute_hits(texts[i], bench)[4] for i in list(last)[:40])
+
+
+def test_decontamination_tables_of_many_blocks(spark, documents):
+    """A benchmark of several blocks hits what one block hits; its tables stay near the text's size."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    bench = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 12, 60])))) for i in range(900)]
+    rows = []
+    for i in range(300):
+        held = [rnd.choice(vocabulary) for _ in range(80)]
+        if i % 3 == 0:
+            taken = rnd.choice(bench)[1].split()
+            held[20:20] = taken[:max(1, len(taken) - rnd.randrange(3))]
+        rows.append((i, " ".join(held)))
+    one = decontamination.digest(documents(rows), items(spark, bench)).collect()
+    many = decontamination.digest(documents(rows), items(spark, bench), block_bytes=20_000).collect()
+    assert sorted(one) == sorted(many) and any(r.contaminated for r in one)
+    for r in one[:30]:
+        assert tuple(r)[1:] == brute_hits(rows[r.doc_id][1], bench)
+    tables = decontamination.prepare(bench, 10)
+    size = sum(len(t) for _, t in bench)
+    held = sum(a.nbytes for c in tables["classes"].values() for a in c) + tables["ids"].nbytes
+    assert held < 12 * size
+
+
+def test_conflicting_labels_and_repeated_rows(spark, documents):
+    """An id with two labels has the larger one; an id with two texts one of them, whatever the partitions."""
+    docs = documents([(i % 40, f"text {i % 80} of words") for i in range(160)])
+    labels = spark.createDataFrame([(i % 40, i // 40) for i in range(80)], "doc_id long, toxic int")
+    seen = []
+    for parts in (1, 7):
+        from furrow.llm.common import labelled_sample
+        got = labelled_sample(docs.repartition(parts), labels.repartition(parts), "toxic", F.lit(True), 30)
+        seen.append(sorted(got.collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 30 and {r.label for r in seen[0]} == {1}
