@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SALT = "_salt"
@@ -47,16 +47,18 @@ def spread_for_python(df: DataFrame, *keys: str) -> DataFrame:
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str | Column],
               keep: str = "last") -> DataFrame:
-    """One whole row per key: the greatest (or least) by ``order``.
+    """One whole row per key: the greatest (or least) by ``order``, nulls being least;
+    of rows alike in it the one whose columns have the smallest hash.
 
-    Aggregation with map-side combine rather than a ranked window: a hot key
-    is reduced inside each task before anything is shuffled.
+    A ranked window with a group limit: each task keeps one row a key before anything is
+    shuffled, so a hot key costs no more than another, and rows are not packed into
+    structs that have to be sorted.
     """
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    rest = [c for c in df.columns if c not in keys]
-    pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*rest), rank)
-    out = df.groupBy(*keys).agg(pick.alias("_row"))
-    return out.select(*keys, "_row.*").select(*df.columns)
+    rank = [F.col(o) if isinstance(o, str) else o for o in order]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))])
+    ranked = [o.desc_nulls_last() if keep == "last" else o.asc_nulls_first() for o in rank]
+    first = Window.partitionBy(*keys).orderBy(*ranked, tie)
+    return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
 def dense_ids(df: DataFrame, name: str, id_col: str, start: Column | int = 0,
@@ -67,8 +69,6 @@ def dense_ids(df: DataFrame, name: str, id_col: str, start: Column | int = 0,
     inside 16**buckets_hex digest buckets and shifted by the counts of the
     lower buckets; that count table has at most 4096 rows.
     """
-    from pyspark.sql import Window
-
     digest = F.md5(F.col(name))
     keyed = df.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, buckets_hex))
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))

@@ -2,14 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from urllib.parse import unquote, urlsplit
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import geo
 from furrow.session import scratch_dir, write_stage
+from furrow.sinks.versions import read_if_there
 
 MAX_RECORDS = 5_000_000
+MAX_TOUCHED = 10_000
+
+
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys the one whose columns have the smallest hash, whatever
+    the partitioning. The ranked window is cut to one row a key before the shuffle."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))])
+    first = Window.partitionBy(*keys).orderBy(tie)
+    return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
+def touched_partitions(new: DataFrame, partitions: list[str], limit: int = MAX_TOUCHED) -> Column | None:
+    """The partition values of a load as a literal condition, so that a scan of the stored
+    table is pruned to them. None for a load that touches more than ``limit``."""
+    rows = new.select(*partitions).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    kinds, last = {c: new.schema[c].dataType for c in partitions}, partitions[-1]
+
+    def among(column: str, values: set) -> Column:
+        stored = F.col(column).cast(kinds[column])
+        known = stored.isin(*[F.lit(v) for v in values if v is not None])
+        return known | stored.isNull() if None in values else known
+
+    leading: dict[tuple, set] = {}
+    for r in rows:
+        leading.setdefault(tuple(r)[:-1], set()).add(r[last])
+    found = [reduce(Column.__and__, [among(c, {v}) for c, v in zip(partitions, front)] + [among(last, values)])
+             for front, values in leading.items()]
+    while len(found) > 1:       # pairwise, so that the expression stays shallow
+        found = [a | b for a, b in zip(found[::2], found[1::2])] + found[len(found) // 2 * 2:]
+    return found[0] if found else F.lit(False)
+
+
+def read_touched(spark: SparkSession, path: str, condition: Column | None) -> DataFrame | None:
+    """Stored rows of the partitions a load touches, with all their columns.
+
+    The condition prunes the listing; only folders that remain are opened, their
+    schemas merged. None where nothing is stored there. Without a condition the whole
+    table is read.
+    """
+    stored = read_if_there(spark, path)
+    if stored is None or condition is None:
+        return stored if stored is None else spark.read.option("mergeSchema", True).parquet(path)
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")
+    folders = [r["folder"] for r in stored.where(condition).select(folder).distinct().collect()]
+    if not folders:
+        return None
+    plain = [unquote(urlsplit(f).path) if f.startswith("file:") else unquote(f) for f in folders]
+    return spark.read.option("mergeSchema", True).option("basePath", path).parquet(*plain)
+
+
+def with_types_of(stored: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Partition columns, whose types are read from folder names, as the load has them."""
+    return stored.withColumns({c: F.col(c).cast(new.schema[c].dataType) for c in columns})
 
 
 def write_partitions(df: DataFrame, path: str, partitions: list[str], cluster: list[str] = (),
@@ -53,19 +111,20 @@ def append_observations(spark: SparkSession, new: DataFrame, path: str, use_mont
                         keys: list[str] = ("station_id", "date_time")) -> None:
     """Add rows to existing partitions by column name and cluster them again.
 
-    Only the touched partitions are read. The union goes to a staged table
-    first: the target is never overwritten while it is being read, and a job
+    Only the touched partitions are read (``read_touched``). The union goes to a staged
+    table first: the target is never overwritten while it is being read, and a job
     lost between the two steps can repeat the second one. Rows whose key is
-    already stored are not added twice; repeated keys of one load are added once.
-    Columns that earlier loads brought are kept (the read merges schemas).
+    already stored are not added twice; of equal keys of one load one row is added
+    (``one_per_key``). Columns that earlier loads brought are kept.
     """
     parts = ["year", "month"] if use_month else ["year"]
-    new = new.dropDuplicates(list(keys))
-    existing = spark.read.option("mergeSchema", True).parquet(path).join(new.select(*parts).distinct(), parts, "left_semi")
-    fresh = new.join(existing.select(*keys), list(keys), "left_anti")
-    staged = write_stage(existing.unionByName(fresh, allowMissingColumns=True),
-                         scratch_dir(spark, "staged"))
-    write_observations(staged, path, use_month)
+    new = one_per_key(new, list(keys))
+    existing = read_touched(spark, path, touched_partitions(new, parts))
+    if existing is not None:
+        existing = with_types_of(existing, new, parts)
+        fresh = new.join(existing.select(*keys), list(keys), "left_anti")
+        new = existing.unionByName(fresh, allowMissingColumns=True)
+    write_observations(write_stage(new, scratch_dir(spark, "staged")), path, use_month)
 
 
 def upsert_partition(df: DataFrame, path: str, partition: str = "forecast_date",
@@ -80,22 +139,18 @@ def merge_partition(df: DataFrame, path: str, keys: list[str], partition: str =
     other cells of the touched partitions stay. Repeating a load changes nothing.
     With ``fill``, values a load doesn't bring (null) are taken from the stored cell.
 
-    Only touched partitions are read and written; the result is staged before the
-    old one goes.
+    Only touched partitions are read and written (``read_touched``); of equal keys of a
+    load one row counts (``one_per_key``). The result is staged before the old one goes.
     """
     spark = df.sparkSession
-    new = write_stage(df.dropDuplicates([partition, *keys]), scratch_dir(spark, "staged"))
-    try:
-        stored = spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    new = write_stage(one_per_key(df, [partition, *keys]), scratch_dir(spark, "staged"))
+    touched = read_touched(spark, path, touched_partitions(new, [partition]))
+    if touched is None:
         return write_partitions(new, path, [partition], list(cluster))
-    stored = stored.withColumn(partition, F.col(partition).cast(new.schema[partition].dataType))
-    touched = stored.join(new.select(partition).distinct(), partition, "left_semi")
+    touched = with_types_of(touched, new, [partition])
     rest = touched.join(new.select(partition, *keys), [partition, *keys], "left_anti")
     if fill:
-        values = [c for c in stored.columns if c not in (partition, *keys)]
+        values = [c for c in touched.columns if c not in (partition, *keys)]
         old = touched.select(partition, *keys, *[F.col(c).alias(f"_old_{c}") for c in values])
         new = new.join(old, [partition, *keys], "left").select(partition, *keys, *[
             F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c) if c in new.columns

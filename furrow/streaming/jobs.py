@@ -5,15 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from furrow.operators.skew import latest_by
 from furrow.plans import ingest, usage
 from furrow.schema import backfill
 from furrow.session import scratch_dir, write_stage
-from furrow.sinks.tables import merge_partition, upsert_partition
+from furrow.sinks.tables import (MAX_TOUCHED, merge_partition, one_per_key, read_touched, touched_partitions,
+                                 with_types_of, write_partitions)
+from furrow.sinks.versions import Versions, read_if_there
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -56,29 +58,62 @@ def ingest_observations(stream: DataFrame, target: str, checkpoint: str | None =
                         keys: list[str] = ("station_id", "attribute", "date_time")) -> StreamingQuery:
     """Each (station, attribute, time) once, however late it comes.
 
-    A batch adds the keys that no other batch has stored. Only the days it touches
-    are compared, by partition; a replayed batch writes its own rows again.
+    A batch adds the keys that no other batch has stored; of equal keys in a batch one
+    counts (``one_per_key``). Only the days it touches are read, as literal partition
+    values; a replayed batch writes its own rows again. Folders are day, then batch;
+    ``compact_days`` joins the batches of finished days.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date("date_time"))
-        try:
-            stored = batch.sparkSession.read.parquet(target)
-        except AnalysisException as missing:
-            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        else:
-            new = write_stage(new, scratch_dir(batch.sparkSession, "staged"))
-            others = stored.where(F.col("batch_id") != batch_id).withColumn("day", F.col("day").cast("date"))
-            days = new.select(F.col("day").alias("_day")).distinct()
-            touched = others.join(days, F.col("day").eqNullSafe(F.col("_day")), "left_semi")
-            found = touched.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        spark = batch.sparkSession
+        new = one_per_key(batch, list(keys)).withColumn("day", F.to_date("date_time"))
+        new = write_stage(new, scratch_dir(spark, "staged"))
+        stored = read_touched(spark, target, touched_partitions(new, ["day"]))
+        if stored is not None:
+            others = with_types_of(stored, new, ["day"]).where(F.col("batch_id") != batch_id)
+            found = others.select(*[F.col(k).alias(f"_{k}") for k in keys])
             same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-            new = write_stage(new.join(found, same, "left_anti"), scratch_dir(batch.sparkSession, "staged"))
+            new = write_stage(new.join(found, same, "left_anti"), scratch_dir(spark, "staged"))
         (new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "day").parquet(target))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(target))
     return run_available(stream, store, _beside(target, checkpoint))
 
 
+COMPACTED = -1
+
+
+def compact_days(spark: SparkSession, target: str, before: str) -> int:
+    """Batches of each day before ``before`` that has several, as one; returns the number of days.
+
+    Not to be run while a batch is being stored. The days are staged and written as batch
+    -1 first, then the small folders are emptied; a key that is found in both after a lost
+    job is one key (``one_per_key``) when this is run again.
+    """
+    stored = read_if_there(spark, target)
+    if stored is None:
+        return 0
+    day = F.col("day").cast("date")
+    many = (stored.where(day < F.lit(before).cast("date")).select(day.alias("day"), "batch_id").distinct()
+            .groupBy("day").count().where("count > 1"))
+    days = [r["day"] for r in many.limit(MAX_TOUCHED).collect()]
+    if not days:
+        return 0
+    rows = read_touched(spark, target, day.isin(*[F.lit(d) for d in days])).withColumn("day", day)
+    keys = [c for c in ("station_id", "attribute", "date_time") if c in rows.columns]
+    whole = write_stage(one_per_key(rows.drop("batch_id"), keys), scratch_dir(spark, "staged"))
+    write_partitions(whole.withColumn("batch_id", F.lit(COMPACTED)), target, ["day", "batch_id"], keys)
+    old = rows.where(F.col("batch_id") != COMPACTED).select("day", "batch_id").distinct().collect()
+    for r in old:
+        _drop_folder(spark, f"{target.rstrip('/')}/day={r['day']}/batch_id={r['batch_id']}")
+    return len(days)
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    """Through Hadoop's file system, as the table may lie in any store."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ingest_forecast(stream: DataFrame, grid: DataFrame, variables: list[str], target: str,
                     start: str, end: str, forecast_date: str, lattice: tuple[float, float, float],
                     tolerance: float, checkpoint: str | None = None) -> StreamingQuery:
@@ -94,12 +129,29 @@ def ingest_forecast(stream: DataFrame, grid: DataFrame, variables: list[str], ta
     return run_available(stream, store, _beside(target, checkpoint))
 
 
-def compact_forecast(spark: SparkSession, landed: str, cube_path: str, variables: list[str]) -> None:
-    """Landed slices → cube partitions by forecast date; the last batch wins."""
-    from furrow.operators.skew import latest_by
-    rows = spark.read.parquet(landed)
-    keys = [c for c in ("forecast_date", "forecast_day_idx", "hour", "lat", "lon") if c in rows.columns]
-    upsert_partition(latest_by(rows, keys, ["batch_id"]).drop("batch_id"), cube_path)
+def compact_forecast(spark: SparkSession, landed: str, cube_path: str, variables: list[str]) -> int:
+    """Landed slices not folded in yet → cube partitions by forecast date; the last batch
+    wins. Returns the number of batches folded.
+
+    A log beside the cube names the last batch each compaction took, so the next one
+    reads newer batches only (``batch_id`` is a partition column). Cells are merged into
+    the touched run dates; a compaction lost before its log row is repeated and changes
+    nothing.
+    """
+    slices = read_if_there(spark, landed)
+    if slices is None:
+        return 0
+    log = Versions(spark, cube_path.rstrip("/") + ".compacted")
+    version, note = log.latest()
+    fresh = slices.where(F.col("batch_id") > note.get("batch_id", -1))
+    batches = [r["batch_id"] for r in fresh.select("batch_id").distinct().collect()]
+    if not batches:
+        return 0
+    keys = [c for c in ("forecast_date", "forecast_day_idx", "hour", "lat", "lon") if c in slices.columns]
+    last = latest_by(fresh, keys, ["batch_id"]).drop("batch_id")
+    merge_partition(last, cube_path, keys[1:])
+    log.commit(version + 1, batch_id=max(batches))
+    return len(batches)
 
 
 def ingest_rasters(stream: DataFrame, bands: dict[str, str], nodata: float, target: str,

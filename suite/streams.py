@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from furrow.plans import ingest, usage
 from furrow.session import scratch_dir
-from furrow.streaming import jobs, limiter
+from furrow.streaming import jobs, limiter, marks
 from suite.base import query
 
 
@@ -81,14 +81,51 @@ def _(t):
     return t.spark.read.parquet(out).select("request_id", "user_name", F.get("attributes", 1).alias("second"))
 
 
-@query("M04_observation_ingest", "SELECT DISTINCT station_id, attribute, date_time FROM {measurement}")
+_KEYED = "SELECT station_id, attribute, date_time, min(value) AS value FROM {measurement} GROUP BY 1, 2, 3"
+
+
+def keyed(t):
+    """One value a (station, attribute, time)."""
+    return t.measurement.groupBy("station_id", "attribute", "date_time").agg(F.min("value").alias("value"))
+
+
+@query("M04_observation_ingest", _KEYED)
 def _(t):
-    m = t.measurement.select("station_id", "attribute", "date_time", "value")
+    m = keyed(t)
     out = scratch_dir(t.spark, "obs")
     # files hold the observations of all times: later batches bring earlier days
     both = m.unionByName(m).repartition(6, F.xxhash64("date_time"))
     jobs.ingest_observations(stream_of(t, both, "observations"), out)
-    return t.spark.read.parquet(out).select("station_id", "attribute", "date_time")
+    jobs.compact_days(t.spark, out, "2100-01-01")
+    return t.spark.read.parquet(out).select("station_id", "attribute", "date_time", "value")
+
+
+_LATE = "TIMESTAMP '2024-01-12 00:00:00'"
+
+
+@query("M04_observation_marks", f"""
+SELECT m.station_id, m.attribute, m.date_time, m.value, m.date_time > {_LATE} AS second_run FROM ({_KEYED}) m
+LEFT JOIN (SELECT station_id, attribute, max(date_time) AS mark FROM {{measurement}} WHERE date_time <= {_LATE} GROUP BY 1, 2) k
+  ON m.station_id = k.station_id AND m.attribute = k.attribute
+WHERE m.date_time <= {_LATE} OR m.date_time >= coalesce(k.mark, TIMESTAMP '2023-01-31 00:00:00')""")
+def _(t):
+    """Two runs over growing input, each from the marks of (station, attribute) it finds."""
+    out, source = scratch_dir(t.spark, "obs"), keyed(t)
+    for now in ("2024-01-12 00:00:00", "2024-01-31 00:00:00"):
+        marks.ingest_since(source, out, now, ["station_id", "attribute"])
+    return t.spark.read.parquet(out).select("station_id", "attribute", "date_time", "value",
+                                            (F.col("batch_id") == 2).alias("second_run"))
+
+
+@query("M04_mission_cursor", """
+SELECT DISTINCT station_id AS mission_id, date_time, history_id, lat FROM {track}""")
+def _(t):
+    """Balloon positions from a cursor per mission, in three runs."""
+    out = scratch_dir(t.spark, "missions")
+    track = t.track.select(F.col("station_id").alias("mission_id"), "date_time", "history_id", "lat")
+    for now in ("2024-01-05 00:00:00", "2024-01-20 00:00:00", "2024-01-31 00:00:00"):
+        marks.ingest_since(track, out, now, ["mission_id"], row_keys=["mission_id", "date_time"])
+    return t.spark.read.parquet(out).select("mission_id", "date_time", "history_id", "lat")
 
 
 @query("M05_forecast_ingest", """
@@ -100,6 +137,8 @@ def _(t):
     jobs.ingest_forecast(stream, t.grid.select("grid_id", "lat", "lon"), ["max_temperature", "wind"], landed, "1998-06-25", "1998-07-14",
                          "1998-06-25", (20.25, -27.75, 0.5), 0.1)
     jobs.compact_forecast(t.spark, landed, cube, ["max_temperature", "wind"])
+    if jobs.compact_forecast(t.spark, landed, cube, ["max_temperature", "wind"]):
+        raise ValueError("a second compaction had batches to read")
     return t.spark.read.parquet(cube).select("forecast_date", "forecast_day_idx", "lat", "lon", "max_temperature", "wind")
 
 
