@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import dates, numeric, text
+from furrow.operators.skew import salted_join
 
 PARAMETERS = ["temperature", "humidity", "p_pet", "growth_stage_precipitation",
               "seasonal_precipitation"]
@@ -15,41 +16,68 @@ SLOTS = ["message", "message_2", "message_3", "message_4", "message_5"]
 MATCH_KEYS = ["grid_id", "crop_id", "crop_stage_type_id", "planting_date_epoch"]
 CODE_SPAN = 1 << 32
 RULE_KEYS = ["config_id", "crop_id", "crop_stage_type_id", "growth_stage_id"]
+MAX_BOOK_RULES = 100_000        # about 100 bytes each in the pieces: 10 MB
 
 
 # ---- rules ----------------------------------------------------------------
 
 def rule_book(rules: DataFrame, priorities: DataFrame,
               parameters: list[str] = PARAMETERS) -> DataFrame:
-    """Rules with their message priority: one row per (config, crop, stage)
-    with one array column ``rules_<parameter>`` each, lowest rule id first.
+    """Rules with their message priority: one row per (config, crop, stage).
 
-    Configuration data: a key has a few ranges per parameter. Folding it turns
-    rule matching into one equi join and row-local work, with no exploding of
-    the five parameters and no shuffle to bring them back together.
+    The ranges of a parameter are cut at all their bounds into disjoint pieces, sorted
+    by where they start: ``starts_<parameter>`` for the search, ``codes_<parameter>``
+    with (minus priority, code) of the rule that wins there, null between ranges.
+    ``steps`` is the number of halvings that the longest of them needs. Overlaps are
+    settled here, once a key, not once a row.
     """
     ranked = rules.join(priorities.select("config_id", "code", "priority"),
                         ["config_id", "code"], "left")
     rule = F.struct("rule_id", F.col("min_range").cast("double").alias("lo"),
                     F.col("max_range").cast("double").alias("hi"), F.col("code").cast("int").alias("code"),
                     F.coalesce("priority", F.lit(0)).alias("priority"))
-    return ranked.groupBy(*RULE_KEYS).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("parameter") == p, rule))).alias(f"rules_{p}")
+    folded = ranked.groupBy(*RULE_KEYS).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("parameter") == p, rule))).alias(f"_{p}")
         for p in parameters])
+    bounds = lambda p: F.array_sort(F.array_distinct(F.concat(
+        F.transform(f"_{p}", lambda r: r["lo"]), F.transform(f"_{p}", lambda r: r["hi"]))))
+    book = folded.withColumns({f"starts_{p}": bounds(p) for p in parameters})
+    longest = F.greatest(*[F.size(f"starts_{p}") for p in parameters])
+
+    def winners(p: str) -> Column:
+        first = lambda at: F.get(F.filter(f"_{p}", _holds(at)), 0)
+        return F.transform(f"starts_{p}", lambda at: F.when(first(at).isNotNull(), F.struct(
+            (-first(at)["priority"]).alias("p"), first(at)["code"].alias("c"))))
+
+    return book.select(*RULE_KEYS, F.ceil(F.log2(longest + 1)).cast("int").alias("steps"),
+                       *[f"starts_{p}" for p in parameters], *[winners(p).alias(f"codes_{p}") for p in parameters])
+
+
+def _last_start(starts: Column, steps: Column, value: Column) -> Column:
+    """Index of the last start at or below a value, -1 before the first: a binary search."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(starts, middle) <= value
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(open_ & ~below, middle).otherwise(s["hi"]).alias("hi"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), steps), whole, halve, lambda s: s["lo"] - 1)
 
 
 def matched_codes(parameters: list[str] = PARAMETERS) -> Column:
     """Distinct codes in priority order (ties: lower code).
 
-    Per parameter the lowest rule id with ``lo <= value < hi`` wins. Each
-    parameter scans its own ranges once and yields at most one hit.
+    Per parameter the lowest rule id with ``lo <= value < hi`` wins; its piece is found
+    by halving, so many ranges cost little more than a few.
     """
     hits = []
     for p in parameters:
-        fits = F.filter(F.col(f"rules_{p}"), _holds(numeric.rule_value(F.col(p))))
-        hits.append(F.transform(F.slice(fits, 1, 1), lambda r: F.struct(
-            (-r["priority"]).alias("p"), r["code"].alias("c"))))
-    return F.transform(F.array_sort(F.array_distinct(F.concat(*hits))), lambda h: h["c"])
+        at = _last_start(F.col(f"starts_{p}"), F.col("steps"), numeric.rule_value(F.col(p)))
+        hits.append(F.get(F.col(f"codes_{p}"), at))
+    found = F.array_compact(F.array(*hits))
+    return F.transform(F.array_sort(F.array_distinct(found)), lambda h: h["c"])
 
 
 def _holds(value: Column):
@@ -71,12 +99,18 @@ def overlapping_rules(rules: DataFrame) -> DataFrame:
 
 def with_codes(df: DataFrame, rules: DataFrame, priorities: DataFrame,
                parameters: list[str] = PARAMETERS) -> DataFrame:
-    """Adds ``codes``: the matched message codes in slot order."""
+    """Adds ``codes``: the matched message codes in slot order.
+
+    A book of at most ``MAX_BOOK_RULES`` rules is sent to the rows, which then stay where
+    they are; a larger one (counted first) is joined by its keys, rows salted, as there
+    are far fewer keys than rows.
+    """
     book = rule_book(rules, priorities, parameters)
+    small = rules.limit(MAX_BOOK_RULES + 1).count() <= MAX_BOOK_RULES
+    joined = df.join(F.broadcast(book), RULE_KEYS, "left") if small else salted_join(df, book, RULE_KEYS, "left")
     empty = F.array().cast("array<int>")
-    return (df.join(book, RULE_KEYS, "left")
-            .withColumn("codes", F.coalesce(matched_codes(parameters), empty))
-            .drop(*[f"rules_{p}" for p in parameters]))
+    return (joined.withColumn("codes", F.coalesce(matched_codes(parameters), empty))
+            .drop("steps", *[f"{kind}_{p}" for p in parameters for kind in ("starts", "codes")]))
 
 
 def to_slots(df: DataFrame, codes: str = "codes") -> DataFrame:

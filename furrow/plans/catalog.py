@@ -15,6 +15,7 @@ from furrow.operators.skew import latest_by
 from furrow.plans import cubes, observations
 from furrow.plans.observations import Location
 from furrow.schema import rename_attributes, with_metadata
+from furrow.sinks import results
 
 FORMATS = ("json", "csv", "ascii", "netcdf")
 
@@ -67,7 +68,7 @@ class Dataset:
     lattice: tuple[float, float, float] | None = None
     ensembles: set[str] = field(default_factory=set)
     max_days: int = -1
-    latest: dt.date | None = None  # newest run, where the catalogue knows it
+    latest: dt.date | None = None  # newest run, from the cube's manifest (sinks.runs)
     units: dict[str, dict] = field(default_factory=dict)
     internal: bool = False
 
@@ -84,29 +85,50 @@ class Request:
     forecast_date: str | None = None
 
 
-def check(request: Request, dataset: Dataset | None) -> None:
-    """All request rules, before any plan is built."""
-    if dataset is None or dataset.internal:
-        raise RequestError(f"Unknown product {request.product}")
-    if request.output not in FORMATS:
-        raise RequestError(f"Output format {request.output} is not supported!")
-    if request.output == "json" and request.location.kind != "point":
-        raise RequestError("Output format json is only available for single point query!")
-    if request.output == "netcdf":
-        raise RequestError("NetCDF files are not written; use csv, ascii, json or a table")
+def _broken_rules(request: Request, dataset: Dataset | None):
+    """(rule is broken, what to say), in the order they are told."""
+    yield dataset is None or dataset.internal, f"there is no product {request.product!r}"
+    yield request.output not in FORMATS, f"{request.output!r} is none of the formats {', '.join(FORMATS)}"
+    yield request.output == "json" and request.location.kind != "point", "json answers one point, not an area or list"
+    yield request.output == "netcdf", "netcdf files are not written here: ask for csv, ascii, json or a table"
     names = [a for a in request.attributes if a in dataset.sources]
-    if not names:
-        raise RequestError("No matching attribute found!")
-    mixed = {a in dataset.ensembles for a in names}
-    if request.output == "csv" and len(mixed) > 1:
-        raise RequestError("CSV: ensemble attributes cannot be mixed with others")
+    yield not names, f"{request.product} has none of the attributes {', '.join(request.attributes)}"
+    yield (request.output == "csv" and len({a in dataset.ensembles for a in names}) > 1,
+           "csv holds attributes with members or without, not both")
     days = (dt.date.fromisoformat(request.end[:10]) - dt.date.fromisoformat(request.start[:10])).days + 1
-    if days < 1:
-        raise RequestError("End of the range is before its start")
-    if dataset.max_days != -1 and days > dataset.max_days:
-        raise RequestError(f"Maximum date range is {dataset.max_days}")
-    if request.altitudes and request.altitudes[0] > request.altitudes[1]:
-        raise RequestError("Altitude range must be in order")
+    yield days < 1, "the range ends before it starts"
+    yield dataset.max_days != -1 and days > dataset.max_days, f"{days} days asked, at most {dataset.max_days} are given"
+    low, high = request.altitudes or (0, 0)
+    yield low > high, "the altitudes are the wrong way round"
+
+
+def check(request: Request, dataset: Dataset | None) -> None:
+    """All request rules, before any plan is built; the first broken one is raised."""
+    for broken, message in _broken_rules(request, dataset):
+        if broken:
+            raise RequestError(message)
+
+
+def _asked(datasets: list[Dataset], request: Request) -> list[Dataset]:
+    """Datasets of the product that have a requested attribute."""
+    own = [d for d in datasets if d.product.lower() == request.product.lower()]
+    own = [d for d in own if not d.internal] or own
+    return [d for d in own if any(a in d.sources for a in request.attributes)] or own[:1]
+
+
+def answer(datasets: list[Dataset], request: Request, path: str, unit_names: bool = False) -> None:
+    """The whole request: every dataset of the product read, merged in time order and
+    written to ``path`` in the format asked for (see ``sinks.results``)."""
+    asked = _asked(datasets, request)
+    parts, units = [], {}
+    for ds in asked or [None]:
+        check(request, ds)
+        rows = measure([ds], request)
+        places = ds.stations if ds.kind in ("station", "airborne") else None
+        parts.append(results.shaped(rows, places.withColumnRenamed(ds.place_id, "station_id") if places is not None
+                                    and ds.place_id not in results.PLACES else places))
+        units = {**ds.units, **units}
+    results.write_result(parts, request.output, path, units, unit_names)
 
 
 def measure(datasets: list[Dataset], request: Request) -> DataFrame:
@@ -115,9 +137,7 @@ def measure(datasets: list[Dataset], request: Request) -> DataFrame:
     A product may have several datasets: the rows of each that has a requested
     attribute are given, attributes of the others null; order holds within each.
     """
-    own = [d for d in datasets if d.product.lower() == request.product.lower()]
-    own = [d for d in own if not d.internal] or own
-    asked = [d for d in own if any(a in d.sources for a in request.attributes)] or own[:1]
+    asked = _asked(datasets, request)
     if len(asked) > 1:
         parts = [measure([d], request) for d in asked]
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
@@ -142,7 +162,7 @@ def measure(datasets: list[Dataset], request: Request) -> DataFrame:
     elif ds.kind == "seasonal":
         ens = [ds.sources[a] for a in names if a in ds.ensembles]
         plain = [ds.sources[a] for a in names if a not in ds.ensembles]
-        out = cubes.read_seasonal(ds.table, ens, day0, day1, loc, lattice, request.forecast_date, plain)
+        out = cubes.read_seasonal(ds.table, ens, day0, day1, loc, lattice, request.forecast_date, plain, ds.latest)
         keys = ["date", "lat", "lon"]
     elif ds.kind == "normals":
         near = cubes.at_location(ds.table, loc, *lattice)

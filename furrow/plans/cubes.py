@@ -37,7 +37,8 @@ def at_location(cube: DataFrame, location: Location, lon0: float, lat0: float,
 
 
 def latest_forecast_date(cube: DataFrame, partition: str = "forecast_date") -> dt.date | None:
-    """Newest run; on a partitioned table a metadata-sized aggregate."""
+    """Newest run of a table without a manifest, by a maximum over it; where the writers
+    kept one, ``sinks.runs.newest`` reads that instead."""
     return cube.agg(F.max(partition).alias("d")).first().d
 
 
@@ -105,12 +106,12 @@ def read_run(cube: DataFrame, run_date: str, start: str, end: str) -> DataFrame:
 
 # ---- seasonal ensemble ----------------------------------------------------
 
-def seasonal_run(cube: DataFrame, requested: str | None = None) -> DataFrame:
+def seasonal_run(cube: DataFrame, requested: str | None = None, latest: dt.date | None = None) -> DataFrame:
     """The archived run of a requested month, else the latest run."""
     if requested:
         run = F.trunc(F.lit(requested).cast("date"), "month")
         return cube.where(F.col("forecast_date") == run)
-    return cube.where(F.col("forecast_date") == F.lit(latest_forecast_date(cube)))
+    return cube.where(F.col("forecast_date") == F.lit(latest or latest_forecast_date(cube)))
 
 
 def members_to_list(df: DataFrame, keys: list[str], variables: list[str],
@@ -129,9 +130,9 @@ def members_to_list(df: DataFrame, keys: list[str], variables: list[str],
 
 def read_seasonal(cube: DataFrame, variables: list[str], start: str, end: str,
                   location: Location | None = None, lattice: tuple[float, float, float] | None = None,
-                  requested: str | None = None, plain: list[str] = ()) -> DataFrame:
+                  requested: str | None = None, plain: list[str] = (), latest: dt.date | None = None) -> DataFrame:
     """Ensemble lists per date and cell; the start is clipped to the run date."""
-    run = seasonal_run(cube, requested)
+    run = seasonal_run(cube, requested, latest)
     run = run.where(F.col("forecast_day_idx") >= 0)
     rows = lead_slice(run, start, end)
     if location is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import dates, geo, numeric
@@ -43,11 +43,22 @@ def snap_cells(df: DataFrame, lon0: float, lat0: float, step: float,
             .withColumn("lon", spatial.axis_value(F.col("lon_idx"), lon0, step)))
 
 
+def rounded_geohash(digits: int = 8, precision: int = 8) -> Column:
+    return geo.geohash(F.round("lon", digits), F.round("lat", digits), precision)
+
+
+def _geohash_cell(digits: int, precision: int) -> list[Column]:
+    """The two halves of the geohash as whole numbers: 5 bits a sign, longitude first."""
+    bits = 5 * precision
+    part = lambda v, low, span, n: F.floor((F.round(v, digits) - low) / span * float(1 << n)).cast("long")
+    return [part("lon", -180.0, 360.0, (bits + 1) // 2).alias("_hx"), part("lat", -90.0, 180.0, bits // 2).alias("_hy")]
+
+
 def cell_of_grid(df: DataFrame, grid: DataFrame, digits: int = 8, precision: int = 8) -> DataFrame:
-    """Cube cells and grids matched by the geohash of the rounded centroid."""
-    key = lambda: geo.geohash(F.round("lon", digits), F.round("lat", digits), precision)
-    g = grid.select("grid_id", key().alias("_h"))
-    return df.withColumn("_h", key()).join(g, "_h").drop("_h")
+    """Cube cells and grids whose rounded centroids share a geohash. They are joined on
+    its two numbers, which are cheaper to make for every cube row than its text."""
+    g = grid.select("grid_id", *_geohash_cell(digits, precision))
+    return df.select("*", *_geohash_cell(digits, precision)).join(g, ["_hx", "_hy"]).drop("_hx", "_hy")
 
 
 def forecast_cube(rows: DataFrame, grid: DataFrame, variables: list[str], forecast_date: str,
@@ -68,21 +79,28 @@ def forecast_cube(rows: DataFrame, grid: DataFrame, variables: list[str], foreca
             .groupBy(*keys).agg(*[F.avg(numeric.no_nan(F.col(v))).alias(v) for v in variables]))
 
 
-def ingest_quality(rows: DataFrame, grid: DataFrame) -> DataFrame:
+def ingest_quality(rows: DataFrame, grid: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """One row of counts: grids without a geohash match, without a file, with
     an invalid document, and the share of gap-filled cells.
 
-    ``rows`` is one row per delivered file: grid_id, is_valid, is_gap_filled.
+    ``rows`` is one row per delivered file: grid_id, is_valid, is_gap_filled. ``hashes``
+    holds the geohashes of the delivered cells; a grid whose centroid has none of them
+    counts as ``missing_hashes``.
     """
     files = rows.groupBy("grid_id").agg(
         F.bool_or("is_valid").alias("is_valid"), F.bool_or("is_gap_filled").alias("is_gap_filled"))
     joined = grid.select("grid_id").join(files.withColumn("_f", F.lit(True)), "grid_id", "full")
-    return joined.agg(
+    out = joined.agg(
         F.count_if(F.col("_f").isNull()).alias("missing_files"),
         F.count_if(~F.col("is_valid")).alias("invalid_documents"),
         F.count_if("is_gap_filled").alias("gap_filled"),
         F.count("*").alias("grids")).withColumn(
         "gap_filled_share", F.col("gap_filled") / F.col("grids"))
+    if hashes is None:
+        return out
+    own = grid.select(rounded_geohash().alias("geohash"))
+    missing = own.join(hashes.select("geohash").distinct(), "geohash", "left_anti").agg(F.count("*"))
+    return out.withColumn("missing_hashes", missing.scalar())
 
 
 def completeness(rows: DataFrame, expected: int, key: str = "grid_id", day: str = "date") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from urllib.parse import unquote, urlsplit
 
@@ -127,6 +128,46 @@ def append_observations(spark: SparkSession, new: DataFrame, path: str, use_mont
     write_observations(write_stage(new, scratch_dir(spark, "staged")), path, use_month)
 
 
+def _converted(measurement: DataFrame, stations: DataFrame, attributes: list[str], start: str, end: str,
+               use_month: bool) -> DataFrame:
+    """Wide observations of [start, end), with station position and time parts."""
+    from furrow.plans import observations
+    at = F.col("date_time")
+    rows = measurement.where((at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz")))
+    wide = observations.to_wide(rows, ["station_id", "date_time"], attributes)
+    wide = wide.where(F.coalesce(*[F.col(a) for a in attributes]).isNotNull())
+    return observations.with_time_parts(wide.join(stations.select("station_id", "lon", "lat"), "station_id"), use_month)
+
+
+def convert_observations(measurement: DataFrame, stations: DataFrame, path: str, attributes: list[str],
+                         start: str, end: str, use_month: bool = False) -> list[str]:
+    """Narrow measurements of [start, end) into the wide table, one period after the other.
+
+    A period (a year, or a month) is converted and written on its own, so the run
+    can be taken up again where it stopped; writing a period again replaces it. Periods
+    are whole: give the start of one as ``start``. Returns the starts of the periods.
+    """
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    at, done = first, []
+    while at < last:
+        if use_month:
+            after = dt.date(at.year + at.month // 12, at.month % 12 + 1, 1)
+        else:
+            after = dt.date(at.year + 1, 1, 1)
+        write_observations(_converted(measurement, stations, attributes, at.isoformat(), min(after, last).isoformat(),
+                                      use_month), path, use_month)
+        done.append(at.isoformat())
+        at = after
+    return done
+
+
+def append_between(measurement: DataFrame, stations: DataFrame, path: str, attributes: list[str],
+                   start: str, end: str, use_month: bool = False) -> None:
+    """Measurements of [start, end) added to the converted table, times already there left as they are."""
+    append_observations(measurement.sparkSession, _converted(measurement, stations, attributes, start, end, use_month),
+                        path, use_month)
+
+
 def upsert_partition(df: DataFrame, path: str, partition: str = "forecast_date",
                      cluster: list[str] = ("lat", "lon")) -> None:
     """Cube slice by date: writing a date again replaces it."""

@@ -114,13 +114,17 @@ def station_directory(spark: SparkSession, path: str, attributes: list[str],
 
 
 def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Paths grouped by their header line, so that columns are read by name."""
+    """Paths grouped by their header line, so that columns are read by name. Lines are
+    read as rows, the first of each file is kept; no file is held whole."""
     if not paths:
         return []
-    first = (spark.read.text(paths, wholetext=True).select(
-        F.substring_index("value", "\n", 1).alias("header"), F.col("_metadata.file_path").alias("path"))
-        .groupBy("header").agg(F.collect_list("path").alias("paths")))
-    return [sorted(r["paths"]) for r in first.orderBy("header").toLocalIterator()]
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
+                                          F.col("_metadata.file_block_start").alias("at"),
+                                          F.monotonically_increasing_id().alias("row"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min("row").alias("row"))
+    heads = lines.join(first, ["path", "row"]).groupBy(F.rtrim("value").alias("header")).agg(
+        F.collect_list("path").alias("paths"))
+    return [sorted(r["paths"]) for r in heads.orderBy("header").toLocalIterator()]
 
 
 def station_rows(raw: DataFrame, attributes: list[str]) -> DataFrame:
@@ -128,6 +132,8 @@ def station_rows(raw: DataFrame, attributes: list[str]) -> DataFrame:
     cols = [a for a in attributes if a in raw.columns]
     rows = raw.select("station_code", dates.parse_mixed_date(F.col("date")).alias("date"),
                       *[F.col(c).try_cast("double").alias(c) for c in cols])
+    if not cols:
+        return rows.select("station_code", "date", F.lit("").alias("attribute"), F.lit(0.0).alias("value")).limit(0)
     long = rows.unpivot(["station_code", "date"], cols, "attribute", "value")
     return long.where("value is not null and date is not null")
 

@@ -135,14 +135,17 @@ def _(t):
 
 
 @query("A18_ingest_quality", """
-WITH f AS (SELECT l_suppkey AS grid_id, bool_or(l_linestatus = 'F') AS v, bool_or(l_quantity > 49) AS g FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+WITH f AS (SELECT l_suppkey AS grid_id, bool_or(l_linestatus = 'F' AND l_suppkey % 3 > 0) AS v, bool_or(l_quantity > 49) AS g FROM lineitem WHERE l_suppkey % 7 > 0 GROUP BY 1)
 SELECT count(*) FILTER (f.grid_id IS NULL) AS missing_files, count(*) FILTER (NOT f.v) AS invalid_documents, count(*) FILTER (f.g) AS gap_filled,
-  count(*) AS grids, count(*) FILTER (f.g) / count(*) AS gap_filled_share FROM {grid} r FULL JOIN f ON r.grid_id = f.grid_id""")
-def _(t):
-    files = t.lineitem.where("l_returnflag = 'A'").select(
-        F.col("l_suppkey").alias("grid_id"), (F.col("l_linestatus") == "F").alias("is_valid"), (F.col("l_quantity") > 49).alias("is_gap_filled"))
-    return ingest.ingest_quality(files, t.grid)
-
+  count(*) AS grids, count(*) FILTER (f.g) / count(*) AS gap_filled_share,
+  (SELECT count(*) FROM {grid} h WHERE NOT EXISTS (SELECT 1 FROM {grid} d WHERE d.grid_id % 5 > 0 AND d.lon = h.lon AND d.lat = h.lat)) AS missing_hashes
+FROM {grid} r FULL JOIN f ON r.grid_id = f.grid_id""")
+def _(t):
+    """Of every seventh grid no file came, every third document is broken, every fifth cell is no cube cell."""
+    files = t.lineitem.where("l_suppkey % 7 > 0").select(
+        F.col("l_suppkey").alias("grid_id"), ((F.col("l_linestatus") == "F") & (F.col("l_suppkey") % 3 > 0)).alias("is_valid"), (F.col("l_quantity") > 49).alias("is_gap_filled"))
+    delivered = t.grid.where("grid_id % 5 > 0").select(ingest.rounded_geohash().alias("geohash"))
+    return ingest.ingest_quality(files, t.grid, delivered)
 
 REG_KEY = "group_id, farm_id, crop_id, crop_stage_type_id, planting_date"
 

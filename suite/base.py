@@ -13,6 +13,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from furrow.session import scratch_dir
+from furrow.sinks import runs, tables
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -44,6 +48,35 @@ class Tables:
             return self.sql(_DERIVED[name])
         raise AttributeError(name)
 
+    def cube(self, name: str) -> tuple[DataFrame, object]:
+        """A derived forecast table as its writer leaves it, partitioned by run, and the
+        newest run by the manifest."""
+        path = scratch_dir(self.spark, name)
+        runs.write_runs(getattr(self, name), path)
+        return self.spark.read.parquet(path), runs.newest(self.spark, path)
+
+    def advisory_table(self) -> str:
+        """The advisory history as its writer leaves it, by iso_a3, year, month and day.
+
+        A run covers a year here: the stand-in spreads its rows over thousands of days.
+        """
+        path = scratch_dir(self.spark, "advisory")
+        tables.write_advisory(self.advisory_hist.select(
+            "registry_id", "grid_id", "iso_a3", "year", F.lit(7).alias("month"), F.lit(1).alias("day"), "final_message"), path)
+        return path
+
+    def named_files(self, rows: DataFrame, name: str, fmt: str, into: str | None = None, **options) -> str:
+        """A folder with one file for each value of the column ``name``, called so."""
+        landed, path = scratch_dir(self.spark, "landing"), into or scratch_dir(self.spark, "named")
+        rows.repartition(name).write.partitionBy(name).format(fmt).options(**options).save(landed)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs = jvm.org.apache.hadoop.fs.Path(landed).getFileSystem(conf)
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{landed}/{name}=*/part-*")):
+            value = found.getPath().getParent().getName().split("=", 1)[1]
+            fs.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/{value}"))
+        return path
+
     def _view(self, name: str) -> str:
         view = f"{self._tag}_{name}"
         getattr(self, name).createOrReplaceTempView(view)

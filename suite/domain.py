@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from furrow.functions import geo
 from furrow.plans import advisory, agronomy, audit, catalog, cropplan, cubes, ingest, observations, pests, planting, registry
 from furrow.plans.observations import Location
+from furrow.session import scratch_dir
 from suite.aggregates import ATTRIBUTES, LOG_SQL, external_log
 from suite.base import FIRST_DAY, REQUEST_DATE, query
 from suite.filters import HOLE, RING, hav, inside_sql
@@ -194,9 +195,9 @@ FC_SQL = """(SELECT forecast_date - 1 AS date, lat, lon, max_temperature, total_
 
 @query("D12_forecast_past_and_future", f"SELECT date, lat, lon, max_temperature, total_rainfall FROM {FC_SQL}")
 def _(t):
-    latest = cubes.latest_forecast_date(t.forecast)
+    cube, latest = t.cube("forecast")
     end = (latest.fromordinal(latest.toordinal() + 5)).isoformat()
-    return cubes.read_forecast(t.forecast, ["max_temperature", "total_rainfall"], "2024-01-10", end, latest).select(
+    return cubes.read_forecast(cube, ["max_temperature", "total_rainfall"], "2024-01-10", end, latest).select(
         "date", "lat", "lon", "max_temperature", "total_rainfall")
 
 
@@ -395,6 +396,43 @@ def _(t):
                                                count(load.dimensions["subcounty"]).alias("subcounties"))
 
 
+# rows of the file whose farm, crop, stage and date the registry has already
+_STORED_SQL = """stored AS (SELECT min(o_orderkey) AS registry_id, o_custkey AS farm_id, o_orderkey % 9 AS crop_id, o_orderkey % 4 + 1 AS crop_stage_type_id, CAST(o_orderdate AS DATE) AS planting_date
+   FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 > 0 AND o_orderkey % 4 < 3 AND o_custkey IN (SELECT farm_id FROM {farm}) GROUP BY ALL)"""
+
+
+@query("D20_registry_rows", f"""
+WITH {REG_CSV_SQL}, {_STORED_SQL}, m AS (SELECT c.*, o_orderpriority AS sub, f.farm_id, COALESCE(f.grid_id, (SELECT min(g.grid_id) FROM {{grid}} g WHERE c.lon BETWEEN g.lon0 AND g.lon0 + 0.5 AND c.lat BETWEEN g.lat0 AND g.lat0 + 0.5)) AS grid_id
+   FROM csv c JOIN orders ON o_orderkey = c.no LEFT JOIN {{farm}} f ON f.farm_unique_id = c.farmer_id),
+ names AS (SELECT lower(o_orderpriority) AS k, CASE WHEN lower(o_orderpriority) = '1-urgent' THEN 4 ELSE 4 + row_number() OVER (PARTITION BY lower(o_orderpriority) = '1-urgent' ORDER BY md5(lower(o_orderpriority))) END AS id FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+ q AS (SELECT m.farmer_id, m.grid_id, m.farm_id, CAST(substr(crop_name, 5) AS INT) AS crop_id, CASE WHEN stage_name <> 'Mid' THEN CAST(substr(stage_name, 5) AS INT) END AS crop_stage_type_id, m.planting_date, n.id AS sub
+   FROM m JOIN names n ON n.k = lower(m.sub))
+SELECT 'stored' AS what, 'F' || s.farm_id AS farmer_id, CAST(s.crop_id AS INT) AS crop_id, CAST(s.crop_stage_type_id AS INT) AS crop_stage_type_id, s.planting_date,
+  (SELECT CAST(min(q.sub) AS BIGINT) FROM q WHERE q.farm_id = s.farm_id AND q.crop_id = s.crop_id AND q.crop_stage_type_id = s.crop_stage_type_id AND q.planting_date = s.planting_date) AS subcounty_id FROM stored s
+UNION ALL
+SELECT 'inserted', farmer_id, crop_id, crop_stage_type_id, planting_date, CAST(NULL AS BIGINT) FROM q WHERE grid_id IS NOT NULL AND crop_stage_type_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM stored s WHERE q.farm_id = s.farm_id AND q.crop_id = s.crop_id AND q.crop_stage_type_id = s.crop_stage_type_id AND q.planting_date = s.planting_date) GROUP BY ALL""")
+def _(t):
+    """A registry file against a filled registry: the rows inserted, and the stored ones after the update."""
+    from furrow.schema import REGISTRY_CSV
+    from furrow.sources import landed
+    path = scratch_dir(t.spark, "registry-csv")
+    registry_csv(t).write.option("header", True).csv(path)
+    csv = landed.read_sheet(t.spark, path, REGISTRY_CSV)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    stored = t.orders.where("o_orderkey % 3 = 0 and o_orderkey % 5 > 0 and o_orderkey % 4 < 3").join(t.farm.select(F.col("farm_id").alias("o_custkey")), "o_custkey").groupBy(
+        c.alias("farm_id"), (k % 9).cast("int").alias("crop_id"), (k % 4 + 1).cast("int").alias("crop_stage_type_id"), F.to_date("o_orderdate").alias("planting_date")).agg(
+        F.min("o_orderkey").alias("registry_id")).withColumns({"group_id": F.lit(77), "subcounty_id": F.lit(None).cast("long")})
+    load = registry.ingest(csv, 77, t.farm.select("farm_id", "farm_unique_id", "grid_id"),
+                           t.grid.select("grid_id", "lon", "lat").join(grid_areas(t), "grid_id"), t.crop, t.stage_type, stored,
+                           {"subcounty": t.spark.createDataFrame([(4, "1-urgent")], "subcounty_id long, name string")})
+    keys = ["crop_id", "crop_stage_type_id", "planting_date"]
+    after = registry.apply_updates(stored, load.updates.select("registry_id", "subcounty_id"), ["subcounty_id"])
+    farmer = F.concat(F.lit("F"), F.col("farm_id").cast("string"))
+    return after.select(F.lit("stored").alias("what"), farmer.alias("farmer_id"), *keys, "subcounty_id").unionByName(
+        load.inserts.select(F.lit("inserted").alias("what"), "farmer_id", *keys, F.lit(None).cast("long").alias("subcounty_id")))
+
+
 # ---- observations and cubes -----------------------------------------------
 
 _WIDE_SQL = "wide AS (SELECT station_id, date_time, " + ", ".join(
@@ -497,6 +535,69 @@ def _(t):
                                                  Location.bbox(22.0, -25.0, 58.0, 25.0)))
 
 
+_RENDERED = """
+SELECT 'station' AS product, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, lon, lat, CAST(NULL AS INT) AS ensemble, avg(floor(value * 8) / 8) AS value
+FROM events JOIN (SELECT DISTINCT 20 + (user_id * 37 % 320) / 8 AS lon, -28 + (user_id * 53 % 448) / 8 AS lat, user_id FROM events) USING (user_id)
+WHERE user_id = 7 AND event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' GROUP BY ts, lon, lat
+UNION ALL
+SELECT 'hourly', strftime(date + to_hours(CAST(hour AS BIGINT)), '%Y-%m-%d %H:%M:%S'), lon, lat, NULL, max_temperature FROM {reanalysis_hourly}
+WHERE lon = 23.75 AND lat = 17.75 AND date + to_hours(CAST(hour AS BIGINT)) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'
+UNION ALL
+SELECT 'seasonal', strftime(d, '%Y-%m-%d %H:%M:%S'), lon, lat, CAST(row_number() OVER (PARTITION BY d, lat, lon ORDER BY ensemble) - 1 AS INT), temp FROM (
+  SELECT CAST(forecast_date + forecast_day_idx AS TIMESTAMP) AS d, lat, lon, ensemble, temp FROM {ensemble}
+  WHERE forecast_date = DATE '1998-03-01' AND forecast_day_idx BETWEEN 0 AND 25 AND lon = 23.75 AND lat = 17.75)"""
+
+
+def rendered(t, output):
+    """A station, an hourly and a seasonal product, written in a format; (product, folder) each."""
+    wide = observations.to_wide(t.measurement, ["station_id", "date_time"], ["click"])
+    lattice = (20.25, -27.75, 0.5)
+    sets = [catalog.Dataset("station", "station", wide.where("click is not null"), {"value": "click"}, stations=t.station, units={"value": {"unit": "mm"}}),
+            catalog.Dataset("hourly", "hourly", t.reanalysis_hourly, {"value": "max_temperature"}, lattice=lattice),
+            catalog.Dataset("seasonal", "seasonal", t.ensemble, {"value": "temp"}, lattice=lattice, ensembles={"value"})]
+    for name, spot, start, end in (("station", (52.375, 18.375), "2024-01-05 00:00:00", "2024-01-25 00:00:00"),
+                                   ("hourly", (23.8, 17.7), "2024-01-05 00:00:00", "2024-01-25 00:00:00"),
+                                   ("seasonal", (23.8, 17.7), "1998-03-01", "1998-03-26")):
+        path = scratch_dir(t.spark, f"answer-{name}")
+        catalog.answer(sets, catalog.Request(name, ["value"], start, end, Location.point(*spot), output, forecast_date="1998-03-10"), path)
+        yield name, path
+
+
+def text_rows(t, output, sep):
+    parts = []
+    for name, path in rendered(t, output):
+        own = {"station": "lat double, lon double", "hourly": "lat double, lon double", "seasonal": "lat double, lon double, ensemble int"}[name]
+        first = "station_id long, " if name == "station" else ""
+        rows = t.spark.read.schema(f"datetime string, {first}{own}, value double").option("header", True).option("sep", sep).csv(path)
+        member = F.col("ensemble") if name == "seasonal" else F.lit(None).cast("int")
+        parts.append(rows.select(F.lit(name).alias("product"), "datetime", "lon", "lat", member.alias("ensemble"), "value"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("D28_answer_csv", _RENDERED)
+def _(t):
+    return text_rows(t, "csv", ",")
+
+
+@query("D28_answer_ascii", _RENDERED)
+def _(t):
+    return text_rows(t, "ascii", "\t")
+
+
+@query("D28_answer_json", _RENDERED)
+def _(t):
+    parts = []
+    for name, path in rendered(t, "json"):
+        kind = "array<double>" if name == "seasonal" else "double"
+        doc = F.from_json("value", f"struct<geometry: struct<coordinates: array<double>>, data: array<struct<datetime: string, values: struct<value: {kind}>>>>")
+        rows = t.spark.read.text(path).select(doc.alias("d")).select(F.col("d.geometry.coordinates").alias("c"), F.explode("d.data").alias("e"))
+        rows = rows.select(F.lit(name).alias("product"), F.col("e.datetime").alias("datetime"), F.get("c", 0).alias("lon"), F.get("c", 1).alias("lat"), F.col("e.values.value").alias("v"))
+        keys = ["product", "datetime", "lon", "lat"]
+        parts.append(rows.select(*keys, F.posexplode("v").alias("ensemble", "value")) if name == "seasonal"
+                     else rows.select(*keys, F.lit(None).cast("int").alias("ensemble"), F.col("v").alias("value")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("D29_forecast_ingest", """
 SELECT DATE '1998-06-25' AS forecast_date, CAST(w.date - DATE '1998-06-25' AS INT) AS forecast_day_idx, g.lat, g.lon, w.max_temperature, CAST(NULL AS DOUBLE) AS wind FROM {weather} w JOIN {grid} g ON w.grid_id = g.grid_id
 WHERE w.date >= DATE '1998-06-25' AND w.date < DATE '1998-07-14'""")

@@ -115,11 +115,11 @@ def _(t):
 
 
 @query("J12_nearest_station", f"""
-WITH s AS (SELECT * FROM {{station}} WHERE station_id IN (SELECT station_id FROM {{measurement}} WHERE attribute = 'view' AND value > 50))
+WITH s AS (SELECT * FROM {{station}} WHERE station_id IN (SELECT station_id FROM {{measurement}}))
 SELECT f.farm_id AS point_id, arg_min(s.station_id, (round({hav('f', 's')}, 3), s.station_id)) AS station_id
 FROM {{farm}} f CROSS JOIN s GROUP BY 1""")
 def _(t):
-    data = t.measurement.where("attribute = 'view' and value > 50")
+    data = t.measurement
     pts = t.farm.select(F.col("farm_id").alias("point_id"), "lon", "lat")
     return observations.nearest_stations(t.station, data, pts).select("point_id", "station_id")
 

@@ -4,18 +4,14 @@ from pyspark.sql import functions as F
 
 from furrow.plans import advisory, catalog, cropplan, ingest, observations, planting
 from furrow.session import scratch_dir
-from furrow.sinks import documents, tables
+from furrow.sinks import documents, runs, tables
 from suite.aggregates import ATTRIBUTES
 from suite.base import query
 
 
-@query("K01_advisory_write", "SELECT registry_id, iso_a3, year, month, day, final_message FROM {advisory_hist}")
+@query("K01_advisory_write", "SELECT registry_id, iso_a3, year, CAST(7 AS INT) AS month, CAST(1 AS INT) AS day, final_message FROM {advisory_hist}")
 def _(t):
-    path = scratch_dir(t.spark, "advisory")
-    rows = t.advisory_hist.select("registry_id", "grid_id", "iso_a3", "year", "month", "day", "final_message")
-    # the stand-in spreads over thousands of days: its runs are months, the day a column
-    tables.write_partitions(rows, path, ["year", "month"], ["iso_a3", "day", "grid_id", "registry_id"])
-    return t.spark.read.parquet(path).select("registry_id", "iso_a3", "year", "month", "day", "final_message")
+    return t.spark.read.parquet(t.advisory_table()).select("registry_id", "iso_a3", "year", "month", "day", "final_message")
 
 
 @query("K02_stage_tables", "SELECT grid_id, date, max_temperature FROM {weather}")
@@ -50,12 +46,17 @@ def _(t):
     return t.spark.read.option("mergeSchema", True).parquet(path).select("station_id", "date_time", "v", "extra")
 
 
-@query("K05_conversion_run", "SELECT CAST(year(date) AS INT) AS year, count(*) AS n, sum(max_temperature) AS total FROM {weather} GROUP BY 1")
+@query("K05_conversion_run", """
+SELECT m.station_id, m.date_time, m.v, m.month, year(m.date_time) AS year, CASE WHEN m.date_time >= TIMESTAMP '2024-01-20 00:00:00' THEN 'appended' ELSE 'converted' END AS load
+FROM (SELECT station_id, date_time, avg(value) FILTER (attribute = 'view') AS v, CAST(month(date_time) AS INT) AS month FROM {measurement} GROUP BY 1, 2) m WHERE v IS NOT NULL""")
 def _(t):
-    path = scratch_dir(t.spark, "years")
-    w = t.weather.withColumn("date_time", F.col("date").cast("timestamp_ntz")).withColumn("year", F.year("date"))
-    tables.write_partitions(w, path, ["year"], ["grid_id", "date"])
-    return t.spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.sum("max_temperature").alias("total"))
+    """Narrow measurements converted month by month up to a date, then appended from it."""
+    path = scratch_dir(t.spark, "converted")
+    tables.convert_observations(t.measurement, t.station, path, ["view"], "2024-01-01", "2024-01-20", use_month=True)
+    tables.append_between(t.measurement, t.station, path, ["view"], "2024-01-20", "2024-02-10", use_month=True)
+    rows = t.spark.read.parquet(path)
+    return rows.select("station_id", "date_time", F.col("view").alias("v"), "month", F.col("year").cast("long").alias("year"),
+                       F.when(F.col("date_time") >= F.lit("2024-01-20").cast("timestamp_ntz"), "appended").otherwise("converted").alias("load"))
 
 
 @query("K06_replace_snapshot_date", "SELECT signal_id, generated_date AS date, CASE WHEN generated_date = DATE '1998-06-10' THEN 'new' ELSE signal END AS signal FROM {signal}")
@@ -111,22 +112,29 @@ def _(t):
                     F.get_json_object("feature", "$.properties.phoneNumber").alias("phone"))
 
 
-@query("K12_forecast_upsert", "SELECT forecast_date, forecast_day_idx, lat, lon, CASE WHEN forecast_date = DATE '2024-01-12' THEN max_temperature + 1 ELSE max_temperature END AS max_temperature FROM {forecast}")
+@query("K12_forecast_upsert", """
+SELECT forecast_date, forecast_day_idx, lat, lon, CASE WHEN forecast_date = DATE '2024-01-12' AND lat < 0 THEN max_temperature + 1 ELSE max_temperature END AS max_temperature,
+  CASE WHEN forecast_date = DATE '2024-01-12' AND lat < 0 THEN NULL ELSE min_temperature END AS min_temperature FROM {forecast}""")
 def _(t):
+    """A run date is written, then one region of it loaded again: the other regions stay."""
     path = scratch_dir(t.spark, "fc")
-    f = t.forecast.select("forecast_date", "forecast_day_idx", "lat", "lon", "max_temperature")
-    tables.upsert_partition(f, path)
-    tables.upsert_partition(f.where("forecast_date = '2024-01-12'").withColumn("max_temperature", F.col("max_temperature") + 1), path)
-    return t.spark.read.parquet(path)
+    f = t.forecast.select("forecast_date", "forecast_day_idx", "lat", "lon", "max_temperature", "min_temperature")
+    runs.write_runs(f, path)
+    south = f.where("forecast_date = '2024-01-12' and lat < 0").withColumn("max_temperature", F.col("max_temperature") + 1)
+    runs.merge_runs(south.drop("min_temperature"), path, ["forecast_day_idx", "lat", "lon"])
+    return t.spark.read.option("mergeSchema", True).parquet(path).select(*f.columns)
 
 
-@query("K13_seasonal_upsert", "SELECT forecast_date, count(*) AS n, sum(CASE WHEN forecast_date = DATE '1998-03-01' THEN temp * 2 ELSE temp END) AS total FROM {ensemble} GROUP BY 1")
+@query("K13_seasonal_upsert", """
+SELECT forecast_date, forecast_day_idx, ensemble, lat, lon, CASE WHEN forecast_date = DATE '1998-03-01' AND lon < 40 THEN temp * 2 ELSE temp END AS temp, temp_clim FROM {ensemble}""")
 def _(t):
     path = scratch_dir(t.spark, "ens")
     e = t.ensemble
-    tables.upsert_partition(e, path, cluster=["forecast_day_idx", "lat", "lon"])
-    tables.upsert_partition(e.where("forecast_date = '1998-03-01'").withColumn("temp", F.col("temp") * 2), path, cluster=["forecast_day_idx", "lat", "lon"])
-    return t.spark.read.parquet(path).groupBy("forecast_date").agg(F.count("*").alias("n"), F.sum("temp").alias("total"))
+    runs.write_runs(e, path, cluster=["forecast_day_idx", "lat", "lon"])
+    west = e.where("forecast_date = '1998-03-01' and lon < 40").withColumn("temp", F.col("temp") * 2).drop("temp_clim")
+    # a value the load doesn't bring is kept
+    runs.merge_runs(west, path, ["forecast_day_idx", "ensemble", "lat", "lon"], cluster=["forecast_day_idx", "lat", "lon"], fill=True)
+    return t.spark.read.parquet(path).select(*e.columns)
 
 
 @query("K14_variable_merge", """
@@ -167,14 +175,14 @@ def _(t):
 
 
 @query("K19_keyed_upsert", """
-SELECT farm_id, arg_max(signal_id, signal_id) AS last_id, arg_min(signal_id, signal_id) AS first_id FROM {signal} GROUP BY farm_id""")
+SELECT farm_id, max(signal_id) AS last_id, coalesce(min(signal_id) FILTER (signal LIKE 'Plant%'), min(signal_id)) AS first_id FROM {signal} GROUP BY farm_id""")
 def _(t):
     s = t.signal.select("farm_id", "signal_id", "signal", F.col("signal_id").alias("arrival"))
     old, new = s.where("signal like 'Plant%'").withColumn("arrival", F.lit(0)), s.drop("signal")
-    first_old = old.groupBy("farm_id").agg(F.min("signal_id").alias("signal_id"), F.min("arrival").alias("arrival"))
-    last = ingest.upsert(first_old, new, ["farm_id"], "last").select("farm_id", F.col("signal_id").alias("last_id"))
-    # keep-first: nothing stored yet, so the earliest arrival of the load stays
-    first = ingest.upsert(new.where("false"), new, ["farm_id"], "first").select("farm_id", F.col("signal_id").alias("first_id"))
+    stored = old.groupBy("farm_id").agg(F.min("signal_id").alias("signal_id"), F.min("arrival").alias("arrival"))
+    last = ingest.upsert(stored, new, ["farm_id"], "last").select("farm_id", F.col("signal_id").alias("last_id"))
+    # keep-first: what is stored stays, farms without a row get the earliest of the load
+    first = ingest.upsert(stored, new, ["farm_id"], "first").select("farm_id", F.col("signal_id").alias("first_id"))
     return last.join(first, "farm_id")
 
 

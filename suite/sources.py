@@ -4,7 +4,7 @@ then read back by the operator."""
 from pyspark.sql import functions as F
 
 from furrow.functions import geo
-from furrow.plans import catalog, cubes, pests, registry
+from furrow.plans import catalog, cubes, ingest, pests, registry
 from furrow.session import scratch_dir
 from furrow.sinks import tables
 from furrow.sources import landed, scans
@@ -12,11 +12,9 @@ from suite.base import query
 from suite.joins import PESTS
 
 
-@query("S01_advisory_day", "SELECT registry_id, final_message FROM {advisory_hist} WHERE year = 1998 AND month = 7 AND day = 14")
+@query("S01_advisory_day", "SELECT registry_id, iso_a3, final_message FROM {advisory_hist} WHERE year = 1998")
 def _(t):
-    path = scratch_dir(t.spark, "advisory")
-    tables.write_partitions(t.advisory_hist, path, ["year", "month"], ["day", "registry_id"])
-    return scans.advisory_scan(t.spark, path, "1998-07-14").select("registry_id", "final_message")
+    return scans.advisory_scan(t.spark, t.advisory_table(), "1998-07-01").select("registry_id", "iso_a3", "final_message")
 
 
 @query("S02_grid_columns", "SELECT grid_id, max_temperature, humidity FROM {weather} WHERE grid_id IN (SELECT grid_id FROM {farm} WHERE farm_group = 'BUILDING')")
@@ -53,10 +51,14 @@ def _(t):
     return scans.by_keys(day, t.farm.where("country_id < 20"), "farm_unique_id", ["registry_id", "message"]).drop("farm_unique_id")
 
 
-@query("S07_relational_ranges", "SELECT CAST(least(floor(registry_id / 50), 24) AS INT) AS part, count(*) AS n, min(registry_id) AS low FROM {registry} GROUP BY 1")
+@query("S07_relational_ranges", """
+SELECT CAST(least(floor((registry_id - low) / ceil((high - low + 1) / 25)), 24) AS INT) AS part, count(*) AS n, min(registry_id) AS low
+FROM (SELECT registry_id, min(registry_id) OVER () AS low, max(registry_id) OVER () AS high FROM {registry}) GROUP BY 1""")
 def _(t):
-    # no database here: the same key ranges over the stored table
-    return scans.range_parts(t.registry, "registry_id", 0, 1250, 25).groupBy("part").agg(F.count("*").alias("n"), F.min("registry_id").alias("low"))
+    # no database here: the same key ranges, over the measured bounds, of the stored table
+    low, high = t.registry.agg(F.min("registry_id"), F.max("registry_id")).first()
+    step = -(-(high - low + 1) // 25)
+    return scans.range_parts(t.registry, "registry_id", low, low + 25 * step, 25).groupBy("part").agg(F.count("*").alias("n"), F.min("registry_id").alias("low"))
 
 
 @query("S08_reanalysis_slice", "SELECT date, lat, lon, total_rainfall FROM {reanalysis} WHERE date BETWEEN DATE '1997-12-01' AND DATE '1998-02-15'")
@@ -80,15 +82,16 @@ def _(t):
 @query("S11_forecast_scan", """
 SELECT date, lat, lon, temperature FROM (SELECT forecast_date + forecast_day_idx AS date, hour, lat, lon, temperature FROM {forecast_hourly} WHERE forecast_date = (SELECT max(forecast_date) FROM {forecast_hourly}) AND forecast_day_idx BETWEEN 1 AND 3)""")
 def _(t):
-    latest = cubes.latest_forecast_date(t.forecast_hourly)
+    cube, latest = t.cube("forecast_hourly")
     end = latest.fromordinal(latest.toordinal() + 3).isoformat()
-    return cubes.read_forecast(t.forecast_hourly, ["temperature"], "2024-01-05", end, latest, hourly=True).select("date", "lat", "lon", "temperature")
+    return cubes.read_forecast(cube, ["temperature"], "2024-01-05", end, latest, hourly=True).select("date", "lat", "lon", "temperature")
 
 
 @query("S12_seasonal_run", "SELECT forecast_date, forecast_day_idx, ensemble, lat, lon, temp FROM {ensemble} WHERE forecast_date IN ((SELECT max(forecast_date) FROM {ensemble}), DATE '1998-04-01')")
 def _(t):
     cols = ["forecast_date", "forecast_day_idx", "ensemble", "lat", "lon", "temp"]
-    return cubes.seasonal_run(t.ensemble).select(*cols).unionByName(cubes.seasonal_run(t.ensemble, "1998-04-20").select(*cols))
+    cube, latest = t.cube("ensemble")
+    return cubes.seasonal_run(cube, latest=latest).select(*cols).unionByName(cubes.seasonal_run(cube, "1998-04-20").select(*cols))
 
 
 @query("S13_normals_scan", "SELECT dayofyear, lat, lon, LTNPET FROM {normals} WHERE dayofyear BETWEEN 152 AND 182")
@@ -148,23 +151,25 @@ def _(t):
 @query("S18_station_directory", """
 SELECT 'S' || user_id AS station_code, CAST(ts AS DATE) AS date, 'rain' AS attribute, sum(floor(value * 8) / 8) AS value FROM events GROUP BY 1, 2 HAVING sum(floor(value * 8) / 8) > 10""")
 def _(t):
-    base = scratch_dir(t.spark, "stations")
     daily = t.daily_eav.groupBy("station_id", "day").agg(F.sum("value").alias("v"))
+    code = F.concat(F.lit("S"), F.col("station_id").cast("string"))
     us = F.when(F.dayofmonth("day") % 2 == 0, F.date_format("day", "M/d/yy")).otherwise(F.date_format("day", "yyyy-MM-dd"))
-    rows = daily.select(F.concat(F.lit("S"), F.col("station_id").cast("string")).alias("code"), us.alias("date"),
-                        F.when(F.col("v") > 10, F.col("v")).alias("rain"))
-    # one folder per station code
-    rows.repartition("code").write.partitionBy("code").option("header", True).csv(base)
-    raw = t.spark.read.option("header", True).csv(base)
-    return landed.station_rows(raw.withColumnRenamed("code", "station_code"), ["rain", "humidity"])
-
-
-def timeline_docs(t):
-    """Provider timeline documents of every grid, one per grid and quarter."""
+    sheets = daily.select(F.concat(code, F.lit("_daily.csv")).alias("name"), us.alias("DATE"),
+                          F.when(F.col("v") > 10, F.col("v")).cast("string").alias("rain"))
+    # one file per station, called after it, beside a listing of the stations
+    path = t.named_files(sheets, "name", "csv", header="true")
+    listing = t.station.select(F.lit("All_Stations.csv").alias("name"), F.col("station_code").alias("code"), F.col("lat").cast("string").alias("lat"))
+    t.named_files(listing, "name", "csv", path, header="true")
+    stations, rows = landed.station_directory(t.spark, path, ["rain", "humidity"])
+    return rows.join(stations.select(F.col("code").alias("station_code")), "station_code", "left_semi")
+
+
+def timeline_docs(t, per_quarter=True):
+    """Provider timeline documents of every grid, one per grid and quarter, or one per grid."""
     w = t.weather
     step = F.struct(F.date_format("date", "yyyy-MM-dd'T'06:00:00'Z'").alias("startTime"),
                     F.struct(F.col("max_temperature").alias("temperatureMax"), F.col("total_rainfall").alias("rainAccumulationSum")).alias("values"))
-    docs = w.groupBy("grid_id", F.trunc("date", "quarter").alias("q")).agg(F.array_sort(F.collect_list(step)).alias("intervals"))
+    docs = w.groupBy("grid_id", (F.trunc("date", "quarter") if per_quarter else F.lit(None).cast("date")).alias("q")).agg(F.array_sort(F.collect_list(step)).alias("intervals"))
     line = F.struct(F.struct(F.array(F.struct("intervals")).alias("timelines")).alias("data"))
     return docs.select("grid_id", "q", F.to_json(line).alias("body")).select("grid_id", "q", F.regexp_replace("body", r'^\{"col1":(.*)\}$', "$1").alias("body"))
 
@@ -220,14 +225,20 @@ def _(t):
 
 
 @query("S23_grid_files", """
-SELECT grid_id, count(*) AS steps, sum(max_temperature) AS total FROM {weather} GROUP BY 1""")
+SELECT g.grid_id, count(w.date) AS steps, sum(max_temperature) AS total, (SELECT count(*) FROM {grid} WHERE grid_id % 17 = 0) AS missing_files,
+  (SELECT count(*) FROM {grid} WHERE grid_id % 13 = 0 AND grid_id % 17 <> 0) AS invalid_documents FROM {grid} g JOIN {weather} w ON w.grid_id = g.grid_id
+WHERE g.grid_id % 17 <> 0 AND g.grid_id % 13 <> 0 GROUP BY 1""")
 def _(t):
-    path = scratch_dir(t.spark, "gridfiles")
-    # file content as delivered, read back as whole documents keyed by grid
-    timeline_docs(t).select("grid_id", "body").write.json(path)
-    docs = t.spark.read.schema("grid_id long, body string").json(path)
-    rows = landed.timeline_rows(docs, ["grid_id"], "body", ["temperatureMax"])
-    return rows.groupBy("grid_id").agg(F.count("*").alias("steps"), F.sum("temperatureMax").alias("total"))
+    # one document per grid, as delivered: some grids have no file, some an empty document
+    docs = timeline_docs(t, per_quarter=False).where("grid_id % 17 <> 0 and grid_id % 13 <> 0").select("grid_id", "body")
+    broken = t.grid.where("grid_id % 17 <> 0 and grid_id % 13 = 0").select("grid_id", F.lit('{"data": {}}').alias("body"))
+    name = F.concat(F.col("grid_id").cast("string"), F.lit("_forecast.json"))
+    path = t.named_files(docs.union(broken).select(name.alias("name"), "body"), "name", "text")
+    rows, quality = landed.grid_files(t.spark, path, ["temperatureMax"])
+    quality = quality.withColumn("grid_id", F.col("grid_id").cast("long"))
+    found = ingest.ingest_quality(quality, t.grid).select("missing_files", "invalid_documents")
+    steps = rows.groupBy(F.col("grid_id").cast("long").alias("grid_id")).agg(F.count("*").alias("steps"), F.sum("temperatureMax").alias("total"))
+    return steps.select("*", found.select("missing_files").scalar().alias("missing_files"), found.select("invalid_documents").scalar().alias("invalid_documents"))
 
 
 @query("S24_farmer_sheet", """
@@ -280,9 +291,15 @@ def _(t):
 
 
 @query("S28_new_files", """
-SELECT file_id, name, CAST(version AS DATE) AS file_date, 'var' || (file_id % 4) AS variable FROM {source_file} WHERE name NOT IN (SELECT name FROM {source_file} WHERE year(version) = 1999)""")
+SELECT name, min(file_date) AS file_date, min(variable) AS variable, min(year) AS year FROM (
+  SELECT name, CAST(NULL AS DATE) AS file_date, 'var' || (file_id % 4) AS variable, CAST(year(version) AS INT) AS year FROM {source_file}
+  UNION ALL SELECT 'daily_' || CAST(date_trunc('month', version)::DATE AS VARCHAR) || '.nc', date_trunc('month', version)::DATE, NULL, NULL FROM {source_file})
+WHERE name NOT IN (SELECT name FROM {source_file} WHERE year(version) = 1999) GROUP BY name""")
 def _(t):
+    monthly = F.concat(F.lit("daily_"), F.trunc("version", "month").cast("string"), F.lit(".nc"))
+    names = t.source_file.select("name").union(t.source_file.select(monthly)).distinct()
+    path = t.named_files(names.withColumn("value", F.lit("content")), "name", "text")
     done = t.source_file.where(F.year("version") == 1999)
-    listed = landed.inventory_columns(t.source_file.select("file_id", "name", "daily_name"))
-    from furrow.functions.dates import date_from_name
-    return catalog.new_files(listed, done).select("file_id", "name", date_from_name(F.col("daily_name")).alias("file_date"), "variable")
+    new = catalog.new_files(landed.file_inventory(t.spark, path, "*.nc"), done)
+    daily = F.col("file_date").isNotNull()
+    return new.select("name", "file_date", F.when(~daily, F.col("variable")).alias("variable"), F.when(~daily, F.col("year").cast("int")).alias("year"))
