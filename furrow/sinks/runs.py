@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.sinks.tables import merge_partition, write_partitions
 from furrow.sinks.versions import read_if_there
 
-_ROW = "first date, last date, rows long"
+_ROW = "first date, last date"
 
 
 def _manifest(path: str) -> str:
@@ -24,14 +25,18 @@ def _manifest(path: str) -> str:
 
 def _recorded(df: DataFrame, partition: str) -> tuple[DataFrame, Observation]:
     seen = Observation()
-    return df.observe(seen, F.min(partition).alias("first"), F.max(partition).alias("last"),
-                      F.count(F.lit(1)).alias("rows")), seen
-
-
-def _record(spark: SparkSession, path: str, seen: Observation) -> None:
-    found = seen.get
-    if found["rows"]:
-        row = spark.createDataFrame([(found["first"], found["last"], found["rows"])], _ROW)
+    return df.observe(seen, F.min(partition).alias("first"), F.max(partition).alias("last")), seen
+
+
+def _record(df: DataFrame, path: str, seen: Observation) -> None:
+    try:
+        found = seen.get
+    except Py4JJavaError:       # a load known to be empty is planned without the observation
+        if not df.isEmpty():
+            raise
+        return
+    if found["first"] is not None:
+        row = df.sparkSession.createDataFrame([(found["first"], found["last"])], _ROW)
         row.coalesce(1).write.mode("append").parquet(_manifest(path))
 
 
@@ -39,7 +44,7 @@ def write_runs(df: DataFrame, path: str, partition: str = "forecast_date", clust
     """Whole runs: a run date written again is replaced."""
     rows, seen = _recorded(df, partition)
     write_partitions(rows, path, [partition], list(cluster))
-    _record(df.sparkSession, path, seen)
+    _record(df, path, seen)
 
 
 def merge_runs(df: DataFrame, path: str, keys: list[str], partition: str = "forecast_date",
@@ -47,7 +52,7 @@ def merge_runs(df: DataFrame, path: str, keys: list[str], partition: str = "fore
     """Cells of runs, such as one region of a run date: the other cells stay."""
     rows, seen = _recorded(df, partition)
     merge_partition(rows, path, keys, partition, cluster, fill)
-    _record(df.sparkSession, path, seen)
+    _record(df, path, seen)
 
 
 def coverage(spark: SparkSession, path: str) -> tuple[dt.date, dt.date] | None:
