@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.operators.skew import spread_for_python
+from furrow.operators.skew import latest_by, spread_for_python
 from furrow.session import ship_by_value
 
 ship_by_value(__name__)
@@ -82,17 +82,22 @@ def limit_batch(log: DataFrame, limits: dict[int, int]) -> DataFrame:
     return counted.groupBy("user_id").applyInPandas(one_user, MINUTE_OUT)
 
 
-def limit_stream(log: DataFrame, limits: dict[int, int]) -> DataFrame:
+KEEP_HOURS = 35 * 24
+
+
+def limit_stream(log: DataFrame, limits: dict[int, int], keep_hours: int = KEEP_HOURS) -> DataFrame:
     """Decisions on a request stream, corrected as requests come in, in any order.
 
     State is a user's requested and admitted count per minute. A batch adds its
     requests, decides again from the first minute that changed, and gives the
     minutes whose decision is new or different, with ``seen``, the number of the
-    user's requests so far. ``latest_decisions`` of these rows equals
-    ``limit_batch`` of the same requests: nothing waits for a watermark and
-    nothing is late. Requests are counted per user and minute in the tasks that
-    read them, so few rows of a hot user travel. State grows by a row for each
-    active minute of a user.
+    user's requests so far. ``latest_decisions`` of these rows equals ``limit_batch`` of
+    the same requests, as long as none comes more than ``keep_hours`` behind its user's
+    newest one: minutes before that (and before what its windows reach back) leave the
+    state, so a user holds a bounded number of minutes. A request that comes later
+    still is rejected and told apart by ``late``, the user's count of such requests.
+    Requests are counted per user and minute in the tasks that read them, so few rows
+    of a hot user travel.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -109,24 +114,39 @@ def limit_stream(log: DataFrame, limits: dict[int, int]) -> DataFrame:
     class Limiter(StatefulProcessor):
         def init(self, handle) -> None:
             self.minutes = handle.getMapState("minutes", "minute long", "requests long, allowed long")
+            self.totals = handle.getValueState("totals", "seen long, late long, newest long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-            before = {k[0]: v for k, v in self.minutes.iterator()}
-            requests = {m: v[0] for m, v in before.items()}
-            first = None
+            seen, late, newest = self.totals.get() if self.totals.exists() else (0, 0, -(1 << 62))
+            arrived: dict[int, int] = {}
             for frame in rows:
                 for minute, n in zip(frame["minute"].tolist(), frame["requests"].tolist()):
+                    arrived[minute] = arrived.get(minute, 0) + n
+            kept_from = (newest // 60 - keep_hours) * 60            # as the batch found it
+            out, changed = [], {m: n for m, n in arrived.items() if m >= kept_from}
+            for minute, n in sorted(arrived.items()):
+                if minute < kept_from:
+                    late += n
+                    out.append((key[0], minute, n, 0, n, seen, late))
+            if changed:
+                before = {k[0]: v for k, v in self.minutes.iterator()}
+                requests, first = {m: v[0] for m, v in before.items()}, min(changed)
+                for minute, n in changed.items():
                     requests[minute] = requests.get(minute, 0) + n
-                    first = minute if first is None else min(first, minute)
-            oldest = (first // 60 - hours) * 60
-            counts = {m: v[1] for m, v in before.items() if oldest <= m < first and v[1]}
-            again = sorted((m, n) for m, n in requests.items() if m >= first)
-            seen, out = sum(requests.values()), []
-            for minute, n, allowed, rejected in admit(pd.DataFrame(again, columns=["minute", "requests"]), counts, limits):
-                if tuple(before.get(minute, ())) != (n, allowed):
-                    self.minutes.updateValue((minute,), (n, allowed))
-                    out.append((key[0], minute, n, allowed, rejected, seen))
-            yield pd.DataFrame(out, columns=["user_id", "minute", "requests", "allowed", "rejected", "seen"])
+                oldest = (first // 60 - hours) * 60
+                counts = {m: v[1] for m, v in before.items() if oldest <= m < first and v[1]}
+                again = sorted((m, n) for m, n in requests.items() if m >= first)
+                seen += sum(changed.values())
+                for minute, n, allowed, rejected in admit(pd.DataFrame(again, columns=["minute", "requests"]), counts, limits):
+                    if tuple(before.get(minute, ())) != (n, allowed):
+                        self.minutes.updateValue((minute,), (n, allowed))
+                        out.append((key[0], minute, n, allowed, rejected, seen, 0))
+                newest = max(newest, max(changed))
+                gone = (newest // 60 - keep_hours - hours) * 60
+                for minute in [m for m in requests if m < gone]:
+                    self.minutes.removeKey((minute,))
+            self.totals.update((seen, late, newest))
+            yield pd.DataFrame(out, columns=["user_id", "minute", "requests", "allowed", "rejected", "seen", "late"])
 
         def close(self) -> None:
             pass
@@ -135,11 +155,12 @@ def limit_stream(log: DataFrame, limits: dict[int, int]) -> DataFrame:
     counted = log.select("user_id", minute.alias("minute")).mapInArrow(
         count, "user_id long, minute long, requests long")
     return counted.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Limiter(), outputStructType=f"{MINUTE_OUT}, seen long", outputMode="append", timeMode="None")
+        statefulProcessor=Limiter(), outputStructType=f"{MINUTE_OUT}, seen long, late long", outputMode="append",
+        timeMode="None")
 
 
 def latest_decisions(decided: DataFrame) -> DataFrame:
-    """The last decision on each user and minute of what ``limit_stream`` wrote."""
-    last = F.max(F.struct("seen", "requests", "allowed", "rejected")).alias("last")
-    return decided.groupBy("user_id", "minute").agg(last).select(
-        "user_id", "minute", "last.requests", "last.allowed", "last.rejected")
+    """The last decision on each user and minute of what ``limit_stream`` wrote, requests
+    that came too late left out."""
+    return latest_by(decided.where("late = 0"), ["user_id", "minute"], ["seen"]).select(
+        "user_id", "minute", "requests", "allowed", "rejected")

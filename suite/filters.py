@@ -7,6 +7,7 @@ from furrow.plans import advisory, catalog, cubes, ingest, observations
 from furrow.plans.observations import Location
 from furrow.schema import backfill, cast_by_name, rename_attributes, with_metadata
 from furrow.sources import scans
+from furrow.session import scratch_dir
 from suite.base import query
 
 # a convex five-sided area and a hole, on multiples of 1/8
@@ -203,6 +204,15 @@ def _(t):
     return scans.page(t.registry.select("registry_id", "farm_id"), "registry_id", 500, 250)
 
 
+@query("T03_late_page", """
+SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET (SELECT CAST(count(*) - 150 AS BIGINT) FROM orders)""")
+def _(t):
+    """A page near the end of a table, by its index."""
+    path = scratch_dir(t.spark, "paged")
+    scans.write_paged(t.orders.select("o_orderkey", "o_custkey"), path, "o_orderkey", 1000)
+    return scans.read_page(t.spark, path, "o_orderkey", 100, t.orders.count() - 150)
+
+
 @query("T04_row_cap", "SELECT registry_id FROM {registry} ORDER BY registry_id LIMIT 100")
 def _(t):
     return t.registry.select("registry_id").orderBy("registry_id").limit(100)

@@ -173,3 +173,43 @@ def test_versions(spark, tmp_path):
     assert store.latest() == (1, {"rows": 3}) and store.read().count() == 3
     with pytest.raises(ValueError):
         store.commit(1)
+
+
+def test_request_state_is_bounded(spark, tmp_path):
+    """40 days of requests: the state holds the kept hours only; decisions inside them equal the batch."""
+    from furrow.streaming import limiter
+    rnd, limits, keep = random.Random(5), {1: 2, 60: 5, 1440: 30}, 48
+    days = [[(u, DAY0 + dt.timedelta(days=d, seconds=rnd.randrange(86400))) for u in (1, 2) for _ in range(25)] for d in range(40)]
+    for d in range(39):             # some come a day late
+        days[d + 1] += [days[d].pop(0) for _ in range(5)]
+    too_late = [(1, DAY0 + dt.timedelta(hours=1, seconds=s)) for s in range(3)]
+    schema = "user_id long, requested_at timestamp"
+    for n, part in enumerate([*days, too_late]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{n:02d}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = (limiter.limit_stream(stream, limits, keep).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out"))
+    log = spark.createDataFrame([r for part in days for r in part], schema)
+    assert sorted(map(tuple, limiter.latest_decisions(written).collect())) == sorted(
+        map(tuple, limiter.limit_batch(log, limits).collect()))
+    assert written.agg(F.max("late")).first()[0] == 3
+    state = (spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "minutes").load())
+    assert 0 < state.count() <= 2 * 25 * (keep // 24 + 3)
+
+
+def test_late_page_reads_one_range(spark, tmp_path):
+    from furrow.sources import scans
+    path = str(tmp_path / "paged")
+    rows = spark.range(0, 40_000, 2).withColumn("v", F.col("id") * 3)
+    scans.write_paged(rows, path, "id", 500)
+    for limit, offset in ((100, 0), (100, 19_950), (700, 10_250), (5, 30_000)):
+        got = [r.id for r in scans.read_page(spark, path, "id", limit, offset).collect()]
+        assert got == list(range(0, 40_000, 2))[offset:offset + limit]
+    page = scans.read_page(spark, path, "id", 100, 10_250)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id," in plan and "LessThanOrEqual(id," in plan
+    low = int(plan.split("GreaterThanOrEqual(id,")[1].split(")")[0])
+    high = int(plan.split("LessThanOrEqual(id,")[1].split(")")[0])
+    assert high - low < 2 * 1000
