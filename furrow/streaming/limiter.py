@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ def horizon(limits: dict[int, int]) -> int:
     return max([1, *(length // 60 for length in limits)])
 
 
-def admit(minutes: pd.DataFrame, counts: dict[int, int], limits: dict[int, int]) -> list[tuple]:
+def admit(minutes: pd.DataFrame | dict[str, list[int]], counts: dict[int, int], limits: dict[int, int]) -> list[tuple]:
     """Allowed and rejected requests per minute, in minute order.
 
     ``counts`` maps minute → admitted requests and is updated in place. All
@@ -88,7 +89,7 @@ KEEP_HOURS = 35 * 24
 def limit_stream(log: DataFrame, limits: dict[int, int], keep_hours: int = KEEP_HOURS) -> DataFrame:
     """Decisions on a request stream, corrected as requests come in, in any order.
 
-    State is a user's requested and admitted count per minute. A batch adds its
+    State is a user's requested and admitted count per minute, packed in one value. A batch adds its
     requests, decides again from the first minute that changed, and gives the
     minutes whose decision is new or different, with ``seen``, the number of the
     user's requests so far. ``latest_decisions`` of these rows equals ``limit_batch`` of
@@ -113,7 +114,8 @@ def limit_stream(log: DataFrame, limits: dict[int, int], keep_hours: int = KEEP_
 
     class Limiter(StatefulProcessor):
         def init(self, handle) -> None:
-            self.minutes = handle.getMapState("minutes", "minute long", "requests long, allowed long")
+            # one packed value a user: a call per minute costs more than the minutes themselves
+            self.minutes = handle.getValueState("minutes", "packed binary")
             self.totals = handle.getValueState("totals", "seen long, late long, newest long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
@@ -129,7 +131,8 @@ def limit_stream(log: DataFrame, limits: dict[int, int], keep_hours: int = KEEP_
                     late += n
                     out.append((key[0], minute, n, 0, n, seen, late))
             if changed:
-                before = {k[0]: v for k, v in self.minutes.iterator()}
+                held = np.frombuffer(self.minutes.get()[0], "<i8") if self.minutes.exists() else np.empty(0, "<i8")
+                before = {m: (n, a) for m, n, a in held.reshape(-1, 3).tolist()}
                 requests, first = {m: v[0] for m, v in before.items()}, min(changed)
                 for minute, n in changed.items():
                     requests[minute] = requests.get(minute, 0) + n
@@ -137,14 +140,15 @@ def limit_stream(log: DataFrame, limits: dict[int, int], keep_hours: int = KEEP_
                 counts = {m: v[1] for m, v in before.items() if oldest <= m < first and v[1]}
                 again = sorted((m, n) for m, n in requests.items() if m >= first)
                 seen += sum(changed.values())
-                for minute, n, allowed, rejected in admit(pd.DataFrame(again, columns=["minute", "requests"]), counts, limits):
-                    if tuple(before.get(minute, ())) != (n, allowed):
-                        self.minutes.updateValue((minute,), (n, allowed))
+                for minute, n, allowed, rejected in admit({"minute": [m for m, _ in again], "requests": [n for _, n in again]},
+                                                          counts, limits):
+                    if before.get(minute) != (n, allowed):
+                        before[minute] = (n, allowed)
                         out.append((key[0], minute, n, allowed, rejected, seen, 0))
                 newest = max(newest, max(changed))
                 gone = (newest // 60 - keep_hours - hours) * 60
-                for minute in [m for m in requests if m < gone]:
-                    self.minutes.removeKey((minute,))
+                kept = [(m, *v) for m, v in before.items() if m >= gone]
+                self.minutes.update((np.array(kept, "<i8").tobytes(),))
             self.totals.update((seen, late, newest))
             yield pd.DataFrame(out, columns=["user_id", "minute", "requests", "allowed", "rejected", "seen", "late"])
 

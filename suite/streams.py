@@ -4,14 +4,18 @@ from pyspark.sql import functions as F
 
 from furrow.plans import ingest, usage
 from furrow.session import scratch_dir
+from furrow.sinks.tables import MAX_RECORDS
 from furrow.streaming import jobs, limiter, marks
 from suite.base import query
 
 
 def stream_of(t, df, label, per_trigger=2):
-    """A landed copy of a table as a file stream, some files per micro-batch."""
+    """A landed copy of a table as a file stream, some files per micro-batch.
+
+    Files are large, as each batch costs time of its own and reads what earlier ones stored.
+    """
     path = scratch_dir(t.spark, label)
-    df.write.option("maxRecordsPerFile", 20_000).parquet(path)
+    df.write.option("maxRecordsPerFile", MAX_RECORDS).parquet(path)
     return jobs.file_stream(t.spark, path, df.schema, files_per_trigger=per_trigger)
 
 
@@ -77,7 +81,7 @@ SELECT request_id, 'U' || (user_id % 100) AS user_name, 'rain_' || (request_id %
 def _(t):
     users = t.station.select(F.col("station_id").alias("user_id"), F.concat(F.lit("U"), (F.col("station_id") % 100).cast("string")).alias("user_name"))
     out = scratch_dir(t.spark, "log")
-    jobs.ingest_request_log(stream_of(t, t.request_log, "requests"), users, out)
+    jobs.ingest_request_log(stream_of(t, t.request_log.repartition(6, "request_id"), "requests"), users, out)
     return t.spark.read.parquet(out).select("request_id", "user_name", F.get("attributes", 1).alias("second"))
 
 
@@ -133,7 +137,7 @@ SELECT DATE '1998-06-25' AS forecast_date, CAST(w.date - DATE '1998-06-25' AS IN
 WHERE w.date >= DATE '1998-06-25' AND w.date < DATE '1998-07-14'""")
 def _(t):
     landed, cube = scratch_dir(t.spark, "landed"), scratch_dir(t.spark, "cube")
-    stream = stream_of(t, t.weather.select("grid_id", "date", "max_temperature"), "forecast")
+    stream = stream_of(t, t.weather.select("grid_id", "date", "max_temperature").repartition(6, "grid_id"), "forecast")
     jobs.ingest_forecast(stream, t.grid.select("grid_id", "lat", "lon"), ["max_temperature", "wind"], landed, "1998-06-25", "1998-07-14",
                          "1998-06-25", (20.25, -27.75, 0.5), 0.1)
     jobs.compact_forecast(t.spark, landed, cube, ["max_temperature", "wind"])

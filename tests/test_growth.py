@@ -17,3 +17,31 @@ def test_advisory_write_keeps_the_day_of_each_row(spark, tmp_path):
     assert sorted((r.registry_id, r.year, r.month, r.day) for r in got) == [
         (i, d.year, d.month, d.day) for i, d in enumerate(days, 1)]
     assert "month, day" in entry.oracle_sql()["K01_advisory_write"]
+
+
+def test_micro_batches_do_not_follow_small_files(spark, tmp_path, monkeypatch):
+    from suite import streams
+    from suite.base import Tables
+    rows = spark.range(50_000).repartition(1)
+    monkeypatch.setattr(streams, "scratch_dir", lambda session, label: f"{tmp_path}/{label}")
+    streams.stream_of(Tables(spark, "/none"), rows, "land")
+    assert len(list(tmp_path.glob("land/*.parquet"))) == 1
+
+
+def test_log_ingest_finds_users_once(spark, tmp_path):
+    from furrow.streaming import jobs
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "user_id long, user_name string").mapInArrow(note, "user_id long, user_name string")
+    for i in range(3):
+        spark.createDataFrame([(i, i, "{}")], "request_id long, user_id long, query_params string").write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_trigger=1)
+    jobs.ingest_request_log(stream, users, f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.request_id, r.user_name) for r in out.collect()) == [(0, None), (1, "a"), (2, "b")]
+    assert seen.value == 2
