@@ -28,6 +28,17 @@ def rectangle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
     return F.array(F.array(*[point(x, y) for x, y in corners]))
 
 
+def is_rectangle(area: Column) -> Column:
+    """Whether an area is one closed ring of four corners with upright sides."""
+    ring = F.get(area, 0)
+    at = lambda i, c: F.get(ring, i)[c]
+    upright = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i:
+                       (at(i, "lon") == at(i + 1, "lon")) != (at(i, "lat") == at(i + 1, "lat")))
+    corners = F.size(F.array_distinct(F.slice(ring, 1, 4))) == 4
+    return F.coalesce((F.size(area) == 1) & (F.size(ring) == 5) & (F.get(ring, 0) == F.get(ring, 4))
+                      & corners & upright, F.lit(False))
+
+
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle distance in metres on the mean-radius sphere."""
     a = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)

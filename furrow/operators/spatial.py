@@ -2,8 +2,8 @@
 
 Every join here is an equi join on a lattice bucket followed by the exact
 test. No cross join, no all-pairs group: polygons are cut into the buckets
-they cover, radius joins look at 27 neighbour cubes, and the unbounded nearest
-join walks an octree whose candidate list per point stays short.
+they cover, and the nearest join, bounded or not, walks an octree whose candidate
+list per point stays short.
 """
 
 from __future__ import annotations
@@ -96,6 +96,7 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coord: str,
     The axis is cut into buckets no narrower than its largest gap, so the
     nearest coordinate is in the same or a neighbouring bucket. Values beyond
     the ends are clamped for the bucket only. Ties take the lower coordinate.
+    A point meets the coordinates around it as one array, so its rows are not multiplied.
     """
     ends = axis.agg(F.struct(F.min(coord).alias("lo"), F.max(coord).alias("hi")))
     b = lambda c: F.floor(c / F.lit(float(max_gap))).cast("long")
@@ -104,11 +105,15 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coord: str,
     p = (points.select("*", ends.scalar().alias("_ends"))
          .withColumn("_b", b(F.least(F.greatest(F.col(value), F.col("_ends.lo")), F.col("_ends.hi"))))
          .drop("_ends"))
-    hit = salted_join(p, near, ["_b"])
+    near = near.groupBy("_b").agg(F.array_sort(F.collect_set(coord)).alias("_coords"))
+    hit = salted_join(p, near, ["_b"]).withColumn("_near", F.array_min(F.transform(
+        "_coords", lambda c: F.struct(F.abs(c - F.col(value)).alias("gap"), c.alias("at")))))
+    # one row per key, in two aggregations over plain numbers: those hash, a struct would be sorted
     rest = [c for c in points.columns if c not in key]
-    return hit.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in rest],
-        F.min_by(coord, F.struct(F.abs(F.col(coord) - F.col(value)), F.col(coord))).alias(coord))
+    kept = [F.first(c).alias(c) for c in rest]
+    hit = hit.select(*points.columns, F.coalesce("_near.gap", F.lit(-1.0)).alias("_gap"), F.col("_near.at").alias(coord))
+    hit = hit.groupBy(*key, "_gap").agg(*kept, F.min(coord).alias(coord))
+    return hit.groupBy(*key).agg(*kept, F.min_by(coord, "_gap").alias(coord))
 
 
 # ---- nearest cells --------------------------------------------------------
@@ -160,23 +165,44 @@ def areas_by_bucket(areas: DataFrame, area: str, size: float) -> DataFrame:
             .withColumn("_by", F.explode(_buckets(F.col("_env.min_lat"), F.col("_env.max_lat"), size))))
 
 
+def _spread_join(points: DataFrame, cells: DataFrame, on: list[str], per_task: int) -> DataFrame:
+    """Equi join in which a key of more than ``per_task`` points is spread over several tasks.
+
+    Only the cells of such keys are copied. There is at most one of them for every
+    ``per_task`` points, so their list is sent to both sides.
+    """
+    salts = F.ceil(F.col("_n") / per_task).cast("int").alias("_salts")
+    crowded = F.broadcast(points.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > per_task).select(*on, salts))
+    salts = F.coalesce("_salts", F.lit(1))
+    hashed = F.xxhash64(*[F.col(c) for c in points.columns])
+    left = points.join(crowded, on, "left").withColumn("_salt", F.pmod(hashed, salts).cast("int")).drop("_salts")
+    right = cells.join(crowded, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
 def join_points_to_areas(points: DataFrame, areas: DataFrame, area: str = "area",
                          bucket_deg: float = 1.0, boundary: str = "include",
                          how: str = "inner", lon: str = "lon", lat: str = "lat",
-                         salts: int = 16) -> DataFrame:
+                         per_task: int = 100_000) -> DataFrame:
     """Every (point, area) pair with the point in the area.
 
     ``bucket_deg`` near the size of an area keeps both the copies of an area
-    and the candidates of a point small. A city that holds a third of the
-    points is spread over ``salts`` tasks. With ``left`` the points without an
+    and the candidates of a point small. The envelope is compared first, and for
+    upright rectangles (grid cells) it is the whole test; other areas are tested
+    exactly. A city that holds a third of the points is spread over several tasks, of
+    ``per_task`` points each. With ``left`` the points without an
     area come back with nulls; ``points`` must then be unique rows.
     """
-    cells = areas_by_bucket(areas, area, bucket_deg).drop("_env")
+    cells = areas_by_bucket(areas.withColumn("_box", geo.is_rectangle(F.col(area))), area, bucket_deg)
     p = (points.withColumn("_bx", F.floor(F.col(lon) / bucket_deg).cast("long"))
          .withColumn("_by", F.floor(F.col(lat) / bucket_deg).cast("long")))
-    hits = (salted_join(p, cells, ["_bx", "_by"], "inner", salts)
-            .where(geo.in_area(F.col(lon), F.col(lat), F.col(area), boundary))
-            .drop("_bx", "_by", area))
+    env = [F.col(f"_env.{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")]
+    test = F.when(F.col("_box"), geo.in_box(F.col(lon), F.col(lat), *env, boundary)).otherwise(
+        geo.in_box(F.col(lon), F.col(lat), *env) & geo.in_area(F.col(lon), F.col(lat), F.col(area), boundary))
+    # the vertices of a rectangle have done their work and stay behind
+    cells = cells.withColumn(area, F.when(~F.col("_box"), F.col(area)))
+    hits = (_spread_join(p, cells, ["_bx", "_by"], per_task).where(test)
+            .drop("_bx", "_by", "_env", "_box", area))
     if how == "inner":
         return hits
     return points.join(hits, points.columns, "left")
@@ -197,35 +223,21 @@ def nearest_within(points: DataFrame, places: DataFrame, key: str, place_id: str
                    radius_m: float, salts: int = 4) -> DataFrame:
     """Nearest place of each point within a radius; ties take the lower id.
 
-    Cubes on the unit sphere with the radius' chord as edge: a place in reach
-    is in the point's cube or one of its 26 neighbours. Rows: key, place_id,
+    The nearest place at any distance (``nearest_place``), kept if it is in reach: a point
+    meets a handful of places, however many lie within the radius. Rows: key, place_id,
     distance_m; points without a place in reach are absent.
     """
-    side = geo.chord_of(radius_m) * (1 + 1e-9)
-    cube = lambda c: F.floor(c / side).cast("long")
-
-    def located(df: DataFrame) -> DataFrame:
-        return (df.withColumn("_p", geo.unit_xyz(F.col("lon"), F.col("lat")))
-                .withColumn("_cx", cube(F.col("_p.x"))).withColumn("_cy", cube(F.col("_p.y")))
-                .withColumn("_cz", cube(F.col("_p.z"))).drop("_p"))
-
-    around = located(places.select(place_id, F.col("lon"), F.col("lat")))
-    for axis in ("_cx", "_cy", "_cz"):
-        around = around.withColumn(axis, F.explode(F.array(
-            F.col(axis) - 1, F.col(axis), F.col(axis) + 1)))
-    around = around.withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
-    pairs = salted_join(located(points.select(key, "lon", "lat")), around,
-                        ["_cx", "_cy", "_cz"], "inner", salts)
-    pairs = pairs.withColumn("distance_m", F.round(geo.haversine_m(
-        F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")), 3)).where(
-        F.col("distance_m") <= radius_m)
+    spots = places.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(place_id, "lon", "lat")
+    near = nearest_place(points.select(key, "lon", "lat"), spots, key, place_id, salts=salts)
     best = F.min_by(F.struct(place_id, "distance_m"), F.struct("distance_m", place_id))
-    return pairs.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
+    return (near.where(F.col("distance_m") <= radius_m)
+            .groupBy(key).agg(best.alias("_b")).select(key, "_b.*"))
 
 
 # ---- unbounded nearest ----------------------------------------------------
 
 _FINEST = 17
+_MILLIMETRE = 1e-3 / 6371008.8      # on the unit sphere
 
 
 def _finest_cell(position: Column) -> Column:
@@ -297,7 +309,9 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str, place_id: str,
 
     def survivors(df: DataFrame, level: int) -> DataFrame:
         """Cells of ``_cells`` that can hold the nearest place, one row each."""
-        best = F.array_min(F.transform("_cells", lambda c: c["high"])) * (1 + 1e-9) + 1e-15
+        best = F.array_min(F.transform("_cells", lambda c: c["high"]))
+        # distances are compared to the millimetre: a place that much farther may still tie
+        best = F.pow(F.sqrt(best) + _MILLIMETRE, 2) * (1 + 1e-9) + 1e-15
         kept = df.withColumn("_best", best).withColumn("_cell", F.explode(F.filter(
             "_cells", lambda c: c["low"] <= F.col("_best"))))
         return kept.select("lon", "lat", position.alias("_p"), F.col("_cell.cell").alias("_at"))

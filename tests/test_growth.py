@@ -45,3 +45,38 @@ def test_log_ingest_finds_users_once(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((r.request_id, r.user_name) for r in out.collect()) == [(0, None), (1, "a"), (2, "b")]
     assert seen.value == 2
+
+
+def test_nearest_on_axis_does_not_multiply_points(spark):
+    from furrow.operators import spatial
+    axis = spark.createDataFrame([(float(c),) for c in (0, 1, 3, 7, 8)], "c double")
+    points = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, -9.0), (4, 7.6), (5, None), (6, 0.4), (6, 7.9)], "k long, v double")
+    near = spatial.nearest_on_axis(points, axis, "v", "c", 4.0, ["k"])
+    assert {r.k: r.c for r in near.collect()} == {1: 1.0, 2: 3.0, 3: 0.0, 4: 8.0, 5: 0.0, 6: 8.0}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 4
+
+
+def test_hot_bucket_is_spread_and_areas_are_not_copied_otherwise(spark):
+    from furrow.functions import geo
+    from furrow.operators import spatial
+    points = spark.range(900).select("id", F.when(F.col("id") < 600, 0.25).otherwise(F.col("id") / 100).alias("lon"), F.lit(0.5).alias("lat"))
+    box = geo.rectangle(F.col("x"), F.lit(0.0), F.col("x") + 0.5, F.lit(1.0))
+    cells = spark.range(20).select((F.col("id") / 2).alias("x"), F.col("id").alias("cell")).withColumn("area", box).drop("x")
+    # a triangle must not be taken for its envelope
+    three = [(0.0, 0.0), (9.0, 0.0), (0.0, 1.0), (0.0, 0.0)]
+    tri = F.array(F.array(*[geo.point(F.lit(a), F.lit(b)) for a, b in three]))
+    areas = cells.unionByName(spark.range(1).select(F.lit(99).cast("long").alias("cell"), tri.alias("area")))
+    assert [r.r for r in areas.select(geo.is_rectangle(F.col("area")).alias("r")).distinct().orderBy("r").collect()] == [False, True]
+    want = {(r.id, r.cell) for r in points.crossJoin(areas).where(geo.in_area(F.col("lon"), F.col("lat"), F.col("area"), "include")).collect()}
+    for per_task in (50, 100_000):
+        got = spatial.join_points_to_areas(points, areas, bucket_deg=0.5, per_task=per_task)
+        assert sorted((r.id, r.cell) for r in got.collect()) == sorted(want)
+
+
+def test_nearest_within_meets_few_places(spark):
+    from furrow.operators import spatial
+    places = spark.range(2000).select(F.col("id").alias("sid"), (F.col("id") % 50 / 50).alias("lon"), (F.floor(F.col("id") / 50) / 40).alias("lat"))
+    points = spark.createDataFrame([(1, 0.501, 0.5), (1, 0.5, 0.5), (2, 50.0, 0.0), (3, None, 0.0)], "pid long, lon double, lat double")
+    near = spatial.nearest_within(points, places.unionByName(spark.createDataFrame([(9999, None, None)], places.schema)), "pid", "sid", 150000.0)
+    assert [(r.pid, r.sid, r.distance_m) for r in near.collect()] == [(1, 1025, 0.0)]
