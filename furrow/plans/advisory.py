@@ -21,6 +21,18 @@ MAX_BOOK_RULES = 100_000        # about 100 bytes each in the pieces: 10 MB
 
 # ---- rules ----------------------------------------------------------------
 
+def leading_rules(rules: DataFrame, priorities: DataFrame) -> DataFrame:
+    """Rules with their message priority; of a key's equal ranges the lowest id, as the
+    others can never win."""
+    ranked = rules.join(priorities.select("config_id", "code", "priority"),
+                        ["config_id", "code"], "left")
+    first = F.min(F.struct("rule_id", F.col("code").cast("int").alias("code"),
+                           F.coalesce("priority", F.lit(0)).alias("priority"))).alias("_r")
+    return (ranked.groupBy(*RULE_KEYS, "parameter", F.col("min_range").cast("double").alias("lo"),
+                           F.col("max_range").cast("double").alias("hi")).agg(first)
+            .select(*RULE_KEYS, "parameter", "_r.rule_id", "lo", "hi", "_r.code", "_r.priority"))
+
+
 def rule_book(rules: DataFrame, priorities: DataFrame,
               parameters: list[str] = PARAMETERS) -> DataFrame:
     """Rules with their message priority: one row per (config, crop, stage).
@@ -31,12 +43,8 @@ def rule_book(rules: DataFrame, priorities: DataFrame,
     ``steps`` is the number of halvings that the longest of them needs. Overlaps are
     settled here, once a key, not once a row.
     """
-    ranked = rules.join(priorities.select("config_id", "code", "priority"),
-                        ["config_id", "code"], "left")
-    rule = F.struct("rule_id", F.col("min_range").cast("double").alias("lo"),
-                    F.col("max_range").cast("double").alias("hi"), F.col("code").cast("int").alias("code"),
-                    F.coalesce("priority", F.lit(0)).alias("priority"))
-    folded = ranked.groupBy(*RULE_KEYS).agg(*[
+    rule = F.struct("rule_id", "lo", "hi", "code", "priority")
+    folded = leading_rules(rules, priorities).groupBy(*RULE_KEYS).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("parameter") == p, rule))).alias(f"_{p}")
         for p in parameters])
     bounds = lambda p: F.array_sort(F.array_distinct(F.concat(
@@ -45,9 +53,9 @@ def rule_book(rules: DataFrame, priorities: DataFrame,
     longest = F.greatest(*[F.size(f"starts_{p}") for p in parameters])
 
     def winners(p: str) -> Column:
-        first = lambda at: F.get(F.filter(f"_{p}", _holds(at)), 0)
-        return F.transform(f"starts_{p}", lambda at: F.when(first(at).isNotNull(), F.struct(
-            (-first(at)["priority"]).alias("p"), first(at)["code"].alias("c"))))
+        first = F.transform(f"starts_{p}", lambda at: F.get(F.filter(f"_{p}", _holds(at)), 0))
+        return F.transform(first, lambda r: F.when(r.isNotNull(), F.struct(
+            (-r["priority"]).alias("p"), r["code"].alias("c"))))
 
     return book.select(*RULE_KEYS, F.ceil(F.log2(longest + 1)).cast("int").alias("steps"),
                        *[f"starts_{p}" for p in parameters], *[winners(p).alias(f"codes_{p}") for p in parameters])

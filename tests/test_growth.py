@@ -80,3 +80,17 @@ def test_nearest_within_meets_few_places(spark):
     points = spark.createDataFrame([(1, 0.501, 0.5), (1, 0.5, 0.5), (2, 50.0, 0.0), (3, None, 0.0)], "pid long, lon double, lat double")
     near = spatial.nearest_within(points, places.unionByName(spark.createDataFrame([(9999, None, None)], places.schema)), "pid", "sid", 150000.0)
     assert [(r.pid, r.sid, r.distance_m) for r in near.collect()] == [(1, 1025, 0.0)]
+
+
+def test_equal_ranges_count_once_in_a_rule_book(spark):
+    from furrow.plans import advisory
+    rules = spark.createDataFrame([(i, 1, 1, 1, 1, "humidity", 10.0 * (i % 2), 10.0 * (i % 2) + 10, 100 + i) for i in range(2, 40)],
+                                  "rule_id long, config_id int, crop_id int, crop_stage_type_id int, growth_stage_id int, parameter string, "
+                                  "min_range double, max_range double, code int")
+    ranks = spark.createDataFrame([(1, 102, 5)], "config_id int, code int, priority int")
+    facts = spark.createDataFrame([(1, 1, 1, 1, 5.0), (1, 1, 1, 1, 15.0)], "config_id int, crop_id int, crop_stage_type_id int, growth_stage_id int, humidity double")
+    for p in set(advisory.PARAMETERS) - {"humidity"}:
+        facts = facts.withColumn(p, F.lit(None).cast("double"))
+    out = advisory.with_codes(facts, rules, ranks)
+    assert sorted((r.humidity, r.codes) for r in out.collect()) == [(5.0, [102]), (15.0, [103])]
+    assert advisory.leading_rules(rules, ranks).count() == 2
