@@ -215,23 +215,18 @@ def rain_since(df: DataFrame, weather: DataFrame, keys: list[str], since_epoch:
                request_date: str, out: str) -> DataFrame:
     """Rain per key from a start day (inclusive) to D+3; nothing measured is 0.
 
-    A null start counts every day. Only distinct (grid, start) pairs meet the
-    weather, so a grid shared by many crops is summed once.
+    A null start counts every day. The rain of a grid is reduced once to an array
+    of its days and folded per row, so ``df`` is computed once and days are not
+    multiplied by starts.
     """
     last = F.lit(_day(_shift(request_date, 3)))
-    rain = weather.where(F.col("date") <= last).select("grid_id", "date", "total_rainfall")
-    starts = df.select("grid_id", since_epoch).distinct()
-    in_range = F.col(since_epoch).isNull() | (dates.to_epoch(F.col("date")) >= F.col(since_epoch))
-    sums = (starts.where(F.col(since_epoch).isNotNull()).join(rain, "grid_id").where(in_range)
-            .groupBy("grid_id", since_epoch).agg(F.sum("total_rainfall").alias(out)))
-    whole = (starts.where(F.col(since_epoch).isNull()).join(rain, "grid_id")
-             .groupBy("grid_id").agg(F.sum("total_rainfall").alias(out))
-             .withColumn(since_epoch, F.lit(None).cast("long")))
-    both = sums.unionByName(whole)
-    cond = (F.col("d.grid_id") == F.col("r.grid_id")) & F.col(f"d.{since_epoch}").eqNullSafe(
-        F.col(f"r.{since_epoch}"))
-    return (df.alias("d").join(both.alias("r"), cond, "left")
-            .select("d.*", F.coalesce(f"r.{out}", F.lit(0.0)).alias(out)))
+    rain = (weather.where((F.col("date") <= last) & F.col("total_rainfall").isNotNull()).groupBy("grid_id")
+            .agg(F.collect_list(F.struct(dates.to_epoch(F.col("date")).alias("at"), "total_rainfall")).alias("_rain")))
+    since = F.col(f"d.{since_epoch}")
+    total = F.aggregate("r._rain", F.lit(0.0), lambda acc, d: acc + F.when(
+        since.isNull() | (d["at"] >= since), d["total_rainfall"]).otherwise(F.lit(0.0)))
+    return (df.alias("d").join(rain.alias("r"), F.col("d.grid_id") == F.col("r.grid_id"), "left")
+            .select("d.*", F.coalesce(total, F.lit(0.0)).alias(out)))
 
 
 def with_climate(df: DataFrame, features: DataFrame) -> DataFrame:

@@ -94,3 +94,28 @@ def test_equal_ranges_count_once_in_a_rule_book(spark):
     out = advisory.with_codes(facts, rules, ranks)
     assert sorted((r.humidity, r.codes) for r in out.collect()) == [(5.0, [102]), (15.0, [103])]
     assert advisory.leading_rules(rules, ranks).count() == 2
+
+
+def _counted(spark, df):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(note, df.schema), seen
+
+
+def test_rain_since_computes_its_rows_once(spark):
+    from furrow.plans import agronomy
+    day = lambda d: dt.date(2024, 1, d)
+    epoch = lambda d: int(dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc).timestamp())
+    df, seen = _counted(spark, spark.createDataFrame(
+        [(1, epoch(2)), (1, None), (1, epoch(2)), (2, epoch(9)), (3, epoch(1)), (None, epoch(1))], "grid_id long, start long"))
+    w = spark.createDataFrame([(1, day(1), 1.0), (1, day(2), 2.0), (1, day(2), 4.0), (1, day(3), None), (1, day(9), 8.0), (2, day(1), 1.0),
+                               (None, day(2), 5.0), (1, None, 7.0)], "grid_id long, date date, total_rainfall double")
+    out = agronomy.rain_since(df, w, [], "start", "2024-01-03", "rain").collect()
+    assert sorted((r.grid_id or 0, r.start or 0, r.rain) for r in out) == [
+        (0, epoch(1), 0.0), (1, 0, 7.0), (1, epoch(2), 6.0), (1, epoch(2), 6.0), (2, epoch(9), 0.0), (3, epoch(1), 0.0)]
+    assert seen.value == 6
