@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow import schema
 from furrow.functions import dates, geo, text
+from furrow.session import scratch_dir, write_stage
 
 # fixed values: provider document shapes
 TIMELINE = ("struct<data: struct<timelines: array<struct<intervals: array<struct<"
@@ -92,39 +91,45 @@ def station_directory(spark: SparkSession, path: str, attributes: list[str],
     case. Dates come in two formats, empty cells are skipped, and rows before
     ``min_date`` are left out.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select("path"))
-    named = files.withColumn("_listing", F.lower(F.regexp_extract("path", "([^/]*)$", 1)).contains("station"))
-    found = {r["path"]: r["_listing"] for r in named.toLocalIterator()}  # names of files only
-
-    def read(listing: bool) -> DataFrame:
-        paths = sorted(p for p, is_listing in found.items() if is_listing == listing)
-        reader = spark.read.option("header", True)
-        frames = [reader.csv(group) for group in _by_header(spark, paths)]
-        if not frames:
-            return spark.createDataFrame([], "_none string").withColumn("_f", F.lit("")).drop("_none")
-        return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True),
-                                [f.withColumn("_f", F.col("_metadata.file_name")) for f in frames])
-
-    raw = read(False)
+    raw = _sheets(spark, path, listing=False)
     times = [c for c in raw.columns if c.lower() in ("date", "timestamp")]
     raw = raw.withColumn("date", F.coalesce(*[F.col(c) for c in times]) if times else F.lit(None).cast("string"))
     rows = station_rows(raw.withColumn("station_code", F.regexp_extract("_f", r"^([^_.]+)", 1)), attributes)
-    return read(True).drop("_f"), rows.where(F.col("date") >= min_date) if min_date else rows
-
-
-def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Paths grouped by their header line, so that columns are read by name. Lines are
-    read as rows, the first of each file is kept; no file is held whole."""
-    if not paths:
-        return []
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
-                                          F.col("_metadata.file_block_start").alias("at"),
-                                          F.monotonically_increasing_id().alias("row"))
-    first = lines.where("at = 0").groupBy("path").agg(F.min("row").alias("row"))
-    heads = lines.join(first, ["path", "row"]).groupBy(F.rtrim("value").alias("header")).agg(
-        F.collect_list("path").alias("paths"))
-    return [sorted(r["paths"]) for r in heads.orderBy("header").toLocalIterator()]
+    return _sheets(spark, path, listing=True).drop("_f"), rows.where(F.col("date") >= min_date) if min_date else rows
+
+
+def _sheets(spark: SparkSession, path: str, listing: bool) -> DataFrame:
+    """Text cells of the station listings, or of all other sheets, with ``_f``, the file's name.
+
+    The folder is read as lines in one scan, however many files it has; the first line
+    with text of each file names its cells. Only the distinct headers come to the driver.
+    """
+    is_listing = F.lower("_metadata.file_name").contains("station")
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
+             .where(is_listing if listing else ~is_listing)
+             .select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_f"),
+                     F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+             .where(F.trim("value") != ""))
+    first = lines.where("_at = 0").groupBy("_path").agg(F.min(F.struct("_row", "value")).alias("_h"))
+    first = write_stage(first.select("_path", F.col("_h._row").alias("_head"), F.rtrim("_h.value").alias("header")),
+                        scratch_dir(spark, "headers"))
+    width = F.size(F.split(F.regexp_replace("header", '"[^"]*"', ""), ","))
+    heads = first.groupBy("header").agg(width.alias("_n"))
+    cells = [f"c{i}" for i in range(heads.agg(F.max("_n")).first()[0] or 1)]
+    parse = lambda df, c: df.withColumn("_s", F.from_csv(c, ", ".join(f"{n} string" for n in cells))).withColumn(
+        "_cells", F.array(*[F.col(f"_s.{n}") for n in cells])).drop("_s")
+    lower = F.transform("_cells", F.lower)
+    name = lambda c, i: F.when(c.isNull(), F.concat(F.lit("_c"), i.cast("string"))).when(
+        F.size(F.filter(lower, lambda other: other == F.lower(c))) > 1, F.concat(c, i.cast("string"))).otherwise(c)
+    heads = parse(heads, "header").select("header", F.slice(F.transform("_cells", name), 1, F.col("_n")).alias("_names"))
+    columns: dict[str, str] = {}
+    for head in heads.orderBy("header").toLocalIterator():
+        for column in head["_names"]:
+            columns.setdefault(column.lower(), column)
+    names = first.join(heads, "header").select("_path", "_head", F.transform("_names", F.lower).alias("_names"))
+    body = parse(lines.join(names, "_path").where("_at > 0 or _row > _head"), "value")
+    return body.select("_f", *[F.get("_cells", (F.array_position("_names", low) - 1).cast("int")).alias(column)
+                               for low, column in columns.items()])
 
 
 def station_rows(raw: DataFrame, attributes: list[str]) -> DataFrame:

@@ -157,9 +157,9 @@ def _(t):
     sheets = daily.select(F.concat(code, F.lit("_daily.csv")).alias("name"), us.alias("DATE"),
                           F.when(F.col("v") > 10, F.col("v")).cast("string").alias("rain"))
     # one file per station, called after it, beside a listing of the stations
-    path = t.named_files(sheets, "name", "csv", header="true")
+    path = t.named_files(sheets, "name", "csv", header=True)
     listing = t.station.select(F.lit("All_Stations.csv").alias("name"), F.col("station_code").alias("code"), F.col("lat").cast("string").alias("lat"))
-    t.named_files(listing, "name", "csv", path, header="true")
+    t.named_files(listing, "name", "csv", path, header=True)
     stations, rows = landed.station_directory(t.spark, path, ["rain", "humidity"])
     return rows.join(stations.select(F.col("code").alias("station_code")), "station_code", "left_semi")
 

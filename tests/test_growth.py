@@ -119,3 +119,30 @@ def test_rain_since_computes_its_rows_once(spark):
     assert sorted((r.grid_id or 0, r.start or 0, r.rain) for r in out) == [
         (0, epoch(1), 0.0), (1, 0, 7.0), (1, epoch(2), 6.0), (1, epoch(2), 6.0), (2, epoch(9), 0.0), (3, epoch(1), 0.0)]
     assert seen.value == 6
+
+
+def test_named_files_are_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    from suite import base
+    monkeypatch.setattr(base, "scratch_dir", lambda session, label: f"file://{tmp_path}/{label}")
+    t = base.Tables(spark, "/none")
+    rows = spark.createDataFrame([("a.csv", "1", None), ("b/c.csv", 'x"y', "2,3"), ("a.csv", "4", "5"), (None, "6", "7")], "name string, u string, v string")
+    path = t.named_files(rows.repartition(3), "name", "csv", header=True)
+    files = {f.name: sorted(f.read_text().splitlines()) for f in (tmp_path / "named").iterdir() if not f.name.startswith(".")}
+    assert files == {"a.csv": ["1,", "4,5", "u,v"], "b%2Fc.csv": ['"x\\"y","2,3"', "u,v"], "__HIVE_DEFAULT_PARTITION__": ["6,7", "u,v"]}
+    assert path.endswith("named") and not (tmp_path / "landing").exists()
+
+
+def test_station_directory_reads_the_folder_in_one_scan(spark, tmp_path):
+    from furrow.sources import landed
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "S1_d.csv").write_text('date,rain\n2024-01-02,"1.5"\n\n2024-01-03,\n')
+    (tmp_path / "sub" / "S2.CSV").write_text("\nTimestamp,extra,Rain,rain,\n2024-01-02,z,3,4,5\n2024-01-04,z\n")
+    (tmp_path / "sub" / "S3.csv").write_text("rain,DATE\n7,2024-01-05\n7,2024-01-05,9\n")
+    (tmp_path / "All_Stations.csv").write_text('code,"the name, long",\nS1,"a, b",x\nS2,,\n')
+    stations, rows = landed.station_directory(spark, str(tmp_path), ["rain"])
+    assert [tuple(r) for r in stations.orderBy("code").collect()] == [("S1", "a, b", "x"), ("S2", None, None)]
+    assert stations.columns == ["code", "the name, long", "_c2"]
+    got = sorted((r.station_code, r.date.isoformat(), r.value) for r in rows.collect())
+    assert got == [("S1", "2024-01-02", 1.5), ("S3", "2024-01-05", 7.0), ("S3", "2024-01-05", 7.0)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") == 1 and "] csv" not in plan
