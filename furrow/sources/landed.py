@@ -147,7 +147,12 @@ def timeline_rows(docs: DataFrame, keys: list[str], body: str, variables: list[s
     """Timeline JSON text per key → one row per interval."""
     parsed = F.from_json(F.col(body), TIMELINE)
     first = F.get(parsed["data"]["timelines"], 0)
-    step = F.explode(first["intervals"]).alias("_i")
+    return interval_rows(docs.select(*keys, first["intervals"].alias("_steps")), keys, "_steps", variables)
+
+
+def interval_rows(docs: DataFrame, keys: list[str], intervals: str, variables: list[str]) -> DataFrame:
+    """Intervals of a timeline per key → one row per interval."""
+    step = F.explode(intervals).alias("_i")
     at = utc(F.col("_i.startTime"))
     return docs.select(*keys, step).select(
         *keys, at.cast("date").alias("date"), F.hour(at).alias("hour"),
@@ -200,14 +205,16 @@ def grid_files(spark: SparkSession, path: str, variables: list[str]) -> tuple[Da
     """Per-grid JSON files → (rows, one quality row per file).
 
     The file name starts with the grid id; a file whose document has no
-    interval counts as invalid.
+    interval counts as invalid. The files are read and parsed once, into a stage
+    that both results read.
     """
     raw = (spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
            .withColumn("grid_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+?)(?:-|_|\.)", 1)))
-    parsed = F.from_json("value", TIMELINE)
-    steps = F.size(F.coalesce(F.get(parsed["data"]["timelines"], 0)["intervals"], F.array()))
-    quality = raw.select("grid_id", (steps > 0).alias("is_valid"), F.lit(False).alias("is_gap_filled"))
-    return timeline_rows(raw, ["grid_id"], "value", variables), quality
+    first = F.get(F.from_json("value", TIMELINE)["data"]["timelines"], 0)["intervals"]
+    parsed = write_stage(raw.select("grid_id", first.alias("intervals")), scratch_dir(spark, "documents"))
+    steps = F.size(F.coalesce("intervals", F.array()))
+    quality = parsed.select("grid_id", (steps > 0).alias("is_valid"), F.lit(False).alias("is_gap_filled"))
+    return interval_rows(parsed, ["grid_id"], "intervals", variables), quality
 
 
 def farmer_rows(sheet: DataFrame) -> DataFrame:

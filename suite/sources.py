@@ -238,7 +238,7 @@ def _(t):
     quality = quality.withColumn("grid_id", F.col("grid_id").cast("long"))
     found = ingest.ingest_quality(quality, t.grid).select("missing_files", "invalid_documents")
     steps = rows.groupBy(F.col("grid_id").cast("long").alias("grid_id")).agg(F.count("*").alias("steps"), F.sum("temperatureMax").alias("total"))
-    return steps.select("*", found.select("missing_files").scalar().alias("missing_files"), found.select("invalid_documents").scalar().alias("invalid_documents"))
+    return steps.crossJoin(F.broadcast(found))
 
 
 @query("S24_farmer_sheet", """

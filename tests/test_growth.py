@@ -146,3 +146,15 @@ def test_station_directory_reads_the_folder_in_one_scan(spark, tmp_path):
     assert got == [("S1", "2024-01-02", 1.5), ("S3", "2024-01-05", 7.0), ("S3", "2024-01-05", 7.0)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [value") == 1 and "] csv" not in plan
+
+
+def test_grid_files_are_read_and_parsed_once(spark, tmp_path):
+    from furrow.sources import landed
+    (tmp_path / "1_f.json").write_text('{"data": {"timelines": [{"intervals": [{"startTime": "2024-10-03T06:00:00Z", "values": {"t": 3.5}}]}]}}')
+    (tmp_path / "2_f.json").write_text("{")
+    (tmp_path / "3_f.json").write_text('{"data": {"timelines": []}}')
+    rows, quality = landed.grid_files(spark, str(tmp_path), ["t"])
+    assert [(r.grid_id, r.t) for r in rows.collect()] == [("1", 3.5)]
+    assert {r.grid_id: r.is_valid for r in quality.collect()} == {"1": True, "2": False, "3": False}
+    for df in (rows, quality):
+        assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()
