@@ -194,6 +194,23 @@ def test_season_messages_need_no_alert(spark):
     assert pests.pest_messages(farms, alerts, sched, msg, "2025-07-02").count() == 0
 
 
+def test_templates_of_a_key_follow_each_other(spark, tmp_path):
+    keys = [(p, g, f) for p in (1, 2) for g in ("a", "b") for f in (None, 0, 7)]
+    rows = [(i, *keys[i % 12]) for i in range(6000)] + [(8000, None, "a", 7), (8001, 1, None, 7), (8002, 1, "c", 7), (8003, 1, "a", 8), (3, *keys[3])]
+    messages = [(*k, 100 * n + i, f"en {n} {i}", None) for n, k in enumerate(keys[:-1]) for i in range(4)] + [(None, "a", 7, 1, "x", "y"), (1, "a", 9, 2, "x", "y"), (*keys[0], 0, "en 0 0", None)]
+    spark.createDataFrame(rows, "farm_id int, pest_id int, group string, farm_group_id int").coalesce(1).write.parquet(f"{tmp_path}/r")
+    spark.createDataFrame(messages, "pest_id int, group string, farm_group_id int, message_no int, template_en string, template_sw string").coalesce(1).write.parquet(f"{tmp_path}/m")
+    r, m = spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/m")
+    out = pests.join_messages(r, m)
+    assert out.columns == [*r.columns, "message_no", "template_en", "template_sw"]
+    want = sorted((a[0], b[3], b[4]) for a in rows for b in messages if a[1:] == b[:3] and a[1] and a[2])
+    assert sorted((x.farm_id, x.message_no, x.template_en) for x in out.collect()) == want
+    placed = out.select("farm_id", "pest_id", "group", "farm_group_id", F.spark_partition_id().alias("at")).collect()
+    runs = [x for x, before in zip(placed, [None, *placed[:-1]]) if before is None or (x.at, x[1:4]) != (before.at, before[1:4])]
+    assert len(runs) <= 11 * 16  # not one run for each of the 5501 matched rows
+    assert len({x.at for x in placed if x[1:4] == keys[3]}) > 1  # the rows of one key are spread
+
+
 def test_registry_two_farms(spark, tmp_path):
     (tmp_path / "r.csv").write_text("farmer_id,crop,planting_date,final_latitude,final_longitude,county,subcounty,ward,language\n"
                                     "F001,Maize_Mid,2025-01-09,-1.2921,36.8219,A,b,c,en\nF002,maize_Medium,1/10/25,-1.25,36.8,a,B,c,en\n"
