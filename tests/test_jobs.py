@@ -211,6 +211,24 @@ def test_templates_of_a_key_follow_each_other(spark, tmp_path):
     assert len({x.at for x in placed if x[1:4] == keys[3]}) > 1  # the rows of one key are spread
 
 
+def test_long_lists_of_templates_stay_small(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("farm_id"), F.lit(1).alias("pest_id"), F.lit("a").alias("group"), F.lit(None).cast("int").alias("farm_group_id"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("value"))
+    rows = rows.unionByName(rows.where("farm_id = 8"))  # one row twice
+    no = F.col("id").cast("int")
+    messages = spark.range(12_000).select(F.lit(1).alias("pest_id"), F.lit("a").alias("group"), F.lit(None).cast("int").alias("farm_group_id"), no.alias("message_no"),
+                                          F.concat(F.lit("en "), no).alias("template_en"), F.when(no % 2 == 0, F.concat(F.lit("sw "), no)).alias("template_sw"))
+    out = pests.join_messages(rows, messages)
+    out.select("farm_id", "message_no").write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("farm_id", "message_no").count().groupBy("farm_id").agg(F.count("*").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"))
+    assert sorted(map(tuple, got.collect())) == [(i, 12_000, 1 + (i == 8), 1 + (i == 8)) for i in range(400)]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * 401 * 12_000  # a list of a key is longer than a part of a page
+    sw = F.when(F.col("message_no") % 2 == 0, F.concat(F.lit("sw "), "message_no"))
+    value = F.when(F.col("farm_id") % 3 > 0, F.col("farm_id"))
+    assert out.where((F.col("template_en") != F.concat(F.lit("en "), "message_no")) | ~F.col("template_sw").eqNullSafe(sw) | ~F.col("value").eqNullSafe(value) | F.col("farm_group_id").isNotNull()).count() == 0
+    bare = rows.select("pest_id", "group", "farm_group_id").limit(3)
+    assert pests.join_messages(bare, messages.limit(5)).count() == 15
+
+
 def test_registry_two_farms(spark, tmp_path):
     (tmp_path / "r.csv").write_text("farmer_id,crop,planting_date,final_latitude,final_longitude,county,subcounty,ward,language\n"
                                     "F001,Maize_Mid,2025-01-09,-1.2921,36.8219,A,b,c,en\nF002,maize_Medium,1/10/25,-1.25,36.8,a,B,c,en\n"
